@@ -5,9 +5,9 @@
 
 
 def _modules():
-    from . import mixing
+    from . import decontaminate, mixing, simhash
 
-    return [mixing]
+    return [simhash, mixing, decontaminate]
 
 
 def queries():
