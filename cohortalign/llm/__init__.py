@@ -5,9 +5,9 @@
 
 
 def _modules():
-    from . import decontaminate, mixing, simhash
+    from . import decontaminate, langid, lines, mixing, simhash
 
-    return [simhash, mixing, decontaminate]
+    return [simhash, mixing, langid, decontaminate, lines]
 
 
 def queries():
