@@ -5,9 +5,9 @@
 
 
 def _modules():
-    from . import decontaminate, langid, lines, mixing, simhash
+    from . import decontaminate, html_text, langid, lines, mixing, simhash, url_rules, warc
 
-    return [simhash, mixing, langid, decontaminate, lines]
+    return [html_text, warc, simhash, mixing, langid, decontaminate, lines, url_rules]
 
 
 def queries():
