@@ -80,9 +80,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     found = found.groupBy("key").agg(F.collect_list(F.struct("item", "iw", "delta")).alias("found"))
     found = staged(found, "decon-found")
 
-    left = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"),
-                       words_of(F.col(text_col)).alias("words"))
-    both = left.join(found, "key", "left")
+    # the shuffled join at every size: what is found grows with the texts
+    left = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    both = left.join(found.hint("merge"), "key", "left").withColumn("words", words_of(F.col("text")))
     words = F.col("words")
 
     def along(d):

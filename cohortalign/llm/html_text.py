@@ -73,7 +73,7 @@ def kind(tag: str, raw: str, in_main: bool) -> str:
     pairs = {p for n in names for p in zip(n, n[1:])}
     if tag in MAIN or role in ("main", "article") or pairs & MAIN_WORD:
         return "side" if any(w in ("comment", "comments", "reply", "ad", "ads", "teaser", "related") for n in names for w in n) else "main"
-    if tag not in ("body", "html") and (any(w in SIDE_WORD for n in names for w in n) or pairs & SIDE_PAIR):
+    if tag not in ("body", "html") and (not in_main and ["header"] in names or any(w in SIDE_WORD for n in names for w in n) or pairs & SIDE_PAIR):
         return "side"
     return ""
 
