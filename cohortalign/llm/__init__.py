@@ -5,9 +5,11 @@
 
 
 def _modules():
-    from . import decontaminate, html_text, langid, lines, mixing, simhash, url_rules, warc
+    from . import (decontaminate, embeddings, html_text, langid, lines, mixing, pipeline, simhash,
+                   suffix_dedup, url_rules, warc)
 
-    return [html_text, warc, simhash, mixing, langid, decontaminate, lines, url_rules]
+    return [suffix_dedup, html_text, warc, simhash, mixing, langid, embeddings, decontaminate, lines,
+            url_rules, pipeline]
 
 
 def queries():
