@@ -221,8 +221,9 @@ def _counted_covers(contexts: DataFrame, length: int, gram: int) -> DataFrame:
                      pa.array([len(left) - i for i in starts], pa.int32()), pa.array(got, pa.binary())], ["h", "c", "n", "d", "w"])
 
     windows = staged(contexts.select("h", "c", "n", "a", "b").mapInArrow(run, "h long, c long, n long, d int, w binary"), "suffix-windows")
-    often = windows.groupBy("w").agg(F.sum("n").alias("times")).where("times > 1").select("w")
-    return windows.join(often, "w").where(f"d between 0 and {length - gram}").groupBy("h", "c").agg(
+    windows = windows.where(f"d between 0 and {length - gram}")
+    often = windows.groupBy("h", "d", "w").agg(F.sum("n").alias("times")).where("times > 1").select("h", "d", "w")
+    return windows.join(often, ["h", "d", "w"]).groupBy("h", "c").agg(
         F.max("d").alias("to_left"), (F.lit(length) - F.min("d")).cast("int").alias("to_right"))
 
 
