@@ -200,11 +200,17 @@ def components(fps: DataFrame, edges: DataFrame) -> DataFrame:
     return fps.join(named, "fp")
 
 
+def _distinct(fps: DataFrame) -> DataFrame:
+    """Distinct fingerprints over all shuffle partitions: each becomes many index rows."""
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fps.select("fp").repartition(n, "fp").distinct()
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                        radius: int = RADIUS) -> DataFrame:
     """(id, fp binary of 8 bytes, component_id): fingerprints link at ``radius`` or fewer differing bits."""
     fps = staged(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    edges = linked(fps.select("fp").distinct(), position_sets(8, radius), radius, 8 - radius)
+    edges = linked(_distinct(fps), position_sets(8, radius), radius, 8 - radius)
     return components(fps, edges)
 
 
@@ -268,8 +274,7 @@ def near_duplicates(docs: DataFrame, uid: str, text_col: str = "text", shingle:
     some = F.size(F.array_remove(F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+"), "")) > 0
     full = docs.select(F.col(uid).alias("id"), F.col(text_col).alias("text")).where(some)
     fps = staged(fingerprints(full, "id", "text", shingle, NEAR_WORDS), "near")
-    distinct = fps.select("fp").distinct()
-    edges = staged(linked(distinct, _near_sets(), SURE_BITS, NEAR_LEAST, doubtful), "near-edges")
+    edges = staged(linked(_distinct(fps), _near_sets(), SURE_BITS, NEAR_LEAST, doubtful), "near-edges")
     doubt = edges.where("doubt").select("u", "v")
     rep = fps.groupBy("fp").agg(F.min("id").alias("id"))
     wanted = doubt.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(rep, "fp")
