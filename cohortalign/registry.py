@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from .plans import metrics
+    from .plans import masks, metrics, rows
 
-    return [metrics]
+    return [metrics, masks, rows]
 
 
 def queries():
