@@ -16,8 +16,8 @@ extensions differ after e bytes and e + p >= length, that is a maximal repeat, a
 The neighbours suffice: any other member agrees with them at least as far. So every
 occurrence gets its largest cover without any list of pairs.
 
-A gram with more than ``MAX_GROUP`` different contexts isn't gathered: its windows
-are counted by hash, one row for each place, which is exact as well.
+A gram with more than ``MAX_GROUP`` different contexts isn't gathered: hashes of ranges of its
+windows are counted, which is exact as well and puts no group into one task.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep all; equal
 texts get equal results, and each removes the other's; an empty table gives an empty
@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import read, small_batches, staged, text_key
 
-LENGTH, GRAM = 400, 64
+LENGTH, GRAM = 400, 128
 MAX_GROUP = 20_000
+RANGES = (42, 6, 1)  # offsets in a range, by round; each divides the one before
 PART = 1 << 19
 _TABLE = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -208,23 +209,46 @@ def _tree_covers(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _counted_covers(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for grams of very many contexts: their windows are counted by hash."""
-
-    def run(batches):
-        for b in batches:
-            for h, c, n, left, right in zip(*[b.column(i).to_pylist() for i in range(5)]):
-                text, last = left + right, len(left) + len(right) - length
-                starts = range(0, last + 1)
-                got = [xxhash.xxh3_128_digest(text[i:i + length]) for i in starts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([h] * len(got), pa.int64()), pa.array([c] * len(got), pa.int64()), pa.array([n] * len(got), pa.int64()),
-                     pa.array([len(left) - i for i in starts], pa.int32()), pa.array(got, pa.binary())], ["h", "c", "n", "d", "w"])
-
-    windows = staged(contexts.select("h", "c", "n", "a", "b").mapInArrow(run, "h long, c long, n long, d int, w binary"), "suffix-windows")
-    windows = windows.where(f"d between 0 and {length - gram}")
-    often = windows.groupBy("h", "d", "w").agg(F.sum("n").alias("times")).where("times > 1").select("h", "d", "w")
-    return windows.join(often, ["h", "d", "w"]).groupBy("h", "c").agg(
-        F.max("d").alias("to_left"), (F.lit(length) - F.min("d")).cast("int").alias("to_right"))
+    """The same for grams of very many contexts, without gathering them. A range of offsets [d0, d1] of the
+    anchor in a window is settled by two counts: if what all its windows share is found
+    once only, none of them is repeated; if what they span together is found again, all are. Ranges in
+    between are cut into smaller ones, down to single windows; of those settled by a
+    common span one goes on for all, so that others can still be found equal to it."""
+    last, covers, state = length - gram, None, contexts.select("h", "c", "a", "b", F.array(F.struct(
+        F.lit(0).alias("d0"), F.lit(length - gram).alias("d1"), "n")).alias("live"))
+    for size in RANGES:
+
+        def emit(batches, size=size):
+            for x in batches:
+                out = []
+                for h, c, left, right, live in zip(*[x.column(i).to_pylist() for i in range(5)]):
+                    text, p = left + right, len(left)
+                    low, high = max(0, length - len(right)), min(last, p)
+                    for d0, n in [(d, r["n"]) for r in live for d in range(r["d0"], r["d1"] + 1, size)]:
+                        d1 = min(d0 + size - 1, last)
+                        if d0 > high or d1 < low:
+                            continue
+                        core = xxhash.xxh3_64_intdigest(text[p - d0:p - d1 + length]) - 2**63
+                        span = xxhash.xxh3_64_intdigest(text[p - d1:p - d0 + length]) - 2**63 if low <= d0 and d1 <= high else None
+                        out.append((h, c, n, d0, d1, core, span))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)],
+                                                 ["h", "c", "n", "d0", "d1", "core", "span"])
+
+        rows = staged(state.mapInArrow(emit, "h long, c long, n long, d0 int, d1 int, core long, span long"), "suffix-ranges")
+        cores = rows.groupBy("h", "d0", "core").agg(F.sum("n").alias("times")).where("times > 1").drop("times")
+        spans = rows.where("span is not null").groupBy("h", "d0", "span").agg(
+            F.sum("n").alias("times"), F.min("c").alias("one")).where("times > 1")
+        alive = rows.join(cores, ["h", "d0", "core"]).join(spans, ["h", "d0", "span"], "left").select(
+            "h", "c", "n", "d0", "d1", "times", "one")
+        alive = staged(alive, "suffix-alive")
+        done = alive.where("times > 1").groupBy("h", "c").agg(
+            F.max("d1").alias("to_left"), (F.lit(length) - F.min("d0")).cast("int").alias("to_right"))
+        covers = done if covers is None else covers.union(done)
+        more = alive.where("d1 > d0 and (times is null or c = one)").groupBy("h", "c").agg(
+            F.collect_list(F.struct("d0", "d1", F.coalesce("times", "n").alias("n"))).alias("live"))
+        state = contexts.select("h", "c", "a", "b").join(more, ["h", "c"])
+    return covers.groupBy("h", "c").agg(F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right"))
 
 
 def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
