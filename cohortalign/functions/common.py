@@ -56,3 +56,8 @@ def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
 def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint for a table whose row count is checked first; none if it is larger."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, for cogrouping a table with what derives from it."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from .plans import masks, metrics, rows
+    from .plans import masks, metrics, rows, stats, timeseries
 
-    return [metrics, masks, rows]
+    return [metrics, masks, rows, timeseries, stats]
 
 
 def queries():
