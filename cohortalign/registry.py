@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from .plans import masks, metrics, rows, stats, timeseries
+    from .plans import masks, metrics, models, rows, sources, stats, timeseries
 
-    return [metrics, masks, rows, timeseries, stats]
+    return [sources, masks, timeseries, rows, metrics, stats, models]
 
 
 def queries():
