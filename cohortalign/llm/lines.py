@@ -30,22 +30,27 @@ from .common import LOWER, UPPER, ascii_lower, broadcast_if_small, read, small_b
 
 MIN_WORDS, MIN_NEAR_WORDS = 5, 8
 SPACE = r"[\x20\x09-\x0D]+"
-MAX_BROADCAST_LINES = 500_000
+MAX_BROADCAST_TEXTS = 200_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def line_words(line: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(line), SPACE), "")
+    """Split at plain spaces where the line has no other white space, which is much faster."""
+    low = ascii_lower(line)
+    other = [F.contains(line, F.lit(c)) for c in "\t\r\v\f"]
+    return F.array_remove(F.when(other[0] | other[1] | other[2] | other[3], F.split(low, SPACE)).otherwise(F.split(low, " ")), "")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t, line, words, h) for lines that may be removed."""
+    """(h, id, t, line, halves) for lines that may be removed; halves only of those that may be near others.
+    The one pass that looks at all words."""
     text = F.col(text_col)
     out = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"),
                                               F.posexplode(F.split(text, "\n", -1)).alias("line", "s"))
     out = out.select("id", "t", "line", line_words(F.col("s")).alias("words")).where(F.size("words") >= MIN_WORDS)
-    return out.withColumn("h", F.xxhash64("words", F.size("words")))
+    halves = F.when(F.size("words") >= MIN_NEAR_WORDS, _halves(F.col("words")))
+    return out.select(F.xxhash64("words", F.size("words")).alias("h"), "id", "t", "line", halves.alias("halves"))
 
 
 def _halves(words: Column) -> Column:
@@ -81,21 +86,24 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
     return a[i + (len(a) == len(b)):] == b[i + 1:]
 
 
-def near_removed(lines: DataFrame, first: DataFrame) -> DataFrame:
+def near_removed(docs: DataFrame, lines: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h): lines that are within one edit of a line with an earlier first occurrence.
-    lines: _lines(); first: (h, o) with the order of each line's first occurrence."""
+    lines: _lines(), written; first: (h, o) with the order of each line's first occurrence."""
     spark = lines.sparkSession
-    longer = lines.where(F.size("words") >= MIN_NEAR_WORDS)
-    halves = staged(longer.select("h", F.explode(_halves(F.col("words"))).alias("k")).select("h", "k.side", "k.key").distinct(),
-                    "line-halves")
+    halves = lines.where("halves is not null").select("h", F.explode("halves").alias("k")).select("h", "k.side", "k.key")
     shared = halves.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
     cand = halves.join(shared, "key").groupBy("h").agg(
         F.max((F.col("side") == 0)).alias("front"), F.max((F.col("side") == 1)).alias("back"))
-    cand = staged(cand.join(first, "h"), "line-cand")
-    few = broadcast_if_small(cand, MAX_BROADCAST_LINES)
-    texts = longer.select("h", "id", "t", "line", "words").join(few, "h")
-    texts = texts.where(F.struct("id", "t", "line") == F.struct("o.id", "o.t", "o.line"))
-    texts = staged(texts.dropDuplicates(["h"]).select("h", "o", "words", "front", "back"), "line-texts")
+    want = cand.join(first, "h").groupBy(F.col("o.id").alias("_id"), F.col("o.t").alias("_t")).agg(
+        F.collect_list(F.struct("h", "o", "front", "back")).alias("want"))
+    want = broadcast_if_small(staged(want, "line-want"), MAX_BROADCAST_TEXTS)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    rows = rows.join(want, rows.t.eqNullSafe(want["_t"]) & rows.id.eqNullSafe(want["_id"]))
+    parts = F.split("text", "\n", -1)
+    cut = F.transform(F.array(parts), lambda p: F.transform("want", lambda w: F.struct(
+        w["h"].alias("h"), w["o"].alias("o"), w["front"].alias("front"), w["back"].alias("back"), F.get(p, w["o"]["line"]).alias("s"))))
+    texts = rows.select(F.explode(F.flatten(cut)).alias("w")).select("w.h", "w.o", line_words(F.col("w.s")).alias("words"), "w.front", "w.back")
+    texts = staged(texts.dropDuplicates(["h"]), "line-texts")
 
     def emit(batches):
         for b in batches:
@@ -133,11 +141,11 @@ def near_removed(lines: DataFrame, first: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, t, gone): sorted numbers of the lines to remove, for texts that have some."""
-    lines = _lines(docs, id_col, text_col)
     order = F.struct("id", "t", "line")
-    places = staged(lines.select("h", "id", "t", "line"), "line-places")
+    lines = staged(_lines(docs, id_col, text_col), "line-places")
+    places = lines.drop("halves")
     first = staged(places.groupBy("h").agg(F.min(order).alias("o")), "line-first")
-    near = staged(near_removed(lines, first), "line-near").withColumn("near", F.lit(True))
+    near = staged(near_removed(docs, lines, first, id_col, text_col), "line-near").withColumn("near", F.lit(True))
     state = first.join(near, "h", "left")
     gone = places.join(state, "h").where(F.col("near").isNotNull() | (order != F.col("o")))
     return gone.groupBy("id", "t").agg(F.array_sort(F.collect_set("line")).alias("gone"))
