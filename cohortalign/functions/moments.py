@@ -69,8 +69,8 @@ def collected(moments: DataFrame, keys: list[str]) -> dict[tuple, tuple[int, np.
     """The moments on the driver: key -> (n, sums, cross-products)."""
     out = {}
     for r in moments.collect():
-        s = np.array(r["s"])
-        out[tuple(r[k] for k in keys)] = (r["n"], s, np.array(r["g"]).reshape(len(s), len(s)))
+        s = np.array(r["s"], float)
+        out[tuple(r[k] for k in keys)] = (r["n"], s, np.array(r["g"], float).reshape(len(s), len(s)))
     return out
 
 

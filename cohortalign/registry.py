@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from .plans import masks, metrics, models, rows, sources, stats, timeseries
+    from .plans import experiments, masks, metrics, models, rows, sources, stats, timeseries
 
-    return [sources, masks, timeseries, rows, metrics, stats, models]
+    return [sources, masks, timeseries, rows, metrics, stats, models, experiments]
 
 
 def queries():
@@ -24,4 +24,6 @@ def oracle_sql():
 
 
 def entry(spark, sf_dir):
-    return queries()["MET1_voxelwise_correlation"](spark, sf_dir)
+    """A held-out subject from end to end: shared items, connectivity, shared space, encoder,
+    zero-shot alignment, predicted channels and their scores."""
+    return queries()["EXP1_zero_shot"](spark, sf_dir)
