@@ -68,9 +68,9 @@ def _matches(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFram
     return out.distinct()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] = ["doc_id"], text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
-    """One row per document with its id, ``n_words``, ``spans`` (sorted runs of hit
+    """One row per document with its columns ``keep``, ``n_words``, ``spans`` (sorted runs of hit
     words, [start, end) counted from 0) and ``items`` (ids of items with occurring windows)."""
     items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("iw"))
     items = items.where(F.size("iw") > 0).distinct().withColumn("uid", F.xxhash64("item", "iw"))
@@ -81,8 +81,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     found = staged(found, "decon-found")
 
     # the shuffled join at every size: what is found grows with the texts
-    left = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    both = left.join(found.hint("merge"), "key", "left").withColumn("words", words_of(F.col("text")))
+    left = docs.select(F.struct(*keep).alias("kept"), text_key(F.col(text_col)).alias("key"),
+                       *([] if text_col in keep else [F.col(text_col).alias("text")]))
+    text = F.col("kept")[text_col] if text_col in keep else F.col("text")
+    both = left.join(found.hint("merge"), "key", "left").withColumn("words", words_of(text))
     words = F.col("words")
 
     def along(d):
@@ -96,7 +98,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                         F.transform(starts, lambda j: F.struct((j + delta).alias("s"), (j + delta + n).alias("e"))).alias("w"))
 
     real = F.filter(F.transform(F.col("found"), along), lambda x: F.size(x["w"]) > 0)
-    both = both.select("id", F.size("words").cast("long").alias("n_words"),
+    both = both.select("kept", F.size("words").cast("long").alias("n_words"),
                        F.when(F.col("found").isNotNull(), real).alias("real"))
     none = F.array().cast("array<struct<s:int,e:int>>")
     windows = F.array_sort(F.array_distinct(F.flatten(F.transform("real", lambda x: x["w"]))))
@@ -109,7 +111,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             F.concat(acc, F.array(x)))
 
     return both.select(
-        F.col("id").alias(id_col), "n_words",
+        "kept.*", "n_words",
         F.when(F.col("real").isNotNull(), F.aggregate(windows, none, add)).otherwise(none).alias("spans"),
         F.coalesce(F.array_distinct(F.transform("real", lambda x: x["item"])), F.array()).alias("items"))
 

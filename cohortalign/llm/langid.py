@@ -109,16 +109,17 @@ def decode(counts: np.ndarray, code: np.ndarray, weights: np.ndarray) -> np.ndar
     return e / e.sum()
 
 
-def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, ambiguous) for every row; only the text is looked at."""
+def predict(docs: DataFrame, model, keep: list[str] = ["doc_id"], text_col: str = "text") -> DataFrame:
+    """The columns ``keep``, lang_pred, score and ambiguous for every row; only the text is looked at."""
     small_batches(docs.sparkSession)
     languages, code, weights = model
-    df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    df = docs.select(*keep, F.col(text_col).alias("_text"))
+    n = len(keep)
 
     def run(batches):
         for b in batches:
             best, score = [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(n).to_pylist():
                 if not languages or text is None or not _LETTER.search(text):
                     best.append("und")
                     score.append(0.0)
@@ -127,11 +128,11 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
                 best.append(languages[int(p.argmax())])
                 score.append(float(p.max()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()),
-                 pa.array([s < AMBIGUOUS for s in score], pa.bool_())], ["id", "lang_pred", "score", "ambiguous"])
+                [*b.columns[:n], pa.array(best, pa.string()), pa.array(score, pa.float64()),
+                 pa.array([s < AMBIGUOUS for s in score], pa.bool_())], [*keep, "lang_pred", "score", "ambiguous"])
 
-    kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, lang_pred string, score double, ambiguous boolean").withColumnRenamed("id", id_col)
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    return df.mapInArrow(run, f"{kinds}lang_pred string, score double, ambiguous boolean")
 
 
 def fold(id_col: str = "doc_id"):

@@ -56,7 +56,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
           .withColumn("level", (F.col("all_words") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
                       / F.sum("w").over(after))
           .withColumn("capped", F.col("cap") <= F.col("level") * F.col("w")))
-    first_free = F.min(F.when(~F.col("capped"), F.col("level"))).over(every)
+    # of the sources below their caps the first has the level, the highest: it takes no cap that isn't reached
+    first_free = F.max(F.when(~F.col("capped"), F.col("level"))).over(every)
     return w.withColumn("free_level", first_free).select(
         "source", "source_size",
         F.when(F.col("capped"), F.col("cap")).otherwise(F.col("free_level") * F.col("w")).alias("target"))
@@ -136,7 +137,7 @@ r as (
 t as (
   select source, source_size,
     case when cap <= lvl * w then cap
-         else (select min(lvl) from r where not cap <= lvl * w) * w end as target
+         else (select max(lvl) from r where not cap <= lvl * w) * w end as target
   from r),
 p as (
   select *, least(3, case when source_size > 0 then floor(target / source_size) else 0 end) as whole from t),

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, connected_components, read, small_batches, staged
+from .common import LOWER, UPPER, broadcast_if_small, connected_components, read, small_batches, staged, text_key
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 MAX_LIST = 8192
@@ -138,13 +138,35 @@ def _runs(batches):
         yield key, held, block
 
 
-def linked(distinct: DataFrame, sets: list[tuple[int, ...]], radius: int, least: int, doubts=None) -> DataFrame:
+def _met(batches):
+    """Of rows sorted by key, those whose key comes up again."""
+    held = None  # the last row of a batch, and whether it has been met
+    for b in batches:
+        k, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not len(k):
+            continue
+        if held is not None:
+            k, v = np.concatenate([held[0], k]), np.concatenate([held[1], v])
+        same = k[1:] == k[:-1]
+        keep = np.concatenate([[held is not None and held[2]], same]) | np.concatenate([same, [False]])
+        held = (k[-1:], v[-1:], len(k) > 1 and bool(same[-1]) or len(k) == 1 and held is not None and held[2])
+        yield pa.RecordBatch.from_arrays([pa.array(k[:-1][keep[:-1]]), pa.array(v[:-1][keep[:-1]])], ["key", "node"])
+    if held is not None and held[2]:
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["key", "node"])
+
+
+def linked(distinct: DataFrame, sets: list[tuple[int, ...]], radius: int, least: int, doubts=None, narrow: bool = True) -> DataFrame:
     """(u, v, doubt): edges of spanning forests over distinct fingerprints ``fp``, and
     the pairs that ``doubts(matrix, edges)`` adds to them."""
     spark = distinct.sparkSession
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.substring("fp", p + 1, 1) for p in s]) for i, s in enumerate(sets)])
-    index = distinct.select(F.explode(keys).alias("key"), "fp")
+    index = distinct.select(F.explode(keys).alias("key"), "fp" if narrow else node_of("fp").alias("node"))
     index = index.repartition("key").sortWithinPartitions("key")
+    if not narrow:  # only the keys that are met again get the wide fingerprints
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+        met = staged(index.mapInArrow(_met, "key long, node long"), "simhash-met")
+        wide = distinct.withColumn("node", node_of("fp"))
+        index = met.join(wide, "node").select("key", "fp").repartition("key").sortWithinPartitions("key")
 
     def edges_of(fps):
         m = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)
@@ -227,6 +249,7 @@ NEAR_KEYS = 96  # choices of three positions
 NEAR_LEAST = 6  # positional bytes in common; about 17 are expected at a similarity of 0.8
 SURE_BITS, DOUBT_BITS = 56, 110  # of 512; 78 are expected to differ at 0.8, with a deviation of 8
 ALL_PAIRS_LIST = 64
+MAX_BROADCAST_TEXTS = 200_000
 
 
 def _near_sets() -> list[tuple[int, ...]]:
@@ -264,21 +287,22 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, a.size + b.size - both)
 
 
-def near_duplicates(docs: DataFrame, uid: str, text_col: str = "text", shingle: int = NEAR_SHINGLE,
+def near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int = NEAR_SHINGLE,
                     similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """(uid, component): documents whose shingle sets are alike (Jaccard), joined transitively.
+    """(key, component): distinct texts, by their key, whose shingle sets are alike (Jaccard), joined
+    transitively; texts that are alone have no row. Blank texts have no shingles and stay alone.
 
-    Each edge of the index that the fingerprints leave in doubt is settled on the
-    texts. Blank texts have no shingles and stay alone. ``uid`` must be unique.
+    Each edge of the index that the fingerprints leave in doubt is settled on the texts.
     """
-    some = F.size(F.array_remove(F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+"), "")) > 0
-    full = docs.select(F.col(uid).alias("id"), F.col(text_col).alias("text")).where(some)
+    text = F.col(text_col)
+    full = docs.select(text_key(text).alias("id"), text.alias("text")).where(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")))
     fps = staged(fingerprints(full, "id", "text", shingle, NEAR_WORDS), "near")
-    edges = staged(linked(_distinct(fps), _near_sets(), SURE_BITS, NEAR_LEAST, doubtful), "near-edges")
+    edges = staged(linked(_distinct(fps), _near_sets(), SURE_BITS, NEAR_LEAST, doubtful, False), "near-edges")
     doubt = edges.where("doubt").select("u", "v")
     rep = fps.groupBy("fp").agg(F.min("id").alias("id"))
-    wanted = doubt.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(rep, "fp")
-    texts = staged(full.join(wanted, "id").select("fp", "text"), "near-texts")
+    wanted = staged(doubt.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(rep, "fp"), "near-wanted")
+    texts = full.join(broadcast_if_small(wanted, MAX_BROADCAST_TEXTS), "id").select("fp", "text")
+    texts = staged(texts.dropDuplicates(["fp"]), "near-texts")
     pairs = doubt.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u")
     pairs = pairs.join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
 
@@ -288,10 +312,13 @@ def near_duplicates(docs: DataFrame, uid: str, text_col: str = "text", shingle:
                   for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    good = pairs.mapInArrow(verify, "u binary, v binary")
     small_batches(docs.sparkSession, 500)
-    out = components(fps, staged(edges.where("not doubt").select("u", "v").union(good), "near-good"))
-    return out.select(F.col("id").alias(uid), F.col("component_id").alias("component"))
+    good = pairs.mapInArrow(verify, "u binary, v binary")
+    cc = connected_components(staged(edges.where("not doubt").select("u", "v").union(good), "near-good").select(
+        node_of("u").alias("u"), node_of("v").alias("v")))
+    same = fps.groupBy("fp").agg(F.count_distinct("id").alias("n")).where("n > 1").select(node_of("fp").alias("node")).withColumn("component", F.col("node"))
+    cc = cc.union(same.join(cc.select("node"), "node", "left_anti"))
+    return fps.select(node_of("fp").alias("node"), F.col("id").alias("key")).distinct().join(cc, "node").select("key", "component")
 
 
 QUERIES = {"op4_simhash": op4_simhash}

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, ascii_lower, broadcast_if_small, read, staged
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 0.9, 2
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 5, 0.9, 2
 MAX_RULES = 100_000
 
 
@@ -66,7 +66,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     with_mark = found.where(F.array_contains("items", mark)).select(F.array_remove("items", mark).alias("tokens"), F.col("freq").alias("both"))
     plain = found.where(~F.array_contains("items", mark)).select(F.col("items").alias("tokens"), F.col("freq").alias("support"))
     rules = with_mark.where(F.size("tokens") > 0).join(plain, "tokens").withColumn("confidence", F.col("both") / F.col("support"))
-    rules = staged(rules.where(F.col("confidence") >= min_confidence), "url-rules")
+    rules = staged(rules.where((F.col("both") >= MIN_COUNT) & (F.col("confidence") >= min_confidence)), "url-rules")
     singles = plain.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("one"), F.col("support").alias("n"))
     each = rules.withColumn("one", F.explode("tokens")).join(singles, "one")
     smaller = rules.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("one"), F.lit(True).alias("implied"))
@@ -133,7 +133,7 @@ k as (
 l as (select doc_id, case when max(toxic) = 1 then 'block' else 'allow' end as label from labels group by doc_id),
 b as (select rid, t, coalesce(given, label) as label from k left join l on page_id = doc_id where coalesce(given, label) is not null),
 o as (select rid, unnest(t) as x, label from b),
-need as (select ceil({MIN_SUPPORT} * count(*)) as n from b),
+need as (select greatest({MIN_COUNT}, ceil({MIN_SUPPORT} * count(*))) as n from b),
 s as (
   select x as x, null as y, count(*) as n, count(*) filter (where label = 'block') as c from o group by all
   union all
