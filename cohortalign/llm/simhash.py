@@ -245,7 +245,7 @@ def op4_simhash(spark, sf_dir) -> DataFrame:
 
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 NEAR_WORDS = 8  # 64 bytes, 512 bits
-NEAR_KEYS = 96  # choices of three positions
+NEAR_KEYS = 160  # choices of three positions
 NEAR_LEAST = 6  # positional bytes in common; about 17 are expected at a similarity of 0.8
 SURE_BITS, DOUBT_BITS = 56, 110  # of 512; 78 are expected to differ at 0.8, with a deviation of 8
 ALL_PAIRS_LIST = 64
