@@ -262,8 +262,8 @@ def exp19_task(s, d):
 
 def exp19_rest(s, d):
     ser = V.ts(s, d)
-    runs = ser.select("run").distinct().withColumn("subject", (F.col("run") % 9).cast("int"))
-    out = X.prepare_rest(ser, V.motion(s, d), runs, 2, 500, fd_limit=0.6)
+    runs = ser.select("run").distinct().withColumn("subject", (F.col("run") % 3).cast("int"))
+    out = X.prepare_rest(ser, V.motion(s, d), runs, 2, 60, fd_limit=0.8)
     return out.groupBy("subject", "new_run", "voxel").agg(F.count("*").alias("n"), rounded(F.avg("x")).alias("mean"))
 
 
