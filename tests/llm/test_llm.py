@@ -410,3 +410,16 @@ def test_pipeline_stages(spark, tmp_path):
     df.write.parquet(f"file://{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, where).count() == 9
 
+
+
+def test_keys_met_again():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        k = np.sort(rng.integers(0, 12, rng.integers(0, 25)))
+        cuts = np.sort(rng.integers(0, len(k) + 1, 4))
+        parts = np.split(np.column_stack([k, np.arange(len(k))]), cuts)
+        batches = [pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["key", "node"]) for p in parts]
+        got = [x for b in simhash._met(iter(batches)) for x in b.column(1).to_pylist()]
+        assert got == [i for i, x in enumerate(k) if (k == x).sum() > 1]
