@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,26 +140,20 @@ def fit_ridge_wide(rows: DataFrame, alpha: float, x: str = "x", z: str = "z", to
     """Ridge with intercept for features too many for a Gram: conjugate gradients on all
     targets at once, each step one pass that sums X'(X D) over Arrow blocks."""
     rows = rows.select(F.col(x).cast("array<double>").alias("x"), F.col(z).cast("array<double>").alias("z"))
-    n, mx, mz = _means(rows)
+    mx, mz = _means(rows)
 
     def summed(function, shape) -> np.ndarray:
+        """Sum over all rows of function(centred x block, centred z block)."""
         def part(batches):
             total = np.zeros(shape)
             for b in batches:
                 if b.num_rows:
                     total += function(matrix(b.column(0)) - mx, matrix(b.column(1)) - mz)
-            yield pd.DataFrame({"i": range(shape[0]), "v": [r.tolist() for r in total]})
+            yield pa.RecordBatch.from_arrays([pa.array(range(shape[0]), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "v"])
 
-        def frames(it):
-            import pyarrow as pa
-
-            for pdf in part(it):
-                yield pa.RecordBatch.from_pandas(pdf, schema=pa.schema([("i", pa.int32()), ("v", pa.list_(pa.float64()))]), preserve_index=False)
-
-        out = rows.mapInArrow(frames, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "x"))
-        got = out.groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+        out = rows.mapInArrow(part, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "x"))
         m = np.zeros(shape)
-        for r in got:
+        for r in out.groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
             m[r["i"], r["j"]] = r["x"]
         return m
 
@@ -177,11 +172,10 @@ def fit_ridge_wide(rows: DataFrame, alpha: float, x: str = "x", z: str = "z", to
     return Encoder(w, mz, mx, np.ones(len(mx)))
 
 
-def _means(rows: DataFrame):
-    n = rows.count()
+def _means(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     mean = lambda c: np.array([r[1] for r in sorted(
         rows.select(F.posexplode(c).alias("i", "v")).groupBy("i").agg(F.avg("v")).collect())])
-    return n, mean("x"), mean("z")
+    return mean("x"), mean("z")
 
 
 def fit_any_ridge(rows: DataFrame, alpha: float, max_width: int = MAX_WIDTH) -> Encoder:

@@ -4,18 +4,14 @@ from __future__ import annotations
 
 import itertools
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import draw_key, staged
-from ..functions.moments import as_long
+from ..functions.common import staged
+from ..functions.moments import apply_matrix, as_long, as_rows, collected, cross_moments
 from . import alignment as A
 from . import encoding as E
 from . import metrics as M
-from . import rowjoins as J
-from . import splits as S
-from . import stats
 from . import trials as T
 
 
@@ -85,7 +81,6 @@ def fewshot_ablation(space, encoder, conn: DataFrame, measured: DataFrame, featu
     levels = spark.createDataFrame([(int(s), f"{s}/{n}/{seed}", n, seed) for s, n, seed in rotations], "subject int, g string, n_shots int, seed int")
     wanted = rows.select("subject", "stim_id", "v").join(features, "stim_id").join(F.broadcast(levels), "subject")
     back = {f"{s}/{n}/{seed}": r.T @ bases[s].T for (s, n, seed), r in rotations.items()}
-    from ..functions.moments import apply_matrix
 
     p = apply_matrix(wanted, "g", {g: w @ m for g, m in back.items()}, "x", "p", {g: b @ m for g, m in back.items()})
     cells = p.select("subject", "n_shots", "seed", "stim_id", F.posexplode(F.arrays_zip(F.col("v").alias("y"), F.col("p").alias("p"))).alias("voxel", "c"))
@@ -133,7 +128,6 @@ def loso_sweep(conn: DataFrame, responses: DataFrame, features: DataFrame, ks: l
         common = inside(responses).join(shared.select("stim_id"), "stim_id", "left_semi")
         space = A.fit_shared_space(inside(conn), common, k, min_k)
         z = A.project(inside(responses), A.bases_on_driver(space.basis), space.rotations)
-        from ..functions.moments import collected, cross_moments
 
         pooled = E.pooled_training(features, z.select("subject", "stim_id", "z"))
         width = features.select(F.size("x")).first()[0]
@@ -280,7 +274,6 @@ def feature_benchmark(responses: DataFrame, targets: DataFrame, conditions: Data
     """
     train = as_long(responses, ["stim_id"], "voxel", "val")
     st = T.channel_stats(train, ["voxel"], ddof=1)
-    from ..functions.moments import as_rows
 
     z = lambda df, keys: as_rows(T.standardize(as_long(df, keys, "voxel", "val"), st, ["voxel"]), keys, "voxel", "val", "x")
     x = z(responses, ["stim_id"]).join(targets, "stim_id")

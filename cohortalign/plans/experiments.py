@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions.common import rounded
 from ..operators import experiments as X
-from ..operators import metrics as M
 from ..sources import views as V
 from ..sources.views import corr_sql, query, rnd
 from .metrics import CORR, NC, ceiling, corr

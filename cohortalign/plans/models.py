@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..functions.common import rounded, shared_path
-from ..functions.moments import as_rows
 from ..operators import alignment as A
 from ..operators import connectivity as C
 from ..operators import encoding as E
