@@ -26,7 +26,6 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left
 
 import numpy as np
