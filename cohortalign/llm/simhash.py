@@ -9,8 +9,8 @@ verified by the differing bits. Of each list only the edges of a spanning forest
 written, never all pairs. A list longer than ``MAX_LIST`` is cut into blocks, and
 each pair of blocks is compared in a task of its own.
 
-``near_duplicates`` uses the same index with 64-byte fingerprints of five-word shingles:
-differing bits estimate the similarity, and close calls are settled by the exact
+``near_duplicates`` uses the same index with 64-byte fingerprints of the distinct five-word
+shingles: differing bits only propose pairs, and every pair is settled by the exact
 Jaccard similarity of the shingle sets.
 
 Defined results: null or blank texts have fingerprint zero and are linked like any
@@ -108,9 +108,8 @@ def forest(fps: np.ndarray, radius: int, least: int) -> list[tuple[int, int]]:
     return edges
 
 
-_EDGE = "u binary, v binary, doubt boolean, key long, block int, fps array<binary>"
-_EDGE_ARROW = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("doubt", pa.bool_()),
-                         ("key", pa.int64()), ("block", pa.int32()),
+_EDGE = "u binary, v binary, key long, block int, fps array<binary>"
+_EDGE_ARROW = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("key", pa.int64()), ("block", pa.int32()),
                          ("fps", pa.list_(pa.binary()))])
 
 
@@ -155,36 +154,40 @@ def _met(batches):
         yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["key", "node"])
 
 
-def linked(distinct: DataFrame, sets: list[tuple[int, ...]], radius: int, least: int, doubts=None, narrow: bool = True) -> DataFrame:
-    """(u, v, doubt): edges of spanning forests over distinct fingerprints ``fp``, and
-    the pairs that ``doubts(matrix, edges)`` adds to them."""
-    spark = distinct.sparkSession
+def index_of(distinct: DataFrame, sets: list[tuple[int, ...]], narrow: bool = True) -> DataFrame:
+    """(key, fp), or (key, node): a row for each choice of positions."""
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.substring("fp", p + 1, 1) for p in s]) for i, s in enumerate(sets)])
-    index = distinct.select(F.explode(keys).alias("key"), "fp" if narrow else node_of("fp").alias("node"))
+    return distinct.select(F.explode(keys).alias("key"), "fp" if narrow else node_of("fp").alias("node"))
+
+
+def met_again(index: DataFrame) -> DataFrame:
+    """Of (key, node) the rows of keys that have several; only they get the wide fingerprints."""
+    index = index.repartition("key").sortWithinPartitions("key")
+    index.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    return staged(index.mapInArrow(_met, "key long, node long"), "simhash-met")
+
+
+def linked(index: DataFrame, edges_of) -> DataFrame:
+    """(u, v): the pairs of rows that ``edges_of(rows)`` finds in the lists of an index (key, fp)."""
+    spark = index.sparkSession
     index = index.repartition("key").sortWithinPartitions("key")
-    if not narrow:  # only the keys that are met again get the wide fingerprints
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-        met = staged(index.mapInArrow(_met, "key long, node long"), "simhash-met")
-        wide = distinct.withColumn("node", node_of("fp"))
-        index = met.join(wide, "node").select("key", "fp").repartition("key").sortWithinPartitions("key")
-
-    def edges_of(fps):
-        m = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)
-        sure = forest(m, radius, least)
-        more = doubts(m, sure) if doubts else []
-        return [(fps[a], fps[b], k) for k, e in ((False, sure), (True, more)) for a, b in e]
+
+    def batch(out):
+        return pa.RecordBatch.from_pylist([dict(zip(_EDGE_ARROW.names, r)) for r in out], _EDGE_ARROW)
 
     def scan(batches):
         out = []
         for key, fps, block in _runs(batches):
-            out += [(u, v, k, None, None, None) for u, v, k in edges_of(fps)] if len(fps) > 1 else []
+            for a, b in edges_of(fps) if len(fps) > 1 else ():
+                out.append((fps[a], fps[b], None, None, None))
+                if len(out) >= 4096:
+                    yield batch(out)
+                    out = []
             if block or len(fps) == MAX_LIST:
-                out.append((None, None, None, int(key), block, fps))
-            if len(out) >= 4096:
-                yield pa.RecordBatch.from_pylist([dict(zip(_EDGE_ARROW.names, r)) for r in out], _EDGE_ARROW)
+                yield batch([*out, (None, None, int(key), block, fps)])
                 out = []
         if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(_EDGE_ARROW.names, r)) for r in out], _EDGE_ARROW)
+            yield batch(out)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     found = staged(index.mapInArrow(scan, _EDGE), "simhash-lists")
@@ -193,19 +196,28 @@ def linked(distinct: DataFrame, sets: list[tuple[int, ...]], radius: int, least:
     def across(batches):
         for b in batches:
             for r in b.to_pylist():
-                e = edges_of([*r["a"], *r["b"]])
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in e], t) for i, t in enumerate(
-                    (pa.binary(), pa.binary(), pa.bool_()))], ["u", "v", "doubt"])
-
-    edges = found.where("block is null").select("u", "v", "doubt")
+                rows, out = [*r["a"], *r["b"]], []
+                for e in edges_of(rows):
+                    out.append((rows[e[0]], rows[e[1]]))
+                    if len(out) >= 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], ["u", "v"])
+                        out = []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], ["u", "v"])
+
+    edges = found.where("block is null").select("u", "v")
     blocks = found.where("block is not null").select("key", "block", "fps")
     if not blocks.isEmpty():
         pairs = blocks.alias("x").join(blocks.alias("y"), "key").where("x.block < y.block")
         pairs = pairs.select(F.col("x.fps").alias("a"), F.col("y.fps").alias("b")).repartition(F.rand(7))
-        edges = edges.union(staged(pairs.mapInArrow(across, "u binary, v binary, doubt boolean"), "simhash-blocks"))
+        edges = edges.union(staged(pairs.mapInArrow(across, "u binary, v binary"), "simhash-blocks"))
     return edges.distinct()
 
 
+def _matrix(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+
+
 def node_of(fp: str):
     """A fingerprint's name in the graph: its 64 bits, or 64 hashed bits of a wider one."""
     return F.when(F.octet_length(fp) == 8, F.conv(F.hex(fp), 16, -10).cast("long")).otherwise(F.xxhash64(fp))
@@ -232,7 +244,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        radius: int = RADIUS) -> DataFrame:
     """(id, fp binary of 8 bytes, component_id): fingerprints link at ``radius`` or fewer differing bits."""
     fps = staged(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    edges = linked(_distinct(fps), position_sets(8, radius), radius, 8 - radius)
+    edges = linked(index_of(_distinct(fps), position_sets(8, radius)), lambda rows: forest(_matrix(rows), radius, 8 - radius))
     return components(fps, edges)
 
 
@@ -257,10 +269,12 @@ def _near_sets() -> list[tuple[int, ...]]:
     return [tuple(sorted(rng.sample(range(8 * NEAR_WORDS), 3))) for _ in range(NEAR_KEYS)]
 
 
-def doubtful(fps: np.ndarray, sure: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs between groups of surely similar rows that the bits leave open: all of
-    them in short lists, a spanning forest of them in longer ones."""
-    top = list(range(len(fps)))
+def proposed(rows: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs of a list to be settled, from rows that begin with the fingerprint: a spanning forest of the very
+    similar rows, and between its groups the pairs that the bits leave open, all of them in short lists, a
+    spanning forest of them in longer ones."""
+    fps = _matrix(rows)[:, :8 * NEAR_WORDS]
+    top, sure = list(range(len(fps))), forest(fps, SURE_BITS, NEAR_LEAST)
 
     def find(i):
         while top[i] != i:
@@ -271,14 +285,18 @@ def doubtful(fps: np.ndarray, sure: list[tuple[int, int]]) -> list[tuple[int, in
     for a, b in sure:
         top[find(b)] = find(a)
     if len(fps) > ALL_PAIRS_LIST:
-        return [(a, b) for a, b in forest(fps, DOUBT_BITS, NEAR_LEAST) if find(a) != find(b)]
-    label, out = np.array([find(i) for i in range(len(fps))]), []
+        return sure + [(a, b) for a, b in forest(fps, DOUBT_BITS, NEAR_LEAST) if find(a) != find(b)]
+    return sure + list(open_pairs(fps, np.array([find(i) for i in range(len(fps))])))
+
+
+def open_pairs(fps: np.ndarray, label: np.ndarray):
+    """Every pair of differing labels that the bits leave open."""
     for i in range(len(fps) - 1):
         other = i + 1 + np.flatnonzero(label[i + 1:] != label[i])
         x = fps[other] ^ fps[i]
         near = ((x == 0).sum(1) >= NEAR_LEAST) & (np.bitwise_count(x).sum(1, dtype=np.int64) <= DOUBT_BITS)
-        out += [(i, int(j)) for j in other[near]]
-    return out
+        for j in other[near].tolist():
+            yield i, j
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -287,35 +305,85 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, a.size + b.size - both)
 
 
+def near_fingerprints(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, fp): the wide SimHash of each text's distinct shingles, followed by a hash of their set, so
+    that rows of equal ``fp`` have equal sets."""
+    small_batches(texts.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            hs = [np.unique(shingle_hashes(t, shingle)) for t in b.column(1).to_pylist()]
+            fps = [fingerprint(h, NEAR_WORDS) + xxhash.xxh64_digest(h.tobytes(), SEED) for h in hs]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["id", "fp"])
+
+    return texts.select("id", "text").mapInArrow(run, "id binary, fp binary")
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, text) -> (node, h): the sorted distinct shingle hashes as bytes."""
+    small_batches(texts.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            hs = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hs, pa.binary())], ["node", "h"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, h binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of the pairs (u, v) whose shingle sets (node, h) have that Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("h").alias("a")), "u")
+    both = both.join(sets.select(F.col("node").alias("v"), F.col("h").alias("b")), "v").select("u", "v", "a", "b")
+
+    def run(batches):
+        for b in batches:
+            ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity
+                  for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    small_batches(pairs.sparkSession, 500)
+    return both.mapInArrow(run, "u long, v long")
+
+
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose nodes are not in one group of (node, component)."""
+    out = pairs
+    for c in ("u", "v"):
+        out = out.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left")
+    return out.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v")
+
+
+def settled(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): verified pairs that join the groups which all alike pairs of the given ones would join.
+    First each node's pair with its least partner; then all pairs of groups that are still apart."""
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
+    pairs = staged(pairs, "near-pairs")
+    first = staged(verified(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), sets, similarity), "near-first")
+    rest = staged(apart(pairs, connected_components(first)), "near-rest")
+    return first.union(staged(verified(rest, sets, similarity), "near-second"))
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int = NEAR_SHINGLE,
                     similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """(key, component): distinct texts, by their key, whose shingle sets are alike (Jaccard), joined
     transitively; texts that are alone have no row. Blank texts have no shingles and stay alone.
 
-    Each edge of the index that the fingerprints leave in doubt is settled on the texts.
+    Nodes are distinct shingle sets. Each pair that the index proposes is settled on the sets.
     """
     text = F.col(text_col)
     full = docs.select(text_key(text).alias("id"), text.alias("text")).where(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")))
-    fps = staged(fingerprints(full, "id", "text", shingle, NEAR_WORDS), "near")
-    edges = staged(linked(_distinct(fps), _near_sets(), SURE_BITS, NEAR_LEAST, doubtful, False), "near-edges")
-    doubt = edges.where("doubt").select("u", "v")
-    rep = fps.groupBy("fp").agg(F.min("id").alias("id"))
-    wanted = staged(doubt.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(rep, "fp"), "near-wanted")
-    texts = full.join(broadcast_if_small(wanted, MAX_BROADCAST_TEXTS), "id").select("fp", "text")
-    texts = staged(texts.dropDuplicates(["fp"]), "near-texts")
-    pairs = doubt.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u")
-    pairs = pairs.join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
-
-    def verify(batches):
-        for b in batches:
-            ok = [jaccard(shingle_hashes(x, shingle), shingle_hashes(y, shingle)) >= similarity
-                  for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    small_batches(docs.sparkSession, 500)
-    good = pairs.mapInArrow(verify, "u binary, v binary")
-    cc = connected_components(staged(edges.where("not doubt").select("u", "v").union(good), "near-good").select(
-        node_of("u").alias("u"), node_of("v").alias("v")))
+    fps = staged(near_fingerprints(full, shingle), "near")
+    wide = _distinct(fps).withColumn("node", node_of("fp"))
+    met = met_again(index_of(_distinct(fps), _near_sets(), False))
+    pairs = linked(met.join(wide, "node").select("key", "fp"), proposed)
+    pairs = staged(pairs.select(node_of("u").alias("u"), node_of("v").alias("v")), "near-edges")
+    rep = fps.groupBy(node_of("fp").alias("node")).agg(F.min("id").alias("id"))
+    wanted = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(rep, "node"), "near-wanted")
+    texts = full.join(broadcast_if_small(wanted, MAX_BROADCAST_TEXTS), "id").select("node", "text").dropDuplicates(["node"])
+    sets = staged(shingle_sets(texts, shingle), "near-sets")
+    good = settled(pairs, sets, similarity)
+    cc = connected_components(good)
     same = fps.groupBy("fp").agg(F.count_distinct("id").alias("n")).where("n > 1").select(node_of("fp").alias("node")).withColumn("component", F.col("node"))
     cc = cc.union(same.join(cc.select("node"), "node", "left_anti"))
     return fps.select(node_of("fp").alias("node"), F.col("id").alias("key")).distinct().join(cc, "node").select("key", "component")

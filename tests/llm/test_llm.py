@@ -226,6 +226,25 @@ def test_near_duplicates_by_similarity(spark):
     assert all(want[i] == want[j] for i in range(len(hs)) for j in range(i) if got[i] == got[j]) and len(keys) <= len(texts)
 
 
+def near_groups(spark, texts):
+    keys = {bytes(r["key"]): r["component"] for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    return [keys.get(hashlib.md5(t.encode()).digest(), -i) for i, t in enumerate(texts, 1)]
+
+
+def test_repeated_shingles_weigh_once(spark):
+    run = " ha" * 64
+    a, b, c = (" ".join(words(150, 900 + i)) for i in range(3))
+    got = near_groups(spark, [a + run, b + run, c, c + " ha" * 24])
+    assert len(set(got[:3])) == 3 and got[2] == got[3]
+
+
+def test_texts_of_equal_fingerprints_are_verified(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprint", lambda h, n=1: bytes(8 * n))
+    a, b = " ".join(words(150, 910)), " ".join(words(150, 911))
+    got = near_groups(spark, [a, b, a + " end"])
+    assert got[0] == got[2] != got[1]
+
+
 # 5
 
 
