@@ -167,8 +167,9 @@ def met_again(index: DataFrame) -> DataFrame:
     return staged(index.mapInArrow(_met, "key long, node long"), "simhash-met")
 
 
-def linked(index: DataFrame, edges_of) -> DataFrame:
-    """(u, v): the pairs of rows that ``edges_of(rows)`` finds in the lists of an index (key, fp)."""
+def linked(index: DataFrame, edges_of) -> tuple[DataFrame, DataFrame]:
+    """(u, v): the pairs of rows that ``edges_of(rows)`` finds in the lists of an index (key, fp); and
+    (key): lists with several of them or cut into blocks, where a forest may pass over other pairs."""
     spark = index.sparkSession
     index = index.repartition("key").sortWithinPartitions("key")
 
@@ -178,7 +179,8 @@ def linked(index: DataFrame, edges_of) -> DataFrame:
     def scan(batches):
         out = []
         for key, fps, block in _runs(batches):
-            for a, b in edges_of(fps) if len(fps) > 1 else ():
+            n = 0
+            for n, (a, b) in enumerate(edges_of(fps) if len(fps) > 1 else (), 1):
                 out.append((fps[a], fps[b], None, None, None))
                 if len(out) >= 4096:
                     yield batch(out)
@@ -186,6 +188,8 @@ def linked(index: DataFrame, edges_of) -> DataFrame:
             if block or len(fps) == MAX_LIST:
                 yield batch([*out, (None, None, int(key), block, fps)])
                 out = []
+            elif n > 1:
+                out.append((None, None, int(key), None, None))
         if out:
             yield batch(out)
 
@@ -205,20 +209,20 @@ def linked(index: DataFrame, edges_of) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], ["u", "v"])
 
-    edges = found.where("block is null").select("u", "v")
+    edges = found.where("u is not null").select("u", "v")
     blocks = found.where("block is not null").select("key", "block", "fps")
     if not blocks.isEmpty():
         pairs = blocks.alias("x").join(blocks.alias("y"), "key").where("x.block < y.block")
         pairs = pairs.select(F.col("x.fps").alias("a"), F.col("y.fps").alias("b")).repartition(F.rand(7))
         edges = edges.union(staged(pairs.mapInArrow(across, "u binary, v binary"), "simhash-blocks"))
-    return edges.distinct()
+    return edges.distinct(), found.where("key is not null").select("key").distinct()
 
 
 def _matrix(rows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
 
 
-def node_of(fp: str):
+def node_of(fp):
     """A fingerprint's name in the graph: its 64 bits, or 64 hashed bits of a wider one."""
     return F.when(F.octet_length(fp) == 8, F.conv(F.hex(fp), 16, -10).cast("long")).otherwise(F.xxhash64(fp))
 
@@ -244,7 +248,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        radius: int = RADIUS) -> DataFrame:
     """(id, fp binary of 8 bytes, component_id): fingerprints link at ``radius`` or fewer differing bits."""
     fps = staged(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    edges = linked(index_of(_distinct(fps), position_sets(8, radius)), lambda rows: forest(_matrix(rows), radius, 8 - radius))
+    edges = linked(index_of(_distinct(fps), position_sets(8, radius)), lambda rows: forest(_matrix(rows), radius, 8 - radius))[0]
     return components(fps, edges)
 
 
@@ -260,7 +264,6 @@ NEAR_WORDS = 8  # 64 bytes, 512 bits
 NEAR_KEYS = 160  # choices of three positions
 NEAR_LEAST = 6  # positional bytes in common; about 17 are expected at a similarity of 0.8
 SURE_BITS, DOUBT_BITS = 56, 110  # of 512; 78 are expected to differ at 0.8, with a deviation of 8
-ALL_PAIRS_LIST = 64
 MAX_BROADCAST_TEXTS = 200_000
 
 
@@ -270,9 +273,8 @@ def _near_sets() -> list[tuple[int, ...]]:
 
 
 def proposed(rows: list[bytes]) -> list[tuple[int, int]]:
-    """Pairs of a list to be settled, from rows that begin with the fingerprint: a spanning forest of the very
-    similar rows, and between its groups the pairs that the bits leave open, all of them in short lists, a
-    spanning forest of them in longer ones."""
+    """Pairs of a list to be settled first, from rows that begin with the fingerprint: a spanning forest of
+    the very similar rows, and of the pairs between its groups that the bits leave open."""
     fps = _matrix(rows)[:, :8 * NEAR_WORDS]
     top, sure = list(range(len(fps))), forest(fps, SURE_BITS, NEAR_LEAST)
 
@@ -284,13 +286,14 @@ def proposed(rows: list[bytes]) -> list[tuple[int, int]]:
 
     for a, b in sure:
         top[find(b)] = find(a)
-    if len(fps) > ALL_PAIRS_LIST:
-        return sure + [(a, b) for a, b in forest(fps, DOUBT_BITS, NEAR_LEAST) if find(a) != find(b)]
-    return sure + list(open_pairs(fps, np.array([find(i) for i in range(len(fps))])))
+    return sure + [(a, b) for a, b in forest(fps, DOUBT_BITS, NEAR_LEAST) if find(a) != find(b)]
 
 
-def open_pairs(fps: np.ndarray, label: np.ndarray):
-    """Every pair of differing labels that the bits leave open."""
+def open_pairs(rows: list[bytes]):
+    """Every pair of differing groups that the bits leave open, from rows of a fingerprint that end with
+    the group (8 bytes)."""
+    m = _matrix(rows)
+    fps, label = m[:, :8 * NEAR_WORDS], m[:, -8:].copy().view(np.uint64)[:, 0]
     for i in range(len(fps) - 1):
         other = i + 1 + np.flatnonzero(label[i + 1:] != label[i])
         x = fps[other] ^ fps[i]
@@ -357,32 +360,48 @@ def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 def settled(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(u, v): verified pairs that join the groups which all alike pairs of the given ones would join.
     First each node's pair with its least partner; then all pairs of groups that are still apart."""
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
-    pairs = staged(pairs, "near-pairs")
     first = staged(verified(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), sets, similarity), "near-first")
     rest = staged(apart(pairs, connected_components(first)), "near-rest")
     return first.union(staged(verified(rest, sets, similarity), "near-second"))
 
 
+def _long_bytes(c: str):
+    return F.unhex(F.lpad(F.hex(c), 16, "0"))
+
+
+def _node_pairs(edges: DataFrame) -> DataFrame:
+    """(u, v), nodes in order, of pairs of rows that begin with the fingerprint and the hash of the set."""
+    u, v = (node_of(F.substring(c, 1, 8 * NEAR_WORDS + 8)) for c in ("u", "v"))
+    out = edges.select(u.alias("u"), v.alias("v"))
+    return out.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int = NEAR_SHINGLE,
                     similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """(key, component): distinct texts, by their key, whose shingle sets are alike (Jaccard), joined
     transitively; texts that are alone have no row. Blank texts have no shingles and stay alone.
 
-    Nodes are distinct shingle sets. Each pair that the index proposes is settled on the sets.
+    Nodes are distinct shingle sets. Each pair that the index proposes is settled on the sets: first spanning
+    forests of the lists, then all further open pairs between groups that these leave apart.
     """
     text = F.col(text_col)
     full = docs.select(text_key(text).alias("id"), text.alias("text")).where(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")))
     fps = staged(near_fingerprints(full, shingle), "near")
     wide = _distinct(fps).withColumn("node", node_of("fp"))
     met = met_again(index_of(_distinct(fps), _near_sets(), False))
-    pairs = linked(met.join(wide, "node").select("key", "fp"), proposed)
-    pairs = staged(pairs.select(node_of("u").alias("u"), node_of("v").alias("v")), "near-edges")
+    pairs, several = linked(met.join(wide, "node").select("key", "fp"), proposed)
+    pairs = staged(_node_pairs(pairs), "near-edges")
     rep = fps.groupBy(node_of("fp").alias("node")).agg(F.min("id").alias("id"))
     wanted = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(rep, "node"), "near-wanted")
     texts = full.join(broadcast_if_small(wanted, MAX_BROADCAST_TEXTS), "id").select("node", "text").dropDuplicates(["node"])
     sets = staged(shingle_sets(texts, shingle), "near-sets")
     good = settled(pairs, sets, similarity)
+    lists = met.join(several, "key").join(connected_components(good), "node", "left")
+    lists = staged(lists.select("key", "node", F.coalesce("component", "node").alias("group")), "near-lists")
+    mixed = lists.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("key")
+    lists = lists.join(mixed, "key").join(wide, "node").select("key", F.concat("fp", _long_bytes("group")).alias("fp"))
+    more = _node_pairs(linked(lists, open_pairs)[0]).join(pairs, ["u", "v"], "left_anti")
+    good = good.union(settled(staged(more, "near-more"), sets, similarity))
     cc = connected_components(good)
     same = fps.groupBy("fp").agg(F.count_distinct("id").alias("n")).where("n > 1").select(node_of("fp").alias("node")).withColumn("component", F.col("node"))
     cc = cc.union(same.join(cc.select("node"), "node", "left_anti"))

@@ -245,6 +245,27 @@ def test_texts_of_equal_fingerprints_are_verified(spark, monkeypatch):
     assert got[0] == got[2] != got[1]
 
 
+@pytest.mark.parametrize("most", [8192, 100])
+def test_open_pairs_of_large_lists_are_all_settled(spark, monkeypatch, most):
+    """Variants of one text, most under 0.8 of each other, in lists of hundreds; all meet under each key."""
+    monkeypatch.setattr(simhash, "MAX_LIST", most)
+    monkeypatch.setattr(simhash, "_near_sets", lambda: [()])
+    base, texts = words(300, 920), []
+    for k in range(300):
+        v, rng = list(base), np.random.default_rng(k // 3)
+        for i in [*rng.choice(300, 9, replace=False), *np.random.default_rng(1000 + k).choice(300, 3, replace=False)]:
+            v[i] = f"x{k // 3}y{i}"
+        texts.append(" ".join(v))
+    hs = [simhash.shingle_hashes(t, 5) for t in texts]
+    fps = [simhash.fingerprint(np.unique(h), simhash.NEAR_WORDS) for h in hs]
+    bits = np.bitwise_count(simhash._matrix(fps)[:, None] ^ simhash._matrix(fps)[None]).sum(2, dtype=int)
+    alike = np.array([[bits[i, j] <= simhash.DOUBT_BITS and simhash.jaccard(hs[i], hs[j]) >= 0.8 for j in range(i)] + [False] * (300 - i) for i in range(300)])
+    want = groups(300, [(int(i), int(j)) for i, j in zip(*np.nonzero(alike))])
+    got = near_groups(spark, texts)
+    assert (bits <= simhash.DOUBT_BITS).sum() > 2 * alike.sum() + 300 and len(set(want)) > 50
+    assert [got.index(x) for x in got] == [want.index(x) for x in want]
+
+
 # 5
 
 
