@@ -11,7 +11,8 @@ each pair of blocks is compared in a task of its own.
 
 ``near_duplicates`` uses the same index with 64-byte fingerprints of the distinct five-word
 shingles: differing bits only propose pairs, and every pair is settled by the exact
-Jaccard similarity of the shingle sets.
+Jaccard similarity of the shingle sets. Texts of few distinct shingles, whose bits say
+little, are also indexed by their rarest shingles, of which alike sets share one for certain.
 
 Defined results: null or blank texts have fingerprint zero and are linked like any
 other; rows with a null id take part but can't name a component; repeated rows
@@ -264,6 +265,7 @@ NEAR_WORDS = 8  # 64 bytes, 512 bits
 NEAR_KEYS = 160  # choices of three positions
 NEAR_LEAST = 6  # positional bytes in common; about 17 are expected at a similarity of 0.8
 SURE_BITS, DOUBT_BITS = 56, 110  # of 512; 78 are expected to differ at 0.8, with a deviation of 8
+NEAR_SHORT = 64  # texts of no more distinct shingles, and those that can be alike to them, have an exact index
 MAX_BROADCAST_TEXTS = 200_000
 
 
@@ -308,18 +310,62 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, a.size + b.size - both)
 
 
-def near_fingerprints(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, fp): the wide SimHash of each text's distinct shingles, followed by a hash of their set, so
-    that rows of equal ``fp`` have equal sets."""
+def alike(rows: list[bytes], similarity: float):
+    """Edges of a spanning forest of the rows whose sets are alike; a row is 8 bytes and the sorted hashes."""
+    sets = [np.frombuffer(r, np.uint64)[1:] for r in rows]
+    sizes = np.array([len(x) for x in sets])
+    m = np.zeros((len(rows), sizes.max()), np.uint64)
+    for i, x in enumerate(sets):
+        m[i, :len(x)] = x
+    inside = np.arange(m.shape[1]) < sizes[:, None]
+    left, queue = np.arange(len(rows)), []
+    while len(left):
+        if not queue:
+            queue.append(left[0])
+            left = left[1:]
+            continue
+        q = queue.pop()
+        x = sets[q]
+        at = np.minimum(np.searchsorted(x, m[left]), len(x) - 1)
+        both = ((x[at] == m[left]) & inside[left]).sum(1)
+        near = both / (sizes[left] + len(x) - both) >= similarity
+        for i in left[near].tolist():
+            yield int(q), i
+        queue += left[near].tolist()
+        left = left[~near]
+
+
+def short_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): spanning forests of alike sets, from (node, hs array<long>), distinct; exact. Of two alike sets of m
+    hashes and more, each has a common one among its m - ceil(similarity * m) + 1 rarest."""
+    hashes = nodes.select("node", F.size("hs").alias("m"), F.explode("hs").alias("key"))
+    counts = hashes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rare = hashes.join(counts, "key").groupBy("node", "m").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("held"))
+    # those that no other set has are the rarest and need no row
+    most = F.col("m") - F.ceil(F.col("m") * similarity - 1e-9) + 1 - (F.col("m") - F.size("held"))
+    rare = rare.withColumn("most", most.cast("int")).where("most > 0").select("node", F.explode(F.slice("held", F.lit(1), F.col("most"))).alias("x"))
+    index = staged(rare.select("node", "x.key"), "near-rare")
+    index = index.join(nodes.select("node", F.concat(_long_bytes("node"), "h").alias("fp")), "node").select("key", "fp")
+    edges, _ = linked(index, lambda rows: alike(rows, similarity))
+    u, v = (node_of(F.substring(c, 1, 8)) for c in ("u", "v"))
+    return edges.select(u.alias("u"), v.alias("v"))
+
+
+def near_fingerprints(texts: DataFrame, shingle: int, few: int) -> DataFrame:
+    """(id, fp, h, hs): the wide SimHash of each text's distinct shingles, followed by a hash of their set, so
+    that rows of equal ``fp`` have equal sets; and the set of at most ``few``, as bytes and as an array."""
     small_batches(texts.sparkSession)
 
     def run(batches):
         for b in batches:
             hs = [np.unique(shingle_hashes(t, shingle)) for t in b.column(1).to_pylist()]
             fps = [fingerprint(h, NEAR_WORDS) + xxhash.xxh64_digest(h.tobytes(), SEED) for h in hs]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["id", "fp"])
+            short = [h if len(h) <= few else None for h in hs]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(fps, pa.binary()), pa.array([None if h is None else h.tobytes() for h in short], pa.binary()),
+                 pa.array([None if h is None else h.view(np.int64) for h in short], pa.list_(pa.int64()))], ["id", "fp", "h", "hs"])
 
-    return texts.select("id", "text").mapInArrow(run, "id binary, fp binary")
+    return texts.select("id", "text").mapInArrow(run, "id binary, fp binary, h binary, hs array<long>")
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -386,7 +432,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int = NEAR
     """
     text = F.col(text_col)
     full = docs.select(text_key(text).alias("id"), text.alias("text")).where(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")))
-    fps = staged(near_fingerprints(full, shingle), "near")
+    fps = staged(near_fingerprints(full, shingle, int(NEAR_SHORT / similarity)), "near")
     wide = _distinct(fps).withColumn("node", node_of("fp"))
     met = met_again(index_of(_distinct(fps), _near_sets(), False))
     pairs, several = linked(met.join(wide, "node").select("key", "fp"), proposed)
@@ -402,6 +448,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int = NEAR
     lists = lists.join(mixed, "key").join(wide, "node").select("key", F.concat("fp", _long_bytes("group")).alias("fp"))
     more = _node_pairs(linked(lists, open_pairs)[0]).join(pairs, ["u", "v"], "left_anti")
     good = good.union(settled(staged(more, "near-more"), sets, similarity))
+    short = fps.where("h is not null").select(node_of("fp").alias("node"), "h", "hs").dropDuplicates(["node"])
+    good = good.union(staged(short_pairs(staged(short, "near-short"), similarity), "near-alike"))
     cc = connected_components(good)
     same = fps.groupBy("fp").agg(F.count_distinct("id").alias("n")).where("n > 1").select(node_of("fp").alias("node")).withColumn("component", F.col("node"))
     cc = cc.union(same.join(cc.select("node"), "node", "left_anti"))

@@ -266,6 +266,22 @@ def test_open_pairs_of_large_lists_are_all_settled(spark, monkeypatch, most):
     assert [got.index(x) for x in got] == [want.index(x) for x in want]
 
 
+@pytest.mark.parametrize("most", [8192, 3])
+def test_short_near_duplicates_are_all_found(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MAX_LIST", most)
+    texts, rng = [], np.random.default_rng(5)
+    for n in (3, 5, 8, 9, 12, 15, 19, 24, 30, 40, 60, 75):
+        for k in range(12):
+            w = words(n, 2000 + 100 * n + k)
+            texts += [" ".join(w), " ".join(w + ["end"]), " ".join(["start"] + w), " ".join(w[:-1] + ["last"]), " ".join(w + words(3, k))]
+            w[rng.integers(n)] = "other"
+            texts.append(" ".join(w))
+    hs = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(hs)) for j in range(i) if len(hs[i] & hs[j]) / len(hs[i] | hs[j]) >= 0.8]
+    want, got = groups(len(hs), pairs), near_groups(spark, texts)
+    assert len(pairs) > 400 and [got.index(x) for x in got] == [want.index(x) for x in want]
+
+
 # 5
 
 
