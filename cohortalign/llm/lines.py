@@ -3,8 +3,8 @@
 Lines are compared as sequences of words (A-Z lower-cased, split at white space).
 Of equal lines the earliest stays; a line also goes if a line with an earlier first
 occurrence is within one edited word (inserted, removed or replaced) of it. Order is that of
-(id, text's hash, line number). Lines under ``MIN_WORDS`` words are never removed, and
-those under ``MIN_NEAR_WORDS`` only if equal.
+(id, text's hash, line number). Lines under ``min_words`` words are never removed, and
+those under ``MIN_NEAR_WORDS`` only if equal. With ``min_words=1`` all lines that are not blank are compared.
 
 Lines within one edit share a half exactly, so lines whose halves are all unlike any
 other line's emit nothing. The others emit the hashes of their variants with at
@@ -42,13 +42,13 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.when(other[0] | other[1] | other[2] | other[3], F.split(low, SPACE)).otherwise(F.split(low, " ")), "")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(h, id, t, line, halves) for lines that may be removed; halves only of those that may be near others.
     The one pass that looks at all words."""
     text = F.col(text_col)
     out = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"),
                                               F.posexplode(F.split(text, "\n", -1)).alias("line", "s"))
-    out = out.select("id", "t", "line", line_words(F.col("s")).alias("words")).where(F.size("words") >= MIN_WORDS)
+    out = out.select("id", "t", "line", line_words(F.col("s")).alias("words")).where(F.size("words") >= min_words)
     halves = F.when(F.size("words") >= MIN_NEAR_WORDS, _halves(F.col("words")))
     return out.select(F.xxhash64("words", F.size("words")).alias("h"), "id", "t", "line", halves.alias("halves"))
 
@@ -139,10 +139,10 @@ def near_removed(docs: DataFrame, lines: DataFrame, first: DataFrame, id_col: st
     return both.select("h", "words", "other").mapInArrow(verify, "h long")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, t, gone): sorted numbers of the lines to remove, for texts that have some."""
     order = F.struct("id", "t", "line")
-    lines = staged(_lines(docs, id_col, text_col), "line-places")
+    lines = staged(_lines(docs, id_col, text_col, min_words), "line-places")
     places = lines.drop("halves")
     first = staged(places.groupBy("h").agg(F.min(order).alias("o")), "line-first")
     near = staged(near_removed(docs, lines, first, id_col, text_col), "line-near").withColumn("near", F.lit(True))
@@ -151,9 +151,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("id", "t").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text's remaining lines in the text column, and ``n_lines`` and ``n_removed``."""
-    gone = removed_lines(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("gone").alias("_gone"))
+    gone = removed_lines(docs, id_col, text_col, min_words).select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("gone").alias("_gone"))
     gone = staged(gone, "line-gone")
     left = docs.withColumn("_key", F.xxhash64(text_col))
     both = left.join(gone, left["_key"].eqNullSafe(gone["_t"]) & left[id_col].eqNullSafe(gone["_id"]), "left")

@@ -6,7 +6,7 @@ shared folder and read back as the next stage's docs. All but the last return th
 
 1. language: documents without a recognisable language (no letters) go. The classifiers
    learn from all labelled rows that the stage gets.
-2. lines: repeated and nearly repeated lines go; the earliest stays. A document that loses all its
+2. lines: repeated lines, however short, and nearly repeated ones go; the earliest stays. A document that loses all its
    lines goes; one that had no text is kept as it is.
 3. near_duplicates: of each group of documents with alike five-word shingles (0.8 or
    more) the one of smallest doc_id stays.
@@ -38,7 +38,7 @@ def language(spark, docs, sf_dir):
 
 def line_dedup(spark, docs, sf_dir):
     docs = _columns(docs)
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(docs, min_words=1)
     had = F.col("n_lines") > 0
     out = out.where(~(had & (F.col("n_removed") == F.col("n_lines"))))
     if "n_chars" in docs.columns:

@@ -468,6 +468,12 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 
+def test_pipeline_removes_short_lines(spark):
+    texts = ["short line\n\n\u6f22\u5b57\u304b\u306a\u4ea4\u3058\u308a\u6587\nfirst", "SHORT  line\n\n\u6f22\u5b57\u304b\u306a\u4ea4\u3058\u308a\u6587\nsecond", "first\nsecond"]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(spark, texts), "").collect()}
+    assert got == {0: texts[0], 1: "\nsecond"}
+
+
 def test_keys_met_again():
     import pyarrow as pa
 
