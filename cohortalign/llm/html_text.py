@@ -4,8 +4,8 @@ Markup is stripped to lines, one per block element. What stands in menus, forms,
 scripts and the like, by tag, role or class, is left out; text in links weighs nothing.
 The weights of ``BLOCK`` consecutive lines are summed; where the sum surges over
 a threshold the main text begins, where it dives to nothing it ends, and lines
-between are kept whole. If the page marks its article, only that part is searched, with
-no threshold.
+between are kept whole. If the page marks its article, the marked parts whose sums surge are kept
+whole (the heaviest, if none does); marked parts without any weight don't count.
 
 Defined results: null and empty pages have an empty text; unclosed elements end where a
 new main part begins, or with the page; a page without any block over the
@@ -191,13 +191,15 @@ def between(weights: list[int], surge: int = SURGE, block: int = BLOCK) -> list[
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    mass: dict[int, int] = {}
+    parts: dict[int, list[int]] = {}
     for _, w, part in lines:
-        mass[part] = mass.get(part, 0) + w
-    marked = [p for p in mass if p]
-    if marked:
-        best = max(marked, key=lambda p: (mass[p], -p))
-        return "\n".join(t for t, _, p in lines if p == best)
+        parts.setdefault(part, []).append(w)
+    mass = {p: sum(ws) for p, ws in parts.items() if p and sum(ws)}
+    if mass:
+        most = max(mass.values())
+        kept = {p for p in mass if mass[p] >= SHARE * most and any(sum(parts[p][i:i + BLOCK]) >= SURGE for i in range(len(parts[p])))}
+        kept = kept or {max(mass, key=lambda p: (mass[p], -p))}
+        return "\n".join(t for t, _, p in lines if p in kept)
     return "\n".join(lines[i][0] for i in between([w for _, w, _ in lines]))
 
 

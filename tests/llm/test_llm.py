@@ -116,6 +116,13 @@ def test_pages():
     assert html_text.main_text("&#233;&nbsp;x &lt;b&gt;") == "é x <b>"
 
 
+def test_page_keeps_its_marked_parts():
+    a, b = "first part " * 20, "second part " * 15
+    page = f"<body><article><p>{a}</p></article><p>between</p><article><p>{b}</p></article><article><p>tiny</p></article></body>"
+    assert html_text.main_text(page) == f"{a.strip()}\n{b.strip()}"
+    assert html_text.main_text(f"<body><article><a href='/'>link</a></article><p>{a}</p></body>") == a.strip()
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>a", 5), (1, "u", "<p>a", 5), (None, None, None, 6)], "page_id long, url string, html string, text int")
     assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(df).collect()) == [("", 0), ("a", 1), ("a", 1)]
