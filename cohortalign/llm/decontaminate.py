@@ -1,12 +1,14 @@
 """Benchmark decontamination by winnowing (operator 8). DataFrame functions only.
 
 A window is ``window`` consecutive words of a benchmark item. Both sides keep, of
-every ``window - k + 1`` consecutive k-grams, the one of smallest hash, so equal
-windows keep the same k-gram at the same place. Fingerprints are joined; each match
-names a diagonal (item, offset between word positions), and the words along it
-are compared, which extends the hit and drops chance matches. Items shorter than
-a window are looked up by the hash of all their words at every position of
-the documents; that pass runs only for lengths that occur.
+every ``window - k + 1`` consecutive k-grams, one of smallest hash, so equal windows keep
+an equal k-gram. Documents are scanned once; their fingerprints are joined with the distinct
+fingerprints of the items, and each match names the few windows that hold the k-gram.
+Only those windows are cut from the texts and joined with the items' windows; the windows found
+are merged, which extends the hits to whole shared spans. Items shorter than a window are
+looked up by the hash of all their words at every position, in the same scan. A text of n
+words makes n windows at most, however often its words repeat, and no word of an item
+is carried along with a match.
 
 Defined results: null or wordless texts have no words, no hits and are not
 contaminated; a null item_id counts as one item and is left out of the list of ids;
@@ -16,7 +18,7 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, broadcast_if_small, read, staged, text_key
@@ -24,6 +26,7 @@ from .common import ascii_lower, broadcast_if_small, read, staged, text_key
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 13, 5
 MAX_BROADCAST_FINGERPRINTS = 1_000_000
+MAX_BROADCAST_FOUND = 200_000
 POSITION = 31  # low bits of a packed k-gram hold its position, the others its hash
 
 
@@ -31,89 +34,149 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
+def _let(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _neighbours(xs: Column, apart: int, f) -> Column:
+    """f(x[i], x[i + apart]) for every i that has both."""
+    return _let(xs, lambda a: F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - apart, F.lit(0))),
+                                         F.slice(a, apart + 1, F.greatest(F.size(a) - apart, F.lit(0))), f))
+
+
+def _over(xs: Column, width: int, f) -> Column:
+    """A function that may meet elements twice, over every ``width`` consecutive ones, in a
+    logarithmic number of passes."""
+    span = 1
+    while 2 * span <= width:
+        xs, span = _neighbours(xs, span, f), 2 * span
+    return _neighbours(xs, width - span, f) if span < width else xs
+
+
+def gram_hashes(words: Column, k: int, seed: int = 0) -> Column:
+    """A hash of every k consecutive words; k may not exceed the number of words."""
+    return _over(F.transform(words, lambda w: F.xxhash64(w, F.lit(seed))), k, lambda a, b: F.xxhash64(a, b))
+
+
+def _packed(hashes: Column) -> Column:
+    return F.transform(hashes, lambda h, i: F.shiftleft(F.shiftright(h, POSITION), POSITION).bitwiseOR(i.cast("long")))
+
+
 def kept_grams(words: Column, window: int, k: int) -> Column:
-    """Packed k-grams (hash, position) that winnowing keeps; null below a window."""
-    n = F.size(words)
-    grams = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.shiftleft(
-        F.shiftright(F.xxhash64(F.slice(words, i + 1, k)), POSITION), POSITION).bitwiseOR(i.cast("long")))
-    w = window - k + 1
-
-    def mins(g):
-        return F.transform(F.sequence(F.lit(0), F.size(g) - w), lambda i: F.array_min(F.slice(g, i + 1, w)))
-
-    # the inner transform binds the k-grams once per text
-    return F.when(n >= window, F.array_distinct(F.flatten(F.transform(F.array(grams), mins))))
-
-
-def _unpacked(df: DataFrame, gram: str) -> DataFrame:
-    return (df.withColumn("h", F.shiftright(gram, POSITION))
-              .withColumn("pos", F.col(gram).bitwiseAND(F.lit((1 << POSITION) - 1)).cast("int")).drop(gram))
-
-
-def _matches(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
-    """(key, uid, delta): diagonals on which a text and an item share a k-gram."""
-    left = _unpacked(docs.select("key", F.explode(kept_grams(F.col("words"), window, k)).alias("g")), "g")
-    right = items.where(F.size("iw") >= window)
-    right = _unpacked(right.select("uid", F.explode(kept_grams(F.col("iw"), window, k)).alias("g")), "g")
-    right = broadcast_if_small(staged(right.withColumnRenamed("pos", "ipos"), "decon-fp"), MAX_BROADCAST_FINGERPRINTS)
-    out = left.join(right, "h").select("key", "uid", (F.col("pos") - F.col("ipos")).alias("delta"))
-    lengths = [r[0] for r in items.where(F.size("iw") < window).select(F.size("iw")).distinct().collect()]
-    for n in sorted(lengths):  # at most window - 1 lengths
-        grams = docs.where(F.size("words") >= n).select("key", "words", F.explode(
-            F.sequence(F.lit(0), F.size("words") - n)).alias("delta")).select(
-            "key", "delta", F.xxhash64(F.slice("words", F.col("delta") + 1, n)).alias("h"))
-        whole = broadcast_if_small(staged(items.where(F.size("iw") == n).select(
-            "uid", F.xxhash64(F.slice("iw", 1, n)).alias("h")), "decon-short"), MAX_BROADCAST_FINGERPRINTS)
-        out = out.union(grams.join(whole, "h").select("key", "uid", "delta"))
-    return out.distinct()
+    """Packed k-grams (hash, position) that winnowing keeps; none below a window."""
+    mins = _over(_packed(gram_hashes(words, k)), window - k + 1, lambda a, b: F.least(a, b))
+    return F.when(F.size(words) >= window, F.array_distinct(mins)).otherwise(F.array().cast("array<long>"))
+
+
+def fingerprints(words: Column, window: int, k: int, short: list[int]) -> Column:
+    """Packed hashes by which windows are looked up: k-grams that winnowing keeps, and all runs
+    of the lengths ``short``."""
+    none = F.array().cast("array<long>")
+    return F.concat(kept_grams(words, window, k), *[
+        F.when(F.size(words) >= n, _packed(gram_hashes(words, n, -n))).otherwise(none) for n in short])
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(text_col)).alias("iw"))
+    return staged(items.where(F.size("iw") > 0).distinct(), "decon-items")
+
+
+def _known(items: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
+    """(h, n): distinct fingerprints of the items; n is the length of a short item, or null."""
+    grams = items.where(F.size("iw") >= window).select(
+        F.explode(kept_grams(F.col("iw"), window, k)).alias("g"), F.lit(None).cast("int").alias("n"))
+    for n in short:
+        grams = grams.union(items.where(F.size("iw") == n).select(F.explode(_packed(gram_hashes(F.col("iw"), n, -n))), F.lit(n)))
+    return grams.select(F.shiftright("g", POSITION).alias("h"), "n").distinct()
+
+
+def _windows(items: DataFrame, window: int) -> DataFrame:
+    """(item, n, w): the distinct windows of the items."""
+    n = F.least(F.size("iw"), F.lit(window))
+    at = items.select("item", n.alias("n"), F.explode(_let(F.col("iw"), lambda w: F.transform(
+        F.sequence(F.lit(1), F.size(w) - F.least(F.size(w), F.lit(window)) + 1),
+        lambda i: _name(F.slice(w, i, F.least(F.size(w), F.lit(window))))))).alias("w"))
+    return at.distinct()
+
+
+def _name(words: Column) -> Column:
+    """A window's identity."""
+    return F.unhex(F.md5(F.array_join(words, " ").cast("binary")))
+
+
+def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str, window: int, k: int) -> DataFrame:
+    """The one pass over all texts: for every document a row (kept, key, n_words), and for every
+    fingerprint that an item has as well a row (kept, key, n, pos)."""
+    short = sorted(r[0] for r in items.where(F.size("iw") < window).select(F.size("iw")).distinct().collect())  # at most window - 1
+    known = broadcast_if_small(staged(_known(items, window, k, short), "decon-fp"), MAX_BROADCAST_FINGERPRINTS)
+    text = F.col(text_col)
+    found = _let(words_of(F.col("_text")), lambda w: F.concat(F.array(F.size(w).cast("long")), fingerprints(w, window, k, short)))
+    # the key is a column before the rows multiply, or it would be made for each of them
+    texts = docs.select(F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept"),
+                        text_key(text).alias("key"), text.alias("_text"))
+    rows = texts.select("kept", "key", F.posexplode(found).alias("i", "g"))
+    # the first element is the number of words; its key is beyond all hashes, and spread
+    beyond = F.lit(-(1 << 40)) - F.pmod(F.xxhash64("key"), F.lit(1 << 20))
+    rows = rows.withColumn("h", F.when(F.col("i") > 0, F.shiftright("g", POSITION)).otherwise(beyond))
+    rows = rows.join(known.withColumn("met", F.lit(True)), "h", "left").where("i = 0 or met")
+    return staged(rows.select(
+        "kept", "key", F.when(F.col("i") == 0, F.col("g")).alias("n_words"), F.when(F.col("i") > 0, F.col("n")).alias("n"),
+        F.when(F.col("i") > 0, F.col("g").bitwiseAND(F.lit((1 << POSITION) - 1)).cast("int")).alias("pos")), "decon-scan")
+
+
+def _settled(docs: DataFrame, scanned: DataFrame, items: DataFrame, text_col: str, window: int, k: int) -> DataFrame:
+    """(key, spans, items) of the texts in which windows occur."""
+    first = F.when(F.col("n").isNull(), F.greatest(F.col("pos") - (window - k), F.lit(0))).otherwise(F.col("pos"))
+    places = scanned.where("pos is not null").select(
+        "key", F.coalesce("n", F.lit(window)).alias("n"), F.explode(F.sequence(first, F.col("pos"))).alias("p")).distinct()
+    places = staged(places.groupBy("key").agg(F.collect_list(F.struct("n", "p")).alias("places")), "decon-places")
+    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    texts = texts.join(broadcast_if_small(places.select("key"), MAX_BROADCAST_FOUND), "key", "left_semi").dropDuplicates(["key"])
+    cut = _let(words_of(F.col("text")), lambda w: F.transform(
+        F.filter("places", lambda c: c["p"] + c["n"] <= F.size(w)),
+        lambda c: F.struct(c["n"].alias("n"), c["p"].alias("p"), _name(F.slice(w, c["p"] + 1, c["n"])).alias("w"))))
+    found = texts.join(places, "key").select("key", F.explode(cut).alias("x")).select("key", "x.*")
+    found = staged(found, "decon-windows")
+    windows = staged(_windows(items, window), "decon-known")
+    whole = broadcast_if_small(staged(windows.select("n", "w").distinct(), "decon-names"), MAX_BROADCAST_FINGERPRINTS)
+    hit = staged(found.join(whole, ["n", "w"], "left_semi"), "decon-hit")
+    order = Window.partitionBy("key").orderBy("p", "n")
+    runs = hit.withColumn("e", F.col("p") + F.col("n"))
+    runs = runs.withColumn("upto", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.withColumn("run", F.sum(F.when(F.col("p") <= F.col("upto"), 0).otherwise(1)).over(order))
+    runs = runs.groupBy("key", "run").agg(F.min("p").alias("s"), F.max("e").alias("e"))
+    runs = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    named = hit.select("key", "n", "w").distinct().join(windows, ["n", "w"]).select("key", F.struct("item").alias("item")).distinct()
+    named = named.groupBy("key").agg(F.transform(F.collect_list("item"), lambda x: x["item"]).alias("items"))
+    return staged(runs.join(named, "key"), "decon-found")
+
+
+def _filled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    out = rows.join(found, "key", "left")
+    kind = {f.name: f.dataType for f in found.schema}
+    return out.withColumn("spans", F.coalesce("spans", F.array().cast(kind["spans"]))).withColumn(
+        "items", F.coalesce("items", F.array().cast(kind["items"])))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] = ["doc_id"], text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """One row per document with its columns ``keep``, ``n_words``, ``spans`` (sorted runs of hit
     words, [start, end) counted from 0) and ``items`` (ids of items with occurring windows)."""
-    items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("iw"))
-    items = items.where(F.size("iw") > 0).distinct().withColumn("uid", F.xxhash64("item", "iw"))
-    items = staged(items, "decon-items")
-    texts = docs.select(text_key(F.col(text_col)).alias("key"), words_of(F.col(text_col)).alias("words"))
-    found = _matches(texts, items, window, k).join(items, "uid")
-    found = found.groupBy("key").agg(F.collect_list(F.struct("item", "iw", "delta")).alias("found"))
-    found = staged(found, "decon-found")
-
-    # the shuffled join at every size: what is found grows with the texts
-    left = docs.select(F.struct(*keep).alias("kept"), text_key(F.col(text_col)).alias("key"),
-                       *([] if text_col in keep else [F.col(text_col).alias("text")]))
-    text = F.col("kept")[text_col] if text_col in keep else F.col("text")
-    both = left.join(found.hint("merge"), "key", "left").withColumn("words", words_of(text))
-    words = F.col("words")
-
-    def along(d):
-        """Starts of the item's windows that stand in the document on this diagonal."""
-        iw, delta = d["iw"], d["delta"]
-        n = F.least(F.size(iw), F.lit(window))
-        first, last = F.greatest(F.lit(0), -delta), F.least(F.size(iw) - n, F.size(words) - n - delta)
-        starts = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(starts, lambda j: F.slice(words, j + delta + 1, n) == F.slice(iw, j + 1, n))
-        return F.struct(d["item"].alias("item"),
-                        F.transform(starts, lambda j: F.struct((j + delta).alias("s"), (j + delta + n).alias("e"))).alias("w"))
-
-    real = F.filter(F.transform(F.col("found"), along), lambda x: F.size(x["w"]) > 0)
-    both = both.select("kept", F.size("words").cast("long").alias("n_words"),
-                       F.when(F.col("found").isNotNull(), real).alias("real"))
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    windows = F.array_sort(F.array_distinct(F.flatten(F.transform("real", lambda x: x["w"]))))
-
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(
-            F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"]), joined).otherwise(
-            F.concat(acc, F.array(x)))
-
-    return both.select(
-        "kept.*", "n_words",
-        F.when(F.col("real").isNotNull(), F.aggregate(windows, none, add)).otherwise(none).alias("spans"),
-        F.coalesce(F.array_distinct(F.transform("real", lambda x: x["item"])), F.array()).alias("items"))
+    items = _items(benchmark, item_col, item_text_col)
+    scanned = scan(docs, items, keep, text_col, window, k)
+    found = _settled(docs, scanned, items, text_col, window, k)
+    rows = scanned.where("n_words is not null").select("kept", "key", "n_words")
+    return _filled(rows, found).select("kept.*", "n_words", "spans", "items")
+
+
+def text_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+              window: int = WINDOW, k: int = K) -> DataFrame:
+    """The same by text: (key, n_words, spans, items) of the distinct texts in which windows occur."""
+    items = _items(benchmark, item_col, item_text_col)
+    scanned = scan(docs, items, [], text_col, window, k)
+    found = _settled(docs, scanned, items, text_col, window, k)
+    return scanned.where("n_words is not null").select("key", "n_words").distinct().join(found, "key")
 
 
 def judged(found: DataFrame) -> DataFrame:
