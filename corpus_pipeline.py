@@ -68,8 +68,9 @@ def near_duplicates(spark, docs, sf_dir):
 
 def decontamination(spark, docs, sf_dir):
     docs = _columns(docs)
-    found = decontaminate.hits(docs, read(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return decontaminate.judged(found).where(~F.col("contaminated")).select(*docs.columns)
+    found = decontaminate.judged(decontaminate.text_hits(docs, read(spark, sf_dir, "benchmark")))
+    bad = broadcast_if_small(staged(found.where("contaminated").select("key"), "decon-bad"), MAX_BROADCAST_LOST)
+    return docs.withColumn("key", text_key(F.col("text"))).join(bad, "key", "left_anti").select(*docs.columns)
 
 
 def mix(spark, docs, sf_dir):
