@@ -260,7 +260,8 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     found = staged(_find_anchors(texts, length, gram), "suffix-anchors")
     folded = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos", "reach")).alias("at"))
     folded = staged(folded, "suffix-folded")
-    groups = folded.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("times")).where("times > 1")
+    # written, so that the join below is one of two plain tables and a common gram's rows can be split
+    groups = staged(folded.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("times")).where("times > 1"), "suffix-groups")
     folded = folded.join(groups, "h")
     alone = folded.where("contexts = 1").select(
         "h", "c", F.least(F.col("at.pos"), F.lit(length - gram)).alias("to_left"), F.col("at.reach").alias("to_right"))
@@ -293,7 +294,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, n_bytes, n_removed, spans, kept binary) for every row: spans are the maximal removed runs."""
+    """(id, n_bytes, n_removed, spans, kept binary, text) for every row: spans are the maximal removed runs, kept is
+    what is left and text the same as a string, without characters that were cut in two."""
     spans = staged(repeats(docs, text_col, length), "suffix-spans").withColumnRenamed("key", "k")
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     left = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), raw.alias("raw"))
@@ -311,18 +313,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 runs.append([{"start": a, "end": z} for a, z in m])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                 pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())],
-                ["id", "n_bytes", "n_removed", "spans", "kept"])
+                 pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()),
+                 pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())],
+                ["id", "n_bytes", "n_removed", "spans", "kept", "text"])
 
     kind = left.schema["id"].dataType.simpleString()
-    out = both.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+    out = both.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary, text string")
     return out.withColumnRenamed("id", id_col)
 
 
 def op1_suffix_dedup(spark, sf_dir) -> DataFrame:
     out = dedup_substrings(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"), "text")
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
