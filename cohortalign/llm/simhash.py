@@ -1,11 +1,11 @@
 """SimHash near-duplicates by a byte-position index with count filtering (operator 4).
 
 A fingerprint of B bytes is indexed by the bytes it holds at chosen positions. Two
-fingerprints with at most r differing bits share at least B - r positional bytes, so
-with B = 8 and r = 4 every such pair meets under one of the 70 choices of four
-positions, and a key of four bytes keeps the lists short. Within a key the shared positional
-bytes are tallied, pairs under the guaranteed count are dropped and the rest is
-verified by the differing bits. Of each list only the edges of a spanning forest are
+fingerprints with at most r differing bits share at least B - r positional bytes. With B = 8 and
+r = 4 they share four; keys of three bytes are made for 20 choices of positions, of which every
+four positions hold one, so all such pairs meet. Within a key the shared positional
+bytes of each pair are tallied: pairs that share no more than the key's are dropped, and those that
+reach the guaranteed count are verified by the differing bits. Of each list only the edges of a spanning forest are
 written, never all pairs. A list longer than ``MAX_LIST`` is cut into blocks, and
 each pair of blocks is compared in a task of its own.
 
@@ -86,8 +86,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def position_sets(n_bytes: int, radius: int) -> list[tuple[int, ...]]:
-    """Every choice of the positions that two fingerprints must share at least."""
-    return list(itertools.combinations(range(n_bytes), n_bytes - radius))
+    """Choices of one position fewer than two fingerprints must share at least, such that every set of as many as they
+    must share holds one of them. For three positions: the positions are dealt into three classes in a circle, and a choice lies
+    in one class, or has two positions in a class and one in the next; by the pigeonhole principle every four positions hold one."""
+    least = n_bytes - radius
+    if least != 4:
+        return list(itertools.combinations(range(n_bytes), least))
+    where = [p * 3 // n_bytes for p in range(n_bytes)]
+    held = lambda s: sorted(where[p] for p in s)
+    fits = lambda a, b, c: a == b == c or a == b and c == (a + 1) % 3 or b == c and a == (b + 1) % 3
+    return [s for s in itertools.combinations(range(n_bytes), 3) if fits(*held(s))]
 
 
 def forest(fps: np.ndarray, radius: int, least: int) -> list[tuple[int, int]]:
@@ -242,7 +250,7 @@ def components(fps: DataFrame, edges: DataFrame) -> DataFrame:
 def _distinct(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints over all shuffle partitions: each becomes many index rows."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return fps.select("fp").repartition(n, "fp").distinct()
+    return fps.select("fp").distinct().repartition(n)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
