@@ -1,16 +1,18 @@
 """Main text of web pages by line-block distribution (operator 2).
 
 Markup is stripped to lines, one per block element. What stands in menus, forms,
-scripts and the like, by tag, role or class, is left out; text in links weighs nothing.
-The weights of ``BLOCK`` consecutive lines are summed; where the sum surges over
+scripts and the like, by tag, role or a name that says nothing else, is left out; text in links weighs nothing.
+On every page the weights of ``BLOCK`` consecutive lines are summed; where the sum surges over
 a threshold the main text begins, where it dives to nothing it ends, and lines
-between are kept whole. If the page marks its article, the marked parts whose sums surge are kept
-whole (the heaviest, if none does); marked parts without any weight don't count.
+between are kept whole. Where a page marks its article and the marked lines surge, the mark is evidence that enters the
+weights before they are summed: lines outside weigh nothing, lines inside at least one, and no block reaches over a
+mark's border. So every marked part that surges is kept whole, and marks on parts that never surge count for nothing if
+other text does.
 
 Defined results: null and empty pages have an empty text; unclosed elements end where a
-new main part begins, or with the page; a page without any block over the
-threshold keeps its heaviest run of lines; repeated rows get equal results; an
-empty table gives an empty result.
+new main part begins, or with the page, an unclosed comment with the page; a page without any block over the
+threshold keeps its heaviest run of lines, marked ones first; repeated rows get equal results; an
+empty table gives an empty result. Time is in proportion to the page's length.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import DataFrame
 
 from .common import read, small_batches
 
-BLOCK, SURGE, SHARE = 3, 80, 0.25
+BLOCK, SURGE = 3, 80
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.S)
+NAME = re.compile(r"[^\s/>]+")
+ATTR = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(\s*+=\s*+)?+")
+BARE = re.compile(r"[^\s>]*+")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
@@ -38,43 +41,114 @@ SIDE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "
              "menubar", "toolbar", "status"}
 SIDE_WORD = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "promo", "promotion", "sponsor", "sponsored",
              "cookie", "cookies", "consent", "gdpr", "notice", "notification", "popup", "modal", "overlay", "newsletter", "subscribe",
-             "subscription", "sidebar", "widget", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer",
+             "subscription", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer",
              "masthead", "topbar", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "share", "sharing",
              "social", "related", "recommended", "recommendations", "login", "signup", "search", "pagination", "pager", "toolbar",
              "copyright", "disclaimer"}
+# words that may stand beside those of SIDE_WORD without saying anything else
+PLAIN_WORD = {"box", "bar", "block", "container", "wrapper", "wrap", "area", "list", "item", "items", "panel", "slot", "module", "widget", "section",
+              "inner", "outer", "top", "bottom", "left", "right", "main", "primary", "secondary", "site", "page", "global", "user", "reader", "readers",
+              "posts", "articles", "stories", "links", "thread", "form", "field", "button", "buttons", "header", "body", "text", "content", "row", "col", "js"}
 SIDE_PAIR = {("side", "bar"), ("site", "header"), ("page", "header"), ("top", "bar"), ("site", "footer"), ("pop", "up"), ("bread", "crumb")}
 MAIN = {"article", "main"}
 MAIN_WORD = {("article", "body"), ("post", "content"), ("entry", "content"), ("article", "content"), ("post", "body")}
+TEASER = {"teaser", "teasers", "card", "preview"}
 HEADER_OF_PAGE = {"header", "hgroup"}
-WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+# elements that hold a piece of text: only a name made of side words alone puts them aside
+PIECE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "th", "blockquote", "pre", "figcaption", "caption", "tr"} | INLINE
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _attrs(raw: str) -> dict[str, str]:
-    return {k.lower(): v.strip("\"'") for k, v in ATTR.findall(raw)} if raw.strip(" /") else {}
+def _names(attrs: dict[str, str]) -> list[list[str]]:
+    return [[w.lower() for w in WORDS.findall(x)] for k in ("class", "id", "itemprop") if k in attrs for x in attrs[k].split()]
 
 
-def _named(attrs: dict[str, str]) -> list[list[str]]:
-    return [[w.lower() for w in WORDS.findall(x)] for k in ("class", "id", "itemprop") if k in attrs for x in attrs[k].split()]
+def _aside(tag: str, words: list[str]) -> bool:
+    """Does the whole name say that this stands beside the text?"""
+    if not words or not any(w in SIDE_WORD for w in words):
+        return any(p in SIDE_PAIR for p in zip(words, words[1:])) and tag not in PIECE
+    return all(w in SIDE_WORD or w in PLAIN_WORD and tag not in PIECE for w in words)
 
 
-def kind(tag: str, raw: str, in_main: bool) -> str:
+def kind(tag: str, attrs: dict[str, str], in_main: bool) -> str:
     """'side', 'main' or ''."""
     if tag in SIDE or tag in HEADER_OF_PAGE and not in_main:
         return "side"
-    if not raw.strip(" /"):
+    if not attrs:
         return "main" if tag in MAIN else ""
-    attrs = _attrs(raw)
     role = attrs.get("role", "").lower()
     if role in SIDE_ROLE or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" \
             or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return "side"
-    names = _named(attrs)
-    pairs = {p for n in names for p in zip(n, n[1:])}
-    if tag in MAIN or role in ("main", "article") or pairs & MAIN_WORD:
-        return "side" if any(w in ("comment", "comments", "reply", "ad", "ads", "teaser", "related") for n in names for w in n) else "main"
-    if tag not in ("body", "html") and (not in_main and ["header"] in names or any(w in SIDE_WORD for n in names for w in n) or pairs & SIDE_PAIR):
-        return "side"
-    return ""
+    names = _names(attrs)
+    aside = any(_aside(tag, n) for n in names)
+    if tag in MAIN or role in ("main", "article") or any(p in MAIN_WORD for n in names for p in zip(n, n[1:])):
+        return "side" if aside or any(n and set(n) <= TEASER for n in names) else "main"
+    return "side" if tag not in ("body", "html") and (aside or not in_main and ["header"] in names) else ""
+
+
+class Page:
+    """A page's tokens, in one pass: ('text', raw), ('open', tag, attrs, closed itself) or ('close', tag)."""
+
+    def __init__(self, page: str):
+        self.page, self.end = page, len(page)
+        self.last = {q: page.rfind(q) for q in ("\"", "'")}  # beyond these no quote closes
+
+    def tokens(self):
+        page, at = self.page, 0
+        text = 0  # where the text not yet told begins
+        while (p := page.find("<", at)) >= 0:
+            c = page[p + 1:p + 2]
+            if not (c.isascii() and c.isalpha() or c in ("/", "!", "?") and c):
+                at = p + 1
+                continue
+            if p > text:
+                yield "text", page[text:p]
+            if page.startswith("<!--", p):
+                at = self.after("-->", p + 4)
+            elif page.startswith("<![CDATA[", p):
+                at = self.after("]]>", p + 9)
+            elif c in "!?":
+                at = self.after(">", p + 2)
+            else:
+                at = yield from self.tag(p, c == "/")
+            text = at
+        if text < self.end:
+            yield "text", page[text:]
+
+    def after(self, mark: str, at: int) -> int:
+        p = self.page.find(mark, at)
+        return self.end if p < 0 else p + len(mark)
+
+    def tag(self, p: int, closes: bool):
+        page, at = self.page, p + 1 + closes
+        m = NAME.match(page, at)
+        if closes and (not m or not m[0][0].isalpha()):
+            return self.after(">", at)
+        tag, at, attrs = m[0].lower(), m.end(), {}
+        while m := ATTR.match(page, at):
+            name, at, value = m[1].lower(), m.end(), ""
+            if m[2]:
+                q = page[at:at + 1]
+                if q in self.last and q and at < self.last[q]:
+                    stop = page.find(q, at + 1)
+                    value, at = page[at + 1:stop], stop + 1
+                else:
+                    v = BARE.match(page, at)
+                    value, at = v[0], v.end()
+            attrs.setdefault(name, _html.unescape(value))
+        stop = page.find(">", at)
+        if stop < 0:
+            return self.end
+        if closes:
+            yield "close", tag
+            return stop + 1
+        alone = page[stop - 1] == "/"
+        yield "open", tag, attrs, alone
+        if tag in RAW and not alone:
+            shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, stop + 1)
+            return self.after(">", shut.end()) if shut else self.end
+        return stop + 1
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
@@ -83,7 +157,6 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     out, parts, weight = [], [], 0
     side, depth = "", 0  # the side element that we are in, and how many of its name are open
     main, main_depth, number, link = "", 0, 0, 0
-    at, end = 0, len(page)
 
     def close():
         nonlocal parts, weight
@@ -92,32 +165,19 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             out.append((text, weight, number if main else 0))
         parts, weight = [], 0
 
-    def add(raw):
-        nonlocal weight
-        text = _html.unescape(raw)
-        parts.append(text)
-        if not link:
-            weight += len("".join(text.split()))
-
-    while at < end:
-        m = TOKEN.search(page, at)
-        stop = m.start() if m else end
-        if stop > at and not side:
-            add(page[at:stop])
-        if not m:
-            break
-        at, tag = m.end(), (m[2] or "").lower()
-        if m[0].startswith("<![CDATA["):
-            continue
-        if not tag:
+    for token in Page(page).tokens():
+        if token[0] == "text":
+            if not side:
+                text = _html.unescape(token[1])
+                parts.append(text)
+                if not link:
+                    weight += len("".join(text.split()))
             continue
-        opens = not m[1]
-        if opens and tag in RAW and not m[3].endswith("/"):
-            shut = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-            at = shut.end() if shut else end
+        opens, tag = token[0] == "open", token[1]
+        if tag in RAW:
             continue
         if side:
-            if opens and kind(tag, m[3], False) == "main" and tag in MAIN:
+            if opens and tag in MAIN and kind(tag, token[2], False) == "main":
                 side = ""  # a side element that was never closed
             elif tag == side:
                 depth += 1 if opens else -1
@@ -143,11 +203,10 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 main_depth -= 1
                 main = main if main_depth else ""
             continue
-        what = kind(tag, m[3], bool(main))
-        if what == "side" and not m[3].endswith("/"):
+        what = kind(tag, token[2], bool(main))
+        if what == "side" and not token[3]:
             close()
-            side, depth = tag, 1
-            link = 0
+            side, depth, link = tag, 1, 0
         elif main and tag == main:
             main_depth += 1
         elif what == "main" and not main:
@@ -156,10 +215,13 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def between(weights: list[int], surge: int = SURGE, block: int = BLOCK) -> list[int]:
-    """Indexes of the lines between surge and dive."""
-    n = len(weights)
-    sums = [sum(weights[i:i + block]) for i in range(n)]
+def block_sums(weights: list[int], block: int = BLOCK) -> list[int]:
+    return [sum(weights[i:i + block]) for i in range(len(weights))]
+
+
+def surges(weights: list[int], surge: int = SURGE, block: int = BLOCK) -> list[tuple[int, int]]:
+    """Runs [start, stop) of lines between surge and dive."""
+    n, sums = len(weights), block_sums(weights, block)
     runs, i = [], 0
     while i < n:
         if sums[i] < surge:
@@ -175,49 +237,72 @@ def between(weights: list[int], surge: int = SURGE, block: int = BLOCK) -> list[
             stop += 1  # dive
         runs.append((start, stop))
         i = max(stop, i + 1)
-    if not runs:
-        i = 0
-        while i < n:
-            j = i
-            while j < n and weights[j]:
-                j += 1
-            if j > i:
-                runs.append((i, j))
-            i = max(j, i + 1)
-        runs = [max(runs, key=lambda r: sum(weights[r[0]:r[1]]))] if runs else []
-    most = max((sum(weights[a:b]) for a, b in runs), default=0)
-    return [i for a, b in runs if sum(weights[a:b]) >= SHARE * most for i in range(a, b)]
-
-
-def main_text(page: str | None) -> str:
+    return runs
+
+
+def heaviest(weights: list[int]) -> list[tuple[int, int]]:
+    """The run of lines with weight that has the most of it, if there is any."""
+    runs, i = [], 0
+    while i < len(weights):
+        j = i
+        while j < len(weights) and weights[j]:
+            j += 1
+        if j > i:
+            runs.append((i, j))
+        i = max(j, i + 1)
+    return [max(runs, key=lambda r: sum(weights[r[0]:r[1]]))] if runs else []
+
+
+def sections(lines: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
+    """(part, start, stop) of consecutive lines with one mark; the lines of a marked part in one piece."""
+    out = []
+    for i, (_, _, part) in enumerate(lines):
+        if out and out[-1][0] == part:
+            out[-1] = (part, out[-1][1], i + 1)
+        else:
+            out.append((part, i, i + 1))
+    return out
+
+
+def chosen(lines: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], str]:
+    """Runs of the lines that are main text, and what decided: 'marked' or 'unmarked' surges, 'heaviest' or 'none'."""
+    weights = [w for _, w, _ in lines]
+    marked = [(a, z) for part, a, z in sections(lines) if part]
+    up = [(a, z) for a, z in marked if max(block_sums(weights[a:z])) >= SURGE]
+    # the evidence of the marks: lines inside weigh something, so no dive there; lines outside nothing
+    if up:
+        return [(a + s, a + e) for a, z in up for s, e in surges([max(w, 1) for w in weights[a:z]])], "marked"
+    if runs := surges(weights):
+        return runs, "unmarked"
+    best = heaviest([w if part else 0 for _, w, part in lines]) or heaviest(weights)
+    for a, z in marked:
+        if best and a <= best[0][0] < z:
+            best = [(a, z)]
+    return best, "heaviest" if best else "none"
+
+
+def main_text(page: str | None) -> tuple[str, str]:
+    """The text, and what decided on it."""
     lines = lines_of(page or "")
-    parts: dict[int, list[int]] = {}
-    for _, w, part in lines:
-        parts.setdefault(part, []).append(w)
-    mass = {p: sum(ws) for p, ws in parts.items() if p and sum(ws)}
-    if mass:
-        most = max(mass.values())
-        kept = {p for p in mass if mass[p] >= SHARE * most and any(sum(parts[p][i:i + BLOCK]) >= SURGE for i in range(len(parts[p])))}
-        kept = kept or {max(mass, key=lambda p: (mass[p], -p))}
-        return "\n".join(t for t, _, p in lines if p in kept)
-    return "\n".join(lines[i][0] for i in between([w for _, w, _ in lines]))
+    runs, how = chosen(lines)
+    return "\n".join(lines[i][0] for a, z in runs for i in range(a, z)), how
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` with the column html replaced by ``text`` and ``n_chars``."""
+    """``pages`` with the column html replaced by ``text``, ``n_chars`` and ``decided_by``."""
     small_batches(pages.sparkSession)
-    keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars", "decided_by")]
     df = pages.select(*keep, html_col)
 
     def run(batches):
         for b in batches:
-            texts = [main_text(x) for x in b.column(len(keep)).to_pylist()]
+            found = [main_text(x) for x in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                [*keep, "text", "n_chars"])
+                [*b.columns[:len(keep)], pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()),
+                 pa.array([how for _, how in found], pa.string())], [*keep, "text", "n_chars", "decided_by"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return df.mapInArrow(run, f"{kinds}, text string, n_chars long, decided_by string")
 
 
 def op2_html_text(spark, sf_dir) -> DataFrame:

@@ -103,24 +103,87 @@ def test_substrings_of_nothing(spark):
 # 2
 
 
+def text_of(page):
+    return html_text.main_text(page)[0]
+
+
 def test_pages():
     page = ("<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>menu</li></ul></nav><div class='ad-box'>BUY</div>"
             "<article><h1>A &amp; B</h1><p>One\n  two.<p>Three<div class=comments><p>no</div><script>var t='</p>';</script></article><footer>f</footer>")
-    assert html_text.main_text(page) == "A & B\nOne two.\nThree"
+    assert text_of(page) == "A & B\nOne two.\nThree"
     long = "Long paragraph text of quite some length so that the window surges above the threshold for sure."
     plain = (f"<div class='header'>Site</div><ul id=side-bar><li>x</li></ul><div><h2>Title</h2><p>{long}</p><p>short.</p><p>{long}</p></div>"
              f"<div class='cookie-notice'>{long}</div><form>{long}</form><footer>{long}</footer>")
-    assert html_text.main_text(plain) == f"Title\n{long}\nshort.\n{long}"
-    assert html_text.main_text(None) == "" and html_text.main_text("") == "" and html_text.main_text("<p>only</p>") == "only"
-    assert html_text.main_text("<nav><p>never closed<article><p>text</article>") == "text"
-    assert html_text.main_text("&#233;&nbsp;x &lt;b&gt;") == "é x <b>"
+    assert text_of(plain) == f"Title\n{long}\nshort.\n{long}"
+    assert text_of(None) == "" and text_of("") == "" and text_of("<p>only</p>") == "only"
+    assert text_of("<nav><p>never closed<article><p>text</article>") == "text"
+    assert text_of("&#233;&nbsp;x &lt;b&gt;") == "é x <b>"
 
 
 def test_page_keeps_its_marked_parts():
     a, b = "first part " * 20, "second part " * 15
     page = f"<body><article><p>{a}</p></article><p>between</p><article><p>{b}</p></article><article><p>tiny</p></article></body>"
-    assert html_text.main_text(page) == f"{a.strip()}\n{b.strip()}"
-    assert html_text.main_text(f"<body><article><a href='/'>link</a></article><p>{a}</p></body>") == a.strip()
+    assert text_of(page) == f"{a.strip()}\n{b.strip()}"
+    assert text_of(f"<body><article><a href='/'>link</a></article><p>{a}</p></body>") == a.strip()
+
+
+def test_text_of_the_article_is_whole():
+    body = "<p>second</p><p>third's</p>"
+    assert text_of(f"<article><p title=it's>hello</p>{body}</article>") == "hello\nsecond\nthird's"
+    long = "A paragraph that is certainly long enough to let the sums of its block of lines surge over the threshold at once."
+    assert text_of(f"<article><p>{long}</p><section id=related-work><p>{long}</p></section><p class='search-theory'>x</p></article>") == f"{long}\n{long}\nx"
+    assert text_of(f"<main><p>{long}</p></main><p>x</p><main><p>{long}</p><p><a href=/>link</a></p></main>") == f"{long}\n{long}\nlink"
+    assert text_of(f"<article><p>{long}</p><ol class='comment-list'><li>{long}</li></ol><p class=ad>{long}</p></article>") == long
+    assert text_of(f"<div><p>{long}</p></div><p><a href=/>a</a></p><p><a href=/>b</a></p><p><a href=/>c</a></p><p><a href=/>d</a></p><p>{long}</p>") == f"{long}\n{long}"
+
+
+def test_malformed_pages_take_time_in_proportion():
+    import time
+
+    for piece in ("<a '", "<a b=\"", "<!--", "<script", "</a", "<a b='x' ", "&", "<p><div>"):
+        took = []
+        for n in (20_000, 80_000):
+            t = time.perf_counter()
+            html_text.main_text(piece * n)
+            took.append(time.perf_counter() - t)
+        assert took[1] < 10 * took[0] + 0.5, piece
+
+
+def plain_blocks(lines):
+    """Line-block distribution written out over (weight, part) for whole pages."""
+    keep = set()
+    any_marked = any(p and sum(w for w, q in lines[i:i + 3] if q == p) >= 80 for i, (_, p) in enumerate(lines))
+    for i, (_, p) in enumerate(lines):
+        if any_marked and not p:
+            continue
+        lo = i
+        while lo and (lines[lo - 1][1] == p if any_marked else any(w for w, _ in lines[lo - 1:lo + 2])):
+            lo -= 1
+        hi = i + 1
+        while hi < len(lines) and (lines[hi][1] == p if any_marked else any(w for w, _ in lines[hi - 1:hi + 2])):
+            hi += 1
+        part = [w for w, _ in lines[lo:hi]]
+        if any(sum(part[j:j + 3]) >= 80 for j in range(len(part))):
+            keep.add(i)
+    return keep, any_marked
+
+
+def test_marked_pages_against_plain_blocks():
+    rng = np.random.default_rng(3)
+    marked = 0
+    for _ in range(300):
+        parts = np.cumsum(rng.random(12) < 0.3) % 3
+        number = {}
+        lines = [("t", int(rng.choice([0, 5, 30, 60, 120])), 0 if p == 0 else int(p)) for p in parts]
+        pieces = html_text.sections(lines)
+        lines = [("t", w, k + 1 if p else 0) for k, (p, a, z) in enumerate(pieces) for _, w, _ in lines[a:z]]
+        want, any_marked = plain_blocks([(w, p) for _, w, p in lines])
+        runs, how = html_text.chosen(lines)
+        if any_marked:
+            marked += 1
+            assert how == "marked" and {i for a, z in runs for i in range(a, z)} == want
+        number.clear()
+    assert marked > 100
 
 
 def test_pages_table(spark):
