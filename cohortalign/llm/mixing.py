@@ -110,7 +110,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_mixing(spark, sf_dir) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
+    return mix(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op5_mixing": op5_mixing}
@@ -146,7 +146,7 @@ c as (
     sum(size) over (partition by d.source, h) as n,
     sum(size) over (partition by d.source) as total
   from d join b on d.source is not distinct from b.source)
-select doc_id, size, source_size::bigint as source_size, round(target, 3) as target,
+select doc_id, size, source_size::bigint as source_size, target,
   (size * least(3, whole + case when budget < 1e-6 or size = 0 then 0
      when upto < budget then case when upto = total then (2 * (budget - upto + n) >= n)::int else 1 end
      when upto - n < budget then (2 * (budget - (upto - n)) >= n)::int
