@@ -54,18 +54,27 @@ def ngram_counts(text: str) -> np.ndarray:
 
 
 def codewords(languages: int) -> np.ndarray:
-    """Rows of +1/-1: all ways to split up to seven languages in two, or ten random
-    splits for each doubling of their number."""
+    """Rows of +1/-1: all ways to split up to seven languages in two; for more, random halvings, ten for each doubling of their
+    number and more if need be, until any two codewords differ in a third of their bits at least, so that fewer than a sixth
+    of wrong bits are always put right."""
     if languages <= 7:
         cols = [[1] + [1 if j >> i & 1 else -1 for i in range(languages - 1)] for j in range(2 ** (languages - 1) - 1)] \
             if languages > 1 else []
         return np.array(cols, np.int8).reshape(-1, languages).T
-    rng, cols = random.Random(42), []
-    while len(cols) < 10 * math.ceil(math.log2(languages)):
+    rng, cols, least = random.Random(42), [], 10 * math.ceil(math.log2(languages))
+    while True:
         half = [1] * (languages // 2) + [-1] * (languages - languages // 2)
         rng.shuffle(half)
         cols.append(half)
-    return np.array(cols, np.int8).T
+        if len(cols) >= least and least_distance(code := np.array(cols, np.int8).T) >= len(cols) / 3:
+            return code
+
+
+def least_distance(code: np.ndarray) -> int:
+    """The fewest bits in which two codewords differ."""
+    differ = (code.shape[1] - code.astype(int) @ code.T.astype(int)) // 2
+    np.fill_diagonal(differ, code.shape[1])
+    return int(differ.min())
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -86,14 +95,14 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
                                               pa.array(c[f], pa.int64())], ["lang", "f", "n"])
 
     sums = rows.mapInArrow(count, "lang string, f int, n long").groupBy("lang", "f").agg(F.sum("n").alias("n"))
-    table = sums.groupBy("lang").agg(F.collect_list(F.struct("f", "n")).alias("v")).limit(MAX_LANGUAGES + 1).collect()
+    table = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("f", "n"))).alias("v")).select(
+        "lang", F.transform("v", lambda x: x["f"]).alias("f"), F.transform("v", lambda x: x["n"]).alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(table) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     table.sort(key=lambda r: r["lang"])
     p = np.zeros((len(table), FEATURES))
     for i, r in enumerate(table):
-        for f, n in r["v"]:
-            p[i, f] = n
+        p[i, r["f"]] = r["n"]
     p = (p + 0.5) / (p + 0.5).sum(1, keepdims=True) if len(p) else p
     code = codewords(len(table)) if table else np.zeros((0, 0), np.int8)
     weights = np.stack([np.log(p[c > 0].mean(0)) - np.log(p[c < 0].mean(0)) for c in code.T], 1) \
