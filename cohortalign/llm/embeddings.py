@@ -2,15 +2,17 @@
 
 Equal vectors are folded to a class with its count. Centroids are fitted on a sample
 of at most about ``SAMPLE`` classes; all classes are then assigned: each is at home in its nearest
-cell and visits those whose boundary is within ``MARGIN`` of it. Cells are cut into blocks of
-about ``BLOCK`` home rows, and a task multiplies its block with the rows that meet
+cell and visits those whose boundary is near. Where ``MAX_CELLS`` cells would hold more than ``CELL`` classes each,
+every cell is parted again by a second set of centroids, fitted on the differences from the first, so that cells stay small at
+every size. Cells are cut into blocks of about ``BLOCK`` home rows, and a task multiplies its block with the rows that meet
 it, batch by batch. Of the links found it writes counts by vector and the edges of a spanning
 forest, never all pairs. A link whose ends meet in two cells is counted in one of them.
 
-No pair below the threshold is linked; a pair above it is missed only if neither end
-is within the margin of the other's cell, which for a link at the threshold asks for four
-times the deviation that its difference has along one direction. Recall against brute
-force is measured in the tests.
+No pair below the threshold is linked. The ends of a link at the threshold are ``sqrt(2 - 2 * threshold)`` apart; if a boundary
+lies between them, one end is within half of that of it, so a margin of a half would miss nothing. Along one
+direction they differ by the distance over the square root of the dimensions that the vectors fill (estimated from the sample), times
+a normal deviate; the margin is ``SPREAD`` such deviations, at most the half, and a link is missed only if its
+ends differ by more than twice that. Recall against brute force is measured in the tests.
 
 Defined results: vectors that are null, empty or zero or hold null or non-finite
 components link with nothing; vectors of different lengths are compared as if filled
@@ -27,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, read, small_batches, staged
+from .common import broadcast_if_small, connected_components, read, small_batches, staged
 
 THRESHOLD = 0.95
-CELL, BLOCK, MAX_CELLS, SAMPLE, ROUNDS = 1000, 2000, 8192, 40_000, 8
+CELL, BLOCK, MAX_CELLS, SAMPLE, ROUNDS = 500, 2000, 4096, 40_000, 8
+SPREAD = 1.5
+MAX_BROADCAST_CELLS = 1_000_000
 
 
 def unit(rows: list) -> np.ndarray:
@@ -62,12 +66,54 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 42
     return c
 
 
-def gaps(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Home cell of each row, and the distance of each row to its boundary with each cell."""
-    dot = x @ c.T
-    home = dot.argmax(1)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-    return home, (dot.max(1)[:, None] - dot) / np.maximum(apart[home], 1e-12)
+def dimensions(x: np.ndarray) -> float:
+    """How many directions the rows fill evenly, at least 1."""
+    e = np.linalg.eigvalsh(np.cov(x.T)) if len(x) > 1 and x.shape[1] > 1 else np.ones(1)
+    return max(1.0, float(e.sum() ** 2 / max((e * e).sum(), 1e-300)))
+
+
+def centroids(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to MAX_CELLS unit centroids and, where k asks for more, a second set of differences from them (else one of zero)."""
+    first = min(k, MAX_CELLS)
+    c = spherical_kmeans(x, min(first, len(x)))
+    more = math.ceil(k / first)
+    if more == 1:
+        return c, np.zeros((1, x.shape[1]))
+    near = np.concatenate([(part @ c.T).argmax(1) for part in np.array_split(x, max(1, len(x) * len(c) // 5_000_000))])
+    rest = x - c[near]
+    size = np.linalg.norm(rest, axis=1, keepdims=True)
+    r = spherical_kmeans(rest / np.maximum(size, 1e-12), min(more, len(x)))
+    return c, r * np.median(size)
+
+
+def _near(scores: np.ndarray, apart: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """scores: rows by centres, apart: distances between centres. (best by row; row, centre) of those whose boundary
+    with the best is within the margin."""
+    best = scores.argmax(1)
+    gap = (scores.max(1)[:, None] - scores) / np.maximum(apart[best], 1e-12)
+    return best, *np.nonzero(gap <= margin)
+
+
+def distances(c: np.ndarray) -> np.ndarray:
+    q = (c * c).sum(1)
+    return np.sqrt(np.maximum(0, q[:, None] + q[None] - 2 * (c @ c.T)))
+
+
+def visited(x: np.ndarray, c: np.ndarray, r: np.ndarray, apart: tuple[np.ndarray, np.ndarray], margin: float):
+    """(home cell by row; row, cell) for the rows of x, cells being numbered over both sets of centroids."""
+    homes, rows, cells = [], [], []
+    for at in range(0, len(x), max(1, 2_000_000 // len(c))):
+        part = x[at:at + max(1, 2_000_000 // len(c))]
+        home, row, cell = _near(part @ c.T, apart[0], margin)
+        if len(r) > 1:
+            inner, pair, sub = _near((part[row] - c[cell]) @ r.T - (r * r).sum(1) / 2, apart[1], margin)
+            first = np.flatnonzero(cell == home[row])  # one for each row, in order
+            home = home * len(r) + inner[first]
+            row, cell = row[pair], cell[pair] * len(r) + sub
+        homes.append(home)
+        rows.append(row + at)
+        cells.append(cell)
+    return np.concatenate(homes), np.concatenate(rows), np.concatenate(cells)
 
 
 class Forest:
@@ -108,39 +154,40 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     share = min(1.0, SAMPLE / total)
     sample = classes.where((F.pmod(F.xxhash64("uid"), F.lit(1 << 40)) / (1 << 40)) < share).limit(2 * SAMPLE).select("v").collect()
     sample = fitted(unit([r[0] for r in sample]), width) if sample else np.ones((1, width)) / math.sqrt(width)
-    k = max(1, min(MAX_CELLS, len(sample), round(total / CELL)))
-    cells = spherical_kmeans(sample, k)
-    margin = min(1.0, 4 / math.sqrt(width)) * math.sqrt(2 - 2 * threshold)
+    c, r = centroids(sample, max(1, min(total // 2, round(total / CELL))))
+    apart = distances(c), distances(r)
+    margin = min(0.5, SPREAD / math.sqrt(dimensions(sample))) * math.sqrt(2 - 2 * threshold)
 
     kind = classes.schema["v"].dataType.simpleString()
 
     def assign(batches):
         for b in batches:
-            ids, lists = b.column(0).to_numpy(), b.column(2)
-            if not len(ids):
+            lists = b.column(2)
+            if not len(lists):
                 continue
-            x = fitted(unit(lists.to_pylist()), width)
-            home, gap = gaps(x, cells)
-            row, cell = np.nonzero(gap <= margin)
+            home, row, cell = visited(fitted(unit(lists.to_pylist()), width), c, r, apart, margin)
+            all_of = np.split(cell, np.flatnonzero(np.diff(row)) + 1)
             take = lambda a: a.take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
-                [take(b.column(0)), take(b.column(1)), pa.array(cell.astype(np.int32)),
-                 pa.array(home[row].astype(np.int32)), take(lists)], ["uid", "n", "cell", "home", "v"])
+                [take(b.column(0)), take(b.column(1)), pa.array(cell.astype(np.int64)), pa.array(home[row].astype(np.int64)),
+                 take(pa.array([v.astype(np.int64) for v in all_of], pa.list_(pa.int64()))), take(lists)],
+                ["uid", "n", "cell", "home", "visits", "v"])
 
-    met = staged(classes.select("uid", "n", "v").mapInArrow(assign, f"uid long, n long, cell int, home int, v {kind}"), "vec-met")
+    met = staged(classes.select("uid", "n", "v").mapInArrow(
+        assign, f"uid long, n long, cell long, home long, visits array<long>, v {kind}"), "vec-met")
     blocks = met.where("cell = home").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    met = met.join(F.broadcast(blocks), "cell")  # at most MAX_CELLS rows
+    met = met.join(broadcast_if_small(staged(blocks, "vec-blocks"), MAX_BROADCAST_CELLS), "cell")
     own = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
-    base = met.where("cell = home").select("cell", own.alias("block"), F.lit(0).alias("probe"), "uid", "n", "home", "v")
+    base = met.where("cell = home").select("cell", own.alias("block"), F.lit(0).alias("probe"), "uid", "n", "home", "v", "visits")
     probe = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     # of two home rows of different blocks, the one of the smaller block goes to the other's
     probe = probe.where((F.col("cell") != F.col("home")) | (own <= F.col("block"))).select(
-        "cell", "block", F.lit(1).alias("probe"), "uid", "n", "home", "v")
+        "cell", "block", F.lit(1).alias("probe"), "uid", "n", "home", "v", F.lit(None).cast("array<long>").alias("visits"))
     dealt = base.union(probe).repartition("cell", "block").sortWithinPartitions("cell", "block", "probe")
 
     def compare(batches):
         at = forest = None
-        uids, ns, xs = [], [], []
+        uids, ns, xs, calls = [], [], [], []
         for b in batches:
             cell, block, probe = (b.column(i).to_numpy() for i in range(3))
             uid, n, home = b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(5).to_numpy()
@@ -151,14 +198,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             for part in np.split(np.arange(len(uid)), cuts):
                 here = (cell[part[0]], block[part[0]])
                 if here != at:
-                    at, forest, uids, ns, xs = here, Forest(), [], [], []
+                    at, forest, uids, ns, xs, calls = here, Forest(), [], [], [], []
                 if not probe[part[0]]:
                     uids.append(uid[part])
                     ns.append(n[part])
                     xs.append(x[part])
+                    calls += b.column(7).take(pa.array(part)).to_pylist()
                     continue
-                if len(xs) > 1:
-                    uids, ns, xs = [np.concatenate(uids)], [np.concatenate(ns)], [np.concatenate(xs)]
+                if isinstance(calls, list):
+                    uids, ns, xs = [np.concatenate(uids or [uid[:0]])], [np.concatenate(ns or [n[:0]])], [np.concatenate(xs)] if xs else []
+                    most = max(map(len, calls), default=0)
+                    calls = np.array([v + [-1] * (most - len(v)) for v in calls], np.int64).reshape(-1, most)
                 if not xs:
                     continue
                 p, q = np.nonzero(x[part] @ xs[0].T >= threshold)
@@ -169,9 +219,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                 keep |= twice
                 far = np.flatnonzero(home[a] != here[0])
                 if len(far):  # does the base row visit the probe's home as well?
-                    y = xs[0][c[far]]
-                    apart = np.sqrt(np.maximum(0, 2 - 2 * (cells[here[0]] * cells[home[a[far]]]).sum(1)))
-                    back = (y @ cells[here[0]] - (y * cells[home[a[far]]]).sum(1)) / np.maximum(apart, 1e-12) <= margin
+                    back = (calls[c[far]] == home[a[far]][:, None]).any(1)
                     keep[far] = ~back | (home[a[far]] < here[0])
                 a, c = a[keep], c[keep]
                 if not len(a):
