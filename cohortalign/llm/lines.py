@@ -1,10 +1,11 @@
 """Line dedup by a deletion-neighbourhood join (operator 9).
 
-Lines are compared as sequences of words (A-Z lower-cased, split at white space).
-Of equal lines the earliest stays; a line also goes if a line with an earlier first
-occurrence is within one edited word (inserted, removed or replaced) of it. Order is that of
-(id, text's hash, line number). Lines under ``min_words`` words are never removed, and
-those under ``MIN_NEAR_WORDS`` only if equal. With ``min_words=1`` all lines that are not blank are compared.
+Lines are compared as sequences of words (A-Z lower-cased, split at white space). In lines that take two
+bytes a character or more, each character of a script written without spaces is a word of its own.
+Of equal lines the earliest stays, however short; a line also goes if a line with an earlier first
+occurrence is within one edited word (inserted, removed or replaced) of it and the edit is at most one word in
+``NEAR_WORDS``, that is, seven eighths of the line agree. Order is that of
+(id, text's hash, line number). Blank lines always stay; ``min_words`` (1) can spare other short lines as well.
 
 Lines within one edit share a half exactly, so lines whose halves are all unlike any
 other line's emit nothing. The others emit the hashes of their variants with at
@@ -26,11 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, broadcast_if_small, read, small_batches, staged
+from .common import LOWER, UPPER, ascii_lower, read, small_batches, staged
 
-MIN_WORDS, MIN_NEAR_WORDS = 5, 8
+MIN_WORDS, NEAR_WORDS = 1, 8
 SPACE = r"[\x20\x09-\x0D]+"
-MAX_BROADCAST_TEXTS = 200_000
+MAX_BROADCAST_LINES = 250_000  # of about 80 bytes each
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -38,6 +40,8 @@ _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 def line_words(line: Column) -> Column:
     """Split at plain spaces where the line has no other white space, which is much faster."""
     low = ascii_lower(line)
+    low = F.when(F.octet_length(line) >= 2 * F.length(line), F.regexp_replace(
+        low, "([" + "".join(rf"\p{{Is{x}}}" for x in UNSPACED) + "])", " $1 ")).otherwise(low)
     other = [F.contains(line, F.lit(c)) for c in "\t\r\v\f"]
     return F.array_remove(F.when(other[0] | other[1] | other[2] | other[3], F.split(low, SPACE)).otherwise(F.split(low, " ")), "")
 
@@ -49,7 +53,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WOR
     out = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"),
                                               F.posexplode(F.split(text, "\n", -1)).alias("line", "s"))
     out = out.select("id", "t", "line", line_words(F.col("s")).alias("words")).where(F.size("words") >= min_words)
-    halves = F.when(F.size("words") >= MIN_NEAR_WORDS, _halves(F.col("words")))
+    halves = F.when(F.size("words") >= NEAR_WORDS, _halves(F.col("words")))
     return out.select(F.xxhash64("words", F.size("words")).alias("h"), "id", "t", "line", halves.alias("halves"))
 
 
@@ -96,7 +100,9 @@ def near_removed(docs: DataFrame, lines: DataFrame, first: DataFrame, id_col: st
         F.max((F.col("side") == 0)).alias("front"), F.max((F.col("side") == 1)).alias("back"))
     want = cand.join(first, "h").groupBy(F.col("o.id").alias("_id"), F.col("o.t").alias("_t")).agg(
         F.collect_list(F.struct("h", "o", "front", "back")).alias("want"))
-    want = broadcast_if_small(staged(want, "line-want"), MAX_BROADCAST_TEXTS)
+    want = staged(want, "line-want")
+    if (want.agg(F.sum(F.size("want"))).first()[0] or 0) <= MAX_BROADCAST_LINES:
+        want = F.broadcast(want)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     rows = rows.join(want, rows.t.eqNullSafe(want["_t"]) & rows.id.eqNullSafe(want["_id"]))
     parts = F.split("text", "\n", -1)
@@ -175,14 +181,16 @@ QUERIES = {"op9_lines": op9_lines}
 ORACLE_SQL = {"op9_lines": rf"""
 with l as (
   select doc_id, i as line, s,
-    list_filter(regexp_split_to_array(translate(s, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+    list_filter(regexp_split_to_array(
+      case when octet_length(encode(s)) >= 2 * length(s) then regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '([{"".join(f"{chr(92)}p{{{x}}}" for x in UNSPACED)}])', ' \1 ', 'g')
+           else translate(s, '{UPPER}', '{LOWER}') end, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from (select doc_id, unnest(string_split(text, chr(10))) as s,
                unnest(range(0, len(string_split(text, chr(10))))) as i from documents)),
 e as (select w, min((doc_id, line)) as o from l where len(w) >= {MIN_WORDS} group by w),
 v as (
-  select w, o, -1 as tag, w as x from e where len(w) >= {MIN_NEAR_WORDS}
+  select w, o, -1 as tag, w as x from e where len(w) >= {NEAR_WORDS}
   union all
-  select w, o, p, w[:p] || w[p + 2:] from (select w, o, unnest(range(0, len(w))) as p from e where len(w) >= {MIN_NEAR_WORDS})),
+  select w, o, p, w[:p] || w[p + 2:] from (select w, o, unnest(range(0, len(w))) as p from e where len(w) >= {NEAR_WORDS})),
 n as (
   select distinct a.w from v a join v b on a.x = b.x and (a.tag = b.tag or a.tag = -1 or b.tag = -1)
   where b.o < a.o),
