@@ -6,8 +6,15 @@ without those that a smaller rule implies. A rule is found through an inverted
 index on its rarest token and checked against all tokens of the URL. Given host and path
 rules come first, the longest that fits.
 
-The labels in the query: the given rules' verdicts where one fits; elsewhere the table
-``labels``, taking the row of the page's id, toxic being block.
+Only tokens that can be part of such a rule enter the mining: those of enough support among blocked URLs, that are not rules by
+themselves (what a smaller rule implies is left out anyway) and don't stand in every URL; of tokens that stand in
+exactly the same URLs one enters and brings the others along. So tokens that always come together don't multiply the sets.
+
+The labels in the query are the given rules' verdicts, the only labels that speak of URLs; pages that no rule
+fits are unlabelled, and the mined rules judge them. A mined rule needs blocked URLs of ``MIN_REASONS`` different given rules at least:
+otherwise it only says again, and more widely, what one rule says (all labelled URLs of a domain with one block rule are blocked).
+The table ``labels`` is about documents: its ids are not those of pages. ``judge`` takes
+labels by id as well, which count where no given rule fits, each as a reason of its own.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no tokens and
 is allowed; without labelled rows of label block nothing is mined and all is allowed; repeated
@@ -16,6 +23,8 @@ rows get equal results; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, ascii_lower, broadcast_if_small, read, staged
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 5, 0.9, 2
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS, MIN_REASONS = 0.005, 5, 0.9, 2, 2
 MAX_RULES = 100_000
 
 
@@ -55,34 +64,63 @@ def tokens(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-         max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """(url, label) -> (tokens, support, confidence, anchor): rules for ``block``."""
+         max_tokens: int = MAX_TOKENS, min_reasons: int = MIN_REASONS) -> DataFrame:
+    """(url, label) -> (tokens, support, confidence, anchor): rules for ``block``. A column ``reason`` says which rows
+    were labelled for one reason; without it each row is a reason of its own."""
     mark = "label=block"
-    rows = staged(labelled.select(tokens(F.col("url")).alias("t"), "label"), "url-labelled")
-    items = rows.select(F.when(F.col("label") == "block", F.concat("t", F.array(F.lit(mark)))).otherwise(F.col("t")).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(items).freqItemsets
+    rid = F.xxhash64(F.col("url"), F.monotonically_increasing_id())
+    rows = labelled.select(tokens(F.col("url")).alias("t"), F.col("label"), rid.alias("rid"),
+                           (F.col("reason") if "reason" in labelled.columns else rid.cast("string")).alias("reason"))
+    rows = staged(rows, "url-labelled")
+    total = rows.count()
+    need = max(MIN_COUNT, math.ceil(min_support * total))
+    each = rows.select("rid", "label", F.explode("t").alias("one"))
+    stats = each.groupBy("one").agg(F.count(F.lit(1)).alias("support"), F.count_if(F.col("label") == "block").alias("both"),
+                                    F.sum(F.col("rid").cast("decimal(38,0)")).alias("where")).where(F.col("both") >= need)
+    stats = staged(stats.withColumn("confidence", F.col("both") / F.col("support")), "url-tokens")
+    single = stats.where(F.col("confidence") >= min_confidence).select(F.array("one").alias("tokens"), "support", "confidence", F.col("one").alias("anchor"))
+    rest = stats.where((F.col("confidence") < min_confidence) & (F.col("support") < total))
+    # tokens of the same URLs, by the sum of these URLs' hashes
+    together = staged(rest.groupBy("where", "support").agg(F.min("one").alias("one"), F.collect_list("one").alias("all")), "url-together")
+    items = each.join(together.select("one"), "one", "left_semi").groupBy("rid", "label").agg(F.collect_list("one").alias("t"))
+    items = staged(items.select(F.when(F.col("label") == "block", F.concat("t", F.array(F.lit(mark)))).otherwise(F.col("t")).alias("items")), "url-items")
+    n = items.count()
+    if not n:
+        return taught(rows, single, min_reasons)
+    found = FPGrowth(itemsCol="items", minSupport=need / n).fit(items).freqItemsets
     found = staged(found.where(F.size("items") <= max_tokens + 1).select(F.array_sort("items").alias("items"), "freq"), "url-sets")
     # what FP-growth has counted: a set with the mark and the same set without it
     with_mark = found.where(F.array_contains("items", mark)).select(F.array_remove("items", mark).alias("tokens"), F.col("freq").alias("both"))
     plain = found.where(~F.array_contains("items", mark)).select(F.col("items").alias("tokens"), F.col("freq").alias("support"))
-    rules = with_mark.where(F.size("tokens") > 0).join(plain, "tokens").withColumn("confidence", F.col("both") / F.col("support"))
-    rules = staged(rules.where((F.col("both") >= MIN_COUNT) & (F.col("confidence") >= min_confidence)), "url-rules")
-    singles = plain.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("one"), F.col("support").alias("n"))
-    each = rules.withColumn("one", F.explode("tokens")).join(singles, "one")
-    smaller = rules.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("one"), F.lit(True).alias("implied"))
-    each = each.join(smaller, "one", "left").groupBy("tokens", "support", "confidence").agg(
-        F.min(F.struct("n", "one")).alias("rare"), F.coalesce(F.max("implied"), F.lit(False)).alias("implied"))
-    return each.where((F.size("tokens") == 1) | ~F.col("implied")).select("tokens", "support", "confidence", F.col("rare.one").alias("anchor"))
+    pairs = with_mark.where(F.size("tokens") > 1).join(plain, "tokens").withColumn("confidence", F.col("both") / F.col("support"))
+    pairs = pairs.where((F.col("both") >= need) & (F.col("confidence") >= min_confidence))
+    pairs = pairs.select("tokens", "support", "confidence", F.explode("tokens").alias("one")).join(
+        together.select("one", F.col("support").alias("n"), "all"), "one")
+    pairs = pairs.groupBy("tokens", "support", "confidence").agg(F.min(F.struct("n", "one"))["one"].alias("anchor"), F.flatten(F.collect_list("all")).alias("all"))
+    return taught(rows, single.union(pairs.select(F.array_sort("all"), "support", "confidence", "anchor")), min_reasons)
+
+
+def fitting(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows (.., t) with each rule (tokens, .., anchor) whose tokens they hold, by the inverted index on the anchors."""
+    rules = broadcast_if_small(staged(rules, "url-index"), MAX_RULES)
+    index = rows.withColumn("anchor", F.explode("t"))
+    return index.join(rules, "anchor").where(F.size(F.array_except("tokens", "t")) == 0)
+
+
+def taught(rows: DataFrame, rules: DataFrame, min_reasons: int) -> DataFrame:
+    """The rules whose blocked rows have that many reasons."""
+    rules = staged(rules, "url-rules")
+    seen = fitting(rows.where("label = 'block'").select("t", "reason"), rules.select("tokens", "anchor"))
+    enough = seen.groupBy("tokens").agg(F.count_distinct("reason").alias("reasons")).where(F.col("reasons") >= min_reasons)
+    return rules.join(enough.select("tokens"), "tokens").select("tokens", "support", "confidence", "anchor")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct urls of ``urls(url)`` that a rule blocks."""
-    rules = broadcast_if_small(staged(rules, "url-index"), MAX_RULES)
-    index = urls.select("url").distinct().select("url", tokens(F.col("url")).alias("t")).select("url", "t", F.explode("t").alias("anchor"))
-    return index.join(rules, "anchor").where(F.size(F.array_except("tokens", "t")) == 0).select("url").distinct()
+    return fitting(urls.select("url").distinct().select("url", tokens(F.col("url")).alias("t")), rules).select("url").distinct()
 
 
-def judge(pages: DataFrame, labels: DataFrame | None, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """(id, host, path, rule, verdict) for every row; labels(id, label) with allow or block."""
     url = F.col(url_col)
     host, path = host_path(url)
@@ -93,7 +131,8 @@ def judge(pages: DataFrame, labels: DataFrame | None, id_col: str = "page_id", u
     if labels is not None:
         known = rows.join(labels.select(F.col("id").alias("_id"), "label"), F.col("id") == F.col("_id"), "left")
     label = F.coalesce("given", "label") if labels is not None else F.col("given")
-    known = known.select("url", label.alias("label")).where("label is not null")
+    known = known.select("url", label.alias("label"), F.coalesce("rule", F.concat(F.lit("id="), F.col("id").cast("string"))).alias("reason"))
+    known = known.where("label is not null")
     bad = staged(matched(rows.where("given is null"), mine(known)), "url-bad").withColumn("bad", F.lit(True))
     out = rows.join(bad, "url", "left")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce(
@@ -101,9 +140,7 @@ def judge(pages: DataFrame, labels: DataFrame | None, id_col: str = "page_id", u
 
 
 def op10_url_rules(spark, sf_dir) -> DataFrame:
-    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select(
-        F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "block").otherwise("allow").alias("label"))
-    return judge(read(spark, sf_dir, "pages"), labels)
+    return judge(read(spark, sf_dir, "pages"))
 
 
 QUERIES = {"op10_url_rules": op10_url_rules}
@@ -130,15 +167,14 @@ k as (
            translate(split_part(substr(url, instr(url, '?') + 1), '#', 1), {_LOW}) else '' end, '&'),
            lambda x: split_part(x, '=', 1)), lambda x: x <> ''), lambda x: 'q:' || x)) as t
   from g),
-l as (select doc_id, case when max(toxic) = 1 then 'block' else 'allow' end as label from labels group by doc_id),
-b as (select rid, t, coalesce(given, label) as label from k left join l on page_id = doc_id where coalesce(given, label) is not null),
-o as (select rid, unnest(t) as x, label from b),
+b as (select rid, t, given as label, rule from k where given is not null),
+o as (select rid, unnest(t) as x, label, rule from b),
 need as (select greatest({MIN_COUNT}, ceil({MIN_SUPPORT} * count(*))) as n from b),
 s as (
-  select x as x, null as y, count(*) as n, count(*) filter (where label = 'block') as c from o group by all
+  select x as x, null as y, count(*) as n, count(*) filter (where label = 'block') as c, count(distinct rule) filter (where label = 'block') as why from o group by all
   union all
-  select p.x, q.x, count(*), count(*) filter (where p.label = 'block') from o p join o q on p.rid = q.rid and p.x < q.x group by all),
-r as (select x, y from s, need where c >= need.n and c >= {MIN_CONFIDENCE} * s.n),
+  select p.x, q.x, count(*), count(*) filter (where p.label = 'block'), count(distinct p.rule) filter (where p.label = 'block') from o p join o q on p.rid = q.rid and p.x < q.x group by all),
+r as (select x, y from s, need where c >= need.n and c >= {MIN_CONFIDENCE} * s.n and why >= {MIN_REASONS}),
 m as (select distinct rid from k, r where list_contains(t, x) and (y is null or list_contains(t, y)))
 select page_id, host, path, rule, coalesce(given, case when m.rid is not null then 'block' else 'allow' end) as verdict
 from k left join m using (rid)"""}
