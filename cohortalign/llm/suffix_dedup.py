@@ -34,12 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, staged, text_key
+from .common import broadcast_if_small, read, small_batches, staged, text_key
 
 LENGTH, GRAM = 400, 128
 MAX_GROUP = 20_000
 RANGES = (42, 6, 1)  # offsets in a range, by round; each divides the one before
 PART = 1 << 19
+MAX_BROADCAST_KEYS, MAX_BROADCAST_SPANS = 300_000, 1_000_000
 _TABLE = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -258,17 +259,20 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw"))
     texts = texts.where(F.octet_length("raw") >= length)
     found = staged(_find_anchors(texts, length, gram), "suffix-anchors")
+    # most grams stand once; only the others' anchors go on. Joined with a written table, a common gram's rows can be split
+    again = staged(found.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h"), "suffix-again")
+    found = staged(found.join(again, "h"), "suffix-met")
     folded = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos", "reach")).alias("at"))
     folded = staged(folded, "suffix-folded")
-    # written, so that the join below is one of two plain tables and a common gram's rows can be split
-    groups = staged(folded.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("times")).where("times > 1"), "suffix-groups")
+    groups = staged(folded.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")), "suffix-groups")
     folded = folded.join(groups, "h")
     alone = folded.where("contexts = 1").select(
         "h", "c", F.least(F.col("at.pos"), F.lit(length - gram)).alias("to_left"), F.col("at.reach").alias("to_right"))
     alone = alone.where(F.col("to_left") + F.col("to_right") >= length)
     want = folded.where("contexts > 1").groupBy("at.key").agg(
         F.collect_list(F.struct("at.pos", "h", "c", "n")).alias("want"), F.max(F.col("contexts") > max_group).alias("big"))
-    once = texts.groupBy("key").agg(F.first("raw").alias("raw"))
+    want = staged(want, "suffix-want")
+    once = texts.join(broadcast_if_small(want.select("key"), MAX_BROADCAST_KEYS), "key", "left_semi").groupBy("key").agg(F.first("raw").alias("raw"))
     contexts = _cut_contexts(once.join(want, "key").select("raw", "want"), length, gram)
     hot = groups.where(F.col("contexts") > max_group).select("h")
     if hot.isEmpty():
@@ -297,9 +301,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, n_bytes, n_removed, spans, kept binary, text) for every row: spans are the maximal removed runs, kept is
     what is left and text the same as a string, without characters that were cut in two."""
     spans = staged(repeats(docs, text_col, length), "suffix-spans").withColumnRenamed("key", "k")
+    rows, places = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    small = rows <= MAX_BROADCAST_KEYS and places <= MAX_BROADCAST_SPANS
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     left = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), raw.alias("raw"))
-    both = left.join(spans.hint("merge"), F.col("key") == F.col("k"), "left").select("id", "raw", "spans")
+    both = left.join(F.broadcast(spans) if small else spans.hint("merge"), F.col("key") == F.col("k"), "left").select("id", "raw", "spans")
 
     def run(batches):
         for b in batches:

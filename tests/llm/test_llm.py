@@ -68,7 +68,9 @@ def repeated(texts, n):
 
 
 @pytest.mark.parametrize("most", [20_000, 2])
-def test_substrings(spark, most):
+def test_substrings(spark, most, monkeypatch):
+    if most == 2:
+        monkeypatch.setattr(suffix_dedup, "MAX_BROADCAST_KEYS", 0)
     rng = np.random.default_rng(0)
     rand = lambda n: "".join(rng.choice(list("abcdé "), n))
     a, b = rand(900), rand(450)
@@ -83,9 +85,28 @@ def test_substrings(spark, most):
         for s, e in got.get(hashlib.md5(r).digest(), []):
             cover[s:e] = True
         assert (cover == m).all()
-    if most > 2:
-        out = {r["doc_id"]: r for r in suffix_dedup.dedup_substrings(df).collect()}
-        assert all(out[i]["n_removed"] == m.sum() and out[i]["kept"] == bytes(np.frombuffer(r, np.uint8)[~m]) for i, (r, m) in enumerate(zip(raw, want)))
+    out = {r["doc_id"]: r for r in suffix_dedup.dedup_substrings(df).collect()}
+    for i, (r, m) in enumerate(zip(raw, want)):
+        kept = bytes(np.frombuffer(r, np.uint8)[~m])
+        assert out[i]["n_removed"] == m.sum() and out[i]["kept"] == kept and out[i]["text"] == kept.decode("utf-8", "ignore")
+
+
+def test_substrings_query(spark, tmp_path):
+    """Planted passages of 400 bytes and more go from all documents that hold them, others stay, through the query."""
+    rng = np.random.default_rng(4)
+    passages = [" ".join(f"p{i}w{x}" for x in rng.integers(0, 9999, 70)) for i in range(5)]
+    short = "a passage of under four hundred bytes " * 2
+    texts = [" ".join(words(60 + i, 300 + i)) for i in range(40)]
+    for i in range(0, 40, 2):
+        texts[i] += " " + passages[i % 5] + " " + " ".join(words(20, 900 + i)) + short
+    docs(spark, [*texts, None, ""]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in suffix_dedup.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    raw, want = repeated([*texts, None, ""], 400)
+    for i, (r, m) in enumerate(zip(raw, want)):
+        kept = bytes(np.frombuffer(r, np.uint8)[~m])
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_kept"], got[i]["kept_sha256"]) == (len(r), m.sum(), len(kept), hashlib.sha256(kept).hexdigest())
+        assert got[i]["n_spans"] == (np.diff(np.concatenate([[0], m.astype(int)])) == 1).sum()
+    assert all(passages[i % 5] not in got[i]["text"] for i in range(0, 40, 2)) and all(got[i]["text"] == texts[i] for i in range(1, 40, 2))
 
 
 def test_long_text_has_the_anchors_of_its_parts(monkeypatch):
