@@ -40,7 +40,7 @@ LENGTH, GRAM = 400, 128
 MAX_GROUP = 20_000
 RANGES = (42, 6, 1)  # offsets in a range, by round; each divides the one before
 PART = 1 << 19
-MAX_BROADCAST_KEYS, MAX_BROADCAST_SPANS = 300_000, 1_000_000
+MAX_BROADCAST_KEYS = 300_000
 _TABLE = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -301,11 +301,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, n_bytes, n_removed, spans, kept binary, text) for every row: spans are the maximal removed runs, kept is
     what is left and text the same as a string, without characters that were cut in two."""
     spans = staged(repeats(docs, text_col, length), "suffix-spans").withColumnRenamed("key", "k")
-    rows, places = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    small = rows <= MAX_BROADCAST_KEYS and places <= MAX_BROADCAST_SPANS
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     left = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), raw.alias("raw"))
-    both = left.join(F.broadcast(spans) if small else spans.hint("merge"), F.col("key") == F.col("k"), "left").select("id", "raw", "spans")
+    both = left.join(spans.hint("merge"), F.col("key") == F.col("k"), "left").select("id", "raw", "spans")
 
     def run(batches):
         for b in batches:
