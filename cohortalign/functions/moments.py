@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_WIDTH = 4096
+BLOCK = 1 << 15  # numbers in a block of the cross-products
 SUMS = "n long, s array<double>, g array<double>"
 
 
@@ -24,9 +25,12 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def cross_moments(rows: DataFrame, keys: list[str], columns: list[str], max_width: int = MAX_WIDTH) -> DataFrame:
     """(keys, n, s, g): counts, sums and flattened cross-products of the arrays in ``columns``
-    laid side by side. Rows with a null array are left out."""
+    laid side by side. Rows with a null array are left out.
+
+    Each partition's sums are sent in blocks of rows of the cross-products, and blocks of one place are
+    added together; so a task holds one small block of every partition, never all of their matrices."""
     kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
-    schema = ", ".join([*kinds, SUMS])
+    schema = ", ".join([*kinds, "block int", SUMS])
     k = len(keys)
 
     def part(batches):
@@ -45,11 +49,13 @@ def cross_moments(rows: DataFrame, keys: list[str], columns: list[str], max_widt
                 new = (len(m), m.sum(0), m.T @ m)
                 name = tuple(name)
                 sums[name] = tuple(x + y for x, y in zip(sums[name], new)) if name in sums else new
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array([h[i] for h in sums], types[i]) for i in range(k)], pa.array([v[0] for v in sums.values()], pa.int64()),
-                 pa.array([v[1].tolist() for v in sums.values()], pa.list_(pa.float64())),
-                 pa.array([v[2].ravel().tolist() for v in sums.values()], pa.list_(pa.float64()))], [*keys, "n", "s", "g"])
+        for head, (n, total, g) in sums.items():
+            high = max(1, BLOCK // max(1, len(total)))
+            for i, at in enumerate(range(0, max(1, len(total)), high)):
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array([h], t) for h, t in zip(head, types)], pa.array([i], pa.int32()), pa.array([n], pa.int64()),
+                     pa.array([total if i == 0 else []], pa.list_(pa.float64())), pa.array([g[at:at + high].ravel()], pa.list_(pa.float64()))],
+                    [*keys, "block", "n", "s", "g"])
 
     cols = [F.col(c).cast("array<double>").alias(c) for c in columns]
     some = rows.where(" and ".join(f"`{c}` is not null" for c in columns)).select(*keys, *cols)
@@ -59,10 +65,16 @@ def cross_moments(rows: DataFrame, keys: list[str], columns: list[str], max_widt
         out = pdf.iloc[[0]].copy()
         out["n"] = pdf["n"].sum()
         for c in ("s", "g"):
-            out.at[out.index[0], c] = np.sum(np.stack(pdf[c].to_numpy()), axis=0)
+            total = np.zeros(len(pdf[c].iloc[0]))
+            for x in pdf[c]:
+                total += x
+            out.at[out.index[0], c] = total
         return out
 
-    return partial.groupBy(*keys).applyInPandas(add, schema)
+    blocks = partial.groupBy(*keys, "block").applyInPandas(add, schema)
+    held = F.array_sort(F.collect_list(F.struct("block", "n", "s", "g")))
+    whole = blocks.groupBy(*keys).agg(held.alias("_b"))
+    return whole.where(F.size("_b") > 0).select(*keys, F.col("_b")[0]["n"].alias("n"), F.col("_b")[0]["s"].alias("s"), F.flatten(F.transform("_b", lambda x: x["g"])).alias("g"))
 
 
 def collected(moments: DataFrame, keys: list[str]) -> dict[tuple, tuple[int, np.ndarray, np.ndarray]]:

@@ -166,16 +166,19 @@ def running_best(trials: DataFrame, by: list[str] = []) -> DataFrame:
         "duration", F.col("completed").cast("timestamp").cast("double") - F.col("started").cast("timestamp").cast("double"))
 
 
-def median_pruning(scores: DataFrame, startup: int = 5, warmup: int = 1, interval: int = 1) -> DataFrame:
-    """EXP6: (trial, step, score, prune): after the start-up trials, at steps from ``warmup`` on and at the
+def median_pruning(scores: DataFrame, startup: int = 5, warmup: int = 1, interval: int = 1, by: list[str] = []) -> DataFrame:
+    """EXP6: (by, trial, step, score, prune): after the start-up trials, at steps from ``warmup`` on and at the
     interval, a trial is pruned whose best score so far is below the median of the scores that earlier complete trials
-    had at that step. scores(trial, step, score, state)."""
-    done = scores.where("state = 'COMPLETE'").select(F.col("trial").alias("_t"), F.col("step").alias("_s"), F.col("score").alias("_v"))
-    own = scores.withColumn("_best", F.max("score").over(Window.partitionBy("trial").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
-    earlier = own.join(done, (F.col("_s") == F.col("step")) & (F.col("_t") < F.col("trial")), "left")
-    m = earlier.groupBy("trial", "step", "score", "_best").agg(F.median("_v").alias("_m"), F.count("_v").alias("_n"))
+    of the same study (columns ``by``) had at that step. scores(by, trial, step, score, state)."""
+    done = scores.where("state = 'COMPLETE'").select(*[F.col(c).alias(f"_{c}") for c in by], F.col("trial").alias("_t"), F.col("step").alias("_s"), F.col("score").alias("_v"))
+    own = scores.withColumn("_best", F.max("score").over(Window.partitionBy(*by, "trial").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
+    same = (F.col("_s") == F.col("step")) & (F.col("_t") < F.col("trial"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    earlier = own.join(done, same, "left")
+    m = earlier.groupBy(*by, "trial", "step", "score", "_best").agg(F.median("_v").alias("_m"), F.count("_v").alias("_n"))
     at = (F.col("step") >= warmup) & ((F.col("step") - warmup) % interval == 0)
-    return m.select("trial", "step", "score", F.coalesce((F.col("_n") >= startup) & at & (F.col("_best") < F.col("_m")), F.lit(False)).alias("prune"))
+    return m.select(*by, "trial", "step", "score", F.coalesce((F.col("_n") >= startup) & at & (F.col("_best") < F.col("_m")), F.lit(False)).alias("prune"))
 
 
 def fewshot_runs(files: DataFrame, dedupe: bool = False, path: str = "path", score: str = "median_r") -> DataFrame:

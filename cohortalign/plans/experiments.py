@@ -36,14 +36,14 @@ def exp5_running(s, d):
 
 
 def exp6(s, d):
-    t = V.table(s, d, "lineitem").where("l_orderkey < 150").groupBy(F.col("l_orderkey").alias("trial"), F.col("l_linenumber").alias("step")).agg(F.max("l_discount").alias("score"))
+    t = V.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("study"), F.col("l_orderkey").alias("trial"), F.col("l_linenumber").alias("step")).agg(F.max("l_discount").alias("score"))
     t = t.withColumn("state", F.when(F.col("trial") % 3 == 0, "COMPLETE").otherwise("PRUNED"))
-    return X.median_pruning(t, 5, 2, 2)
+    return X.median_pruning(t, 5, 2, 2, ["study"])
 
 
 def record_files(s, d):
     """Run records: names of N and seed with some that don't fit."""
-    return V.table(s, d, "orders").where("o_orderkey < 600").selectExpr(
+    return V.table(s, d, "orders").selectExpr(
         "o_orderkey as id", "case when o_orderkey % 10 = 3 then concat('runs/zeroshot_sub', o_orderkey, '.json') else "
         "format_string('runs/%d/fewshot_sub%d_N%d_seed%d_metrics.json', o_orderkey, o_orderkey % 4, (o_orderkey div 4) % 6 * 50, 42 + o_orderkey % 3) end as path",
         "case when o_orderkey % 11 = 5 then 'nan?' else cast(round(o_totalprice / 1000000, 6) as string) end as median_r")
@@ -51,7 +51,7 @@ def record_files(s, d):
 
 _FILES = """files as (select o_orderkey as id, o_orderkey % 4 as subject, (o_orderkey // 4) % 6 * 50 as n_shots, 42 + o_orderkey % 3 as seed,
   format('runs/{}/fewshot_sub{}_N{}_seed{}_metrics.json', o_orderkey, o_orderkey % 4, (o_orderkey // 4) % 6 * 50, 42 + o_orderkey % 3) as path,
-  round(o_totalprice / 1000000, 6) as median_r from orders where o_orderkey < 600 and o_orderkey % 10 <> 3 and o_orderkey % 11 <> 5)"""
+  round(o_totalprice / 1000000, 6) as median_r from orders where o_orderkey % 10 <> 3 and o_orderkey % 11 <> 5)"""
 
 
 def exp7(s, d):
@@ -167,10 +167,10 @@ from b left join (select * from l where n_shots = 0) z using (kind) where k = 1"
     "EXP5_best_trial": query("trial_log", f"select number, {rnd('\"value\"')} as \"value\" from trial_log where state = 'COMPLETE' order by 2 desc, 1 limit 1"),
     "EXP5_running_best": query("trial_log", f"""select number, (number % 13)::int as study,
   {rnd("max(case when state = 'COMPLETE' then \"value\" end) over (partition by number % 13 order by number)")} as best_so_far, {rnd('seconds::double')} as duration from trial_log"""),
-    "EXP6_median_pruning": """with t as (select l_orderkey as trial, l_linenumber as step, max(l_discount) as score, l_orderkey % 3 = 0 as done from lineitem where l_orderkey < 150 group by 1, 2),
-b as (select *, max(score) over (partition by trial order by step) as best from t),
-m as (select b.trial, b.step, b.score, b.best, median(d.score) as m, count(d.score) as n from b left join t d on d.done and d.step = b.step and d.trial < b.trial group by 1, 2, 3, 4)
-select trial, step, score, coalesce(n >= 5 and step >= 2 and (step - 2) % 2 = 0 and best < m, false) as prune from m""",
+    "EXP6_median_pruning": """with t as (select l_suppkey as study, l_orderkey as trial, l_linenumber as step, max(l_discount) as score, l_orderkey % 3 = 0 as done from lineitem group by 1, 2, 3),
+b as (select *, max(score) over (partition by study, trial order by step) as best from t),
+m as (select b.study, b.trial, b.step, b.score, b.best, median(d.score) as m, count(d.score) as n from b left join t d on d.done and d.study = b.study and d.step = b.step and d.trial < b.trial group by 1, 2, 3, 4, 5)
+select study, trial, step, score, coalesce(n >= 5 and step >= 2 and (step - 2) % 2 = 0 and best < m, false) as prune from m""",
     "EXP7_fewshot_runs": f"with {_FILES} select subject::int as subject, n_shots::int as n_shots, seed::int as seed, {rnd('median_r')} as median_r, path from files",
     "EXP7_fewshot_runs_dedupe": f"with {_FILES}, {_DEDUP} select subject::int as subject, n_shots::int as n_shots, seed::int as seed, {rnd('median_r')} as median_r, path from dd",
     "EXP8_best_n": """with r as (select l_suppkey % 3 as kind, l_linenumber as line, round(avg(l_discount), 2) as m from lineitem group by 1, 2)

@@ -18,8 +18,8 @@ HELD = 4
 
 
 def series(s, d):
-    """Runs with 64 channels of five subjects, from a tenth of the users."""
-    e = V.table(s, d, "events").where("user_id % 10 < 5").select("user_id", "event_id", "ts", "value")
+    """Runs with 64 channels of five subjects, from all users."""
+    e = V.table(s, d, "events").select("user_id", "event_id", "ts", "value")
     e = e.withColumn("ch", F.explode(F.sequence(F.lit(0), F.lit(63))))
     return e.selectExpr("cast(user_id % 5 as int) as subject", "user_id as run", "ch as voxel",
                         "row_number() over (partition by user_id, ch order by ts, event_id) - 1 as t",
@@ -72,11 +72,11 @@ def aln2(s, d):
 
 
 def aln3(s, d):
-    return A.sign_fix(V.cells(s, d).where("stim_id < 8").select("subject", "voxel", F.col("stim_id").cast("int").alias("j"), F.col("val").alias("p"))).withColumn("p", rounded("p"))
+    return A.sign_fix(V.cells(s, d).select("subject", "voxel", F.col("stim_id").cast("int").alias("j"), F.col("val").alias("p"))).withColumn("p", rounded("p"))
 
 
 def aln4(s, d):
-    r = V.response_rows(s, d).withColumn("v", F.slice("v", 1, 6))
+    r = V.response_rows(s, d)
     pairs = r.join(r.where("subject = 0").select("stim_id", F.col("v").alias("w")), "stim_id")
     return _matrix_rows(s, A.procrustes(pairs, "v", "w", ["subject"]))
 
@@ -229,8 +229,7 @@ def exp2_summary(s, d):
 
 
 def exp4(s, d):
-    small = V.response_rows(s, d).where("subject < 3")
-    return X.loso_sweep(conn(s, d).where("subject < 3"), small, features(s, d), [4], [1.0, 100.0], MIN_K).withColumn("score", rounded("score"))
+    return X.loso_sweep(conn(s, d), V.response_rows(s, d), features(s, d), [4], [1.0, 100.0], MIN_K).withColumn("score", rounded("score"))
 
 
 def exp4_objective(s, d):
@@ -281,7 +280,7 @@ QUERIES = {"ALN1_usable_rank": aln1, "ALN2_svd_basis": aln2, "ALN3_sign_fix": al
 
 ORACLE_SQL = {
     "ALN1_usable_rank": "select r_regionkey::int as subject, 16 as n_rows, 64 as n_voxels, 8 as usable, 8 as k from region",
-    "ALN3_sign_fix": query("cells", f""", c as (select subject, voxel, stim_id::int as j, val as p from cells where stim_id < 8),
+    "ALN3_sign_fix": query("cells", f""", c as (select subject, voxel, stim_id::int as j, val as p from cells),
 t as (select subject, j, case when arg_max(p, abs(p) * 1e6 - voxel * 1e-9) < 0 then -1 else 1 end as s from c group by 1, 2)
 select subject, voxel, j, {rnd('p * s')} as p from c join t using (subject, j)"""),
     "ALN12_shared_items": query("responses", """select stim_id, (row_number() over (order by stim_id) - 1)::int as row_idx from

@@ -32,7 +32,7 @@ def _kind(s, d, kind):
 
 
 def src3(s, d):
-    ids = V.table(s, d, "orders").select(F.col("o_orderkey").alias("stim_id"), F.col("o_custkey").alias("row_idx")).where("stim_id < 800")
+    ids = V.table(s, d, "orders").select(F.col("o_orderkey").alias("stim_id"), F.col("o_custkey").alias("row_idx"))
     out = S.feature_lookup(ids, _kind(s, d, "a"), strict=False)
     return out.select("stim_id", "row_idx", rounded(F.col("vec")[0]).alias("first"), F.lit(False).alias("missing")).union(
         S.out_of_range(ids, _kind(s, d, "a")).select("stim_id", "row_idx", F.lit(None).cast("double"), F.lit(True)))
@@ -181,7 +181,7 @@ ORACLE_SQL = {
 k as (select subject, run, row_number() over (partition by subject order by run) as k from (select distinct subject, run from r))
 select subject, run, count(*) as n_steps from r join k using (subject, run) where run = k group by 1, 2""",
     "SRC3_feature_lookup": f"""select o_orderkey as stim_id, o_custkey as row_idx, {rnd('embedding[1]::double')} as first, vec_id is null as missing
-from orders left join embeddings on o_orderkey = vec_id where o_orderkey < 800""",
+from orders left join embeddings on o_orderkey = vec_id""",
     "SRC4_composite_features": f"select vec_id as stim_id, 64 as width, {rnd('list_sum(embedding::double[])')} as total from embeddings",
     "SRC5_discover_sessions": query("listing", "select distinct id // 3 as session from listing").replace("id // 3", "(id // 3)::int"),
     "SRC6_session_run": query("listing", """select name, (id // 3)::int as session, regexp_extract(name, 'run(\\d+)', 1)::int as run from listing

@@ -15,11 +15,6 @@ def _x(df, *keys):
     return df.select(*(keys or ("run", "voxel", "t")), rounded("x").alias("x"))
 
 
-def two(s, d):
-    """Channels 0 and 1 only, where an operator's result is large."""
-    return V.ts(s, d).where("voxel < 2")
-
-
 def fd(s, d):
     return T.framewise_displacement(V.motion(s, d))
 
@@ -38,15 +33,15 @@ _RUNS = """runs as (select (run % 7)::int as subject, (run // 7 % 6)::int as ses
 
 
 def ts1(s, d):
-    return _x(T.trim(two(s, d), 5))
+    return _x(T.trim(V.ts(s, d), 5))
 
 
 def ts2(s, d):
-    return T.length_gate(two(s, d), 66).groupBy("run", "voxel").agg(F.count("*").alias("n"))
+    return T.length_gate(V.ts(s, d), 66).groupBy("run", "voxel").agg(F.count("*").alias("n"))
 
 
 def ts3(s, d):
-    return _x(T.detrend(two(s, d)))
+    return _x(T.detrend(V.ts(s, d)))
 
 
 def ts4(s, d):
@@ -58,7 +53,7 @@ def ts5(s, d):
 
 
 def ts6(s, d):
-    return T.censor(two(s, d), fd(s, d), 0.5, 0.2).groupBy("run", "voxel").agg(F.count("*").alias("n"), rounded(F.sum("x")).alias("total"))
+    return T.censor(V.ts(s, d), fd(s, d), 0.5, 0.2).groupBy("run", "voxel").agg(F.count("*").alias("n"), rounded(F.sum("x")).alias("total"))
 
 
 def ts7(s, d):
@@ -67,7 +62,7 @@ def ts7(s, d):
 
 
 def ts8_one(s, d):
-    both = two(s, d).join(V.motion(s, d).select("run", "t", "p1"), ["run", "t"])
+    both = V.ts(s, d).join(V.motion(s, d).select("run", "t", "p1"), ["run", "t"])
     return _x(T.regress_one(both, "p1"))
 
 
@@ -77,11 +72,11 @@ def ts8(s, d):
 
 
 def ts8_one_grouped(s, d):
-    return _x(T.regress(two(s, d), V.motion(s, d).select("run", "t", "p1")))
+    return _x(T.regress(V.ts(s, d), V.motion(s, d).select("run", "t", "p1")))
 
 
 def ts9(s, d):
-    return _x(T.zscore(two(s, d)))
+    return _x(T.zscore(V.ts(s, d)))
 
 
 def ts10(s, d):
@@ -120,7 +115,7 @@ def ts17(s, d):
 
 
 def con_series(s, d):
-    return V.ts(s, d).where("run < 40").withColumn("subject", (F.col("run") % 4).cast("int"))
+    return V.ts(s, d).withColumn("subject", (F.col("run") % 4).cast("int"))
 
 
 def con_labels(s, d):
@@ -128,7 +123,7 @@ def con_labels(s, d):
     return v.withColumn("label", F.expr("case when voxel = 7 then 0 else cast(voxel div 2 as int) + 1 end"))
 
 
-_CON = """cser as (select (run % 4)::int as subject, * from ts_ where run < 40),
+_CON = """cser as (select (run % 4)::int as subject, * from ts_),
 clab as (select distinct subject, voxel, case when voxel = 7 then 0 else voxel // 2 + 1 end as label from cser),
 pm as (select subject, run, t, label, avg(x) as m from cser join clab using (subject, voxel) where label > 0 group by 1, 2, 3, 4),
 par as (select g.subject, g.run, g.t, g.label, coalesce(m, 0.0) as x from (select distinct subject, run, t, l as label from cser, unnest(range(1, 6)) u(l)) g
@@ -192,22 +187,22 @@ pr as (select k.subject, k.run, k.label as own, voxel, pp.label, covar_pop(x, p)
   * (case when stddev_pop(p) < 1e-6 then 1 else stddev_pop(p) end)) * count(*) / (count(*) - 1) as c
   from kp k join pp on k.subject = pp.subject and k.run = pp.run and k.t = pp.t group by 1, 2, 3, 4, 5)"""
 _REG = query("ts_ motion", f"""select run, voxel, t, {rnd('''x - avg(x) over w - coalesce(covar_pop(p1, x) over w / nullif(var_pop(p1) over w, 0), 0) * (p1 - avg(p1) over w)''')} as x
-from ts_ join motion using (run, t) where voxel < 2 window w as ({_W})""")
+from ts_ join motion using (run, t) window w as ({_W})""")
 ORACLE_SQL = {
-    "TS1_trim": query("ts_", f"select run, voxel, t - 5 as t, {rnd('x')} as x from ts_ where voxel < 2 and t >= 5"),
-    "TS2_length_gate": query("ts_", "select run, voxel, count(*) as n from ts_ where voxel < 2 group by 1, 2 having count(*) >= 66"),
+    "TS1_trim": query("ts_", f"select run, voxel, t - 5 as t, {rnd('x')} as x from ts_ where t >= 5"),
+    "TS2_length_gate": query("ts_", "select run, voxel, count(*) as n from ts_ group by 1, 2 having count(*) >= 66"),
     "TS3_detrend": query("ts_", f"""select run, voxel, t, {rnd('x - (avg(x) over w + coalesce(covar_pop(t, x) over w / nullif(var_pop(t) over w, 0), 0) * (t - avg(t) over w))')} as x
-from ts_ where voxel < 2 window w as ({_W})"""),
+from ts_ window w as ({_W})"""),
     "TS5_framewise_displacement": query("motion", f", {_FD} select run, t, {rnd('fd')} as fd from fd"),
     "TS6_censor": query("ts_ motion", f""", {_FD}, g as (select *, avg((fd > 0.5)::int) over (partition by run) as share from fd)
-select run, voxel, count(*) as n, {rnd('sum(x)')} as total from ts_ join g using (run, t) where voxel < 2 and fd <= 0.5 and share <= 0.2 group by 1, 2"""),
+select run, voxel, count(*) as n, {rnd('sum(x)')} as total from ts_ join g using (run, t) where fd <= 0.5 and share <= 0.2 group by 1, 2"""),
     "TS7_motion_confounds": query("motion", """, d as (select run, t, p1 as c1, p6 as c6, coalesce(p1 - lag(p1) over w, 0) as c7, coalesce(p6 - lag(p6) over w, 0) as c12
   from motion window w as (partition by run order by t)),
 e as (select *, c1 * c1 as c13, c12 * c12 as c24 from d)
 select run, t, """ + ", ".join(rnd(f"(c{i} - avg(c{i}) over w) / (case when stddev_pop(c{i}) over w < 1e-8 then 1 else stddev_pop(c{i}) over w end)", 5) + f" as c{i}"
                                for i in (1, 6, 7, 12, 13, 24)) + " from e window w as (partition by run)"),
     "TS8_regress_one": _REG, "TS8_regress_one_grouped": _REG,
-    "TS9_zscore": query("ts_", f"select run, voxel, t, {rnd('(x - avg(x) over w) / greatest(stddev_pop(x) over w, 1e-8)')} as x from ts_ where voxel < 2 window w as ({_W})"),
+    "TS9_zscore": query("ts_", f"select run, voxel, t, {rnd('(x - avg(x) over w) / greatest(stddev_pop(x) over w, 1e-8)')} as x from ts_ window w as ({_W})"),
     "TS11_motion_violations": query("ts_", """, n as (select run, count(*) as n from ts_ where voxel = 0 group by 1)
 select run, 'steps' as rule, 1 as n from n where run % 10 = 4 union all select run, 'not_finite', 2 from n where run % 9 = 2"""),
     "TS12_subject_gate": query("ts_", f""", {_RUNS}, g as (select *, count(*) over (partition by subject) as k, sum(n_steps) over (partition by subject) as st from runs)

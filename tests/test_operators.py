@@ -345,3 +345,22 @@ def test_captions_and_sinks(spark, tmp_path):
     items = spark.createDataFrame([(1,), (2,)], "stim_id long")
     assert [r[0] for r in S.featurise(items, lambda p: p, "stim_id long", done).collect()] == [2]
     assert as_rows(spark.createDataFrame([(1, 1, 5.0), (1, 0, 4.0)], "k int, i int, x double"), ["k"], "i", "x").first()["v"] == [4.0, 5.0]
+
+
+def test_moments_are_added_block_by_block(spark, monkeypatch):
+    import numpy as np
+
+    from cohortalign.functions import moments
+
+    monkeypatch.setattr(moments, "BLOCK", 100)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 40))
+    rows = spark.createDataFrame([(int(i % 3), [float(v) for v in r]) for i, r in enumerate(x)], "k int, v array<double>").repartition(16)
+    got = moments.collected(moments.cross_moments(rows, ["k"], ["v"]), ["k"])
+    for k in range(3):
+        m = x[k::3]
+        n, s, g = got[(k,)]
+        assert n == 100 and np.allclose(s, m.sum(0)) and np.allclose(g, m.T @ m)
+    (n, s, g), = moments.collected(moments.cross_moments(rows, [], ["v"]), []).values()
+    assert n == 300 and np.allclose(g, x.T @ x)
+    assert moments.collected(moments.cross_moments(rows.limit(0), [], ["v"]), []) == {}
