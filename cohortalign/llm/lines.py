@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join (operator 9).
 
-Lines are compared as sequences of words (A-Z lower-cased, split at white space). In lines that take two
+Lines are compared as sequences of words (A-Z lower-cased, split at white space). In texts that take two
 bytes a character or more, each character of a script written without spaces is a word of its own.
 Of equal lines the earliest stays, however short; a line also goes if a line with an earlier first
 occurrence is within one edited word (inserted, removed or replaced) of it and the edit is at most one word in
@@ -40,18 +40,22 @@ _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 def line_words(line: Column) -> Column:
     """Split at plain spaces where the line has no other white space, which is much faster."""
     low = ascii_lower(line)
-    low = F.when(F.octet_length(line) >= 2 * F.length(line), F.regexp_replace(
-        low, "([" + "".join(rf"\p{{Is{x}}}" for x in UNSPACED) + "])", " $1 ")).otherwise(low)
     other = [F.contains(line, F.lit(c)) for c in "\t\r\v\f"]
     return F.array_remove(F.when(other[0] | other[1] | other[2] | other[3], F.split(low, SPACE)).otherwise(F.split(low, " ")), "")
 
 
+def spaced(text: Column) -> Column:
+    """The text with spaces around the characters of scripts that are written without."""
+    return F.when(F.octet_length(text) >= 2 * F.length(text), F.regexp_replace(
+        text, "([" + "".join(rf"\p{{Is{x}}}" for x in UNSPACED) + "])", " $1 ")).otherwise(text)
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(h, id, t, line, halves) for lines that may be removed; halves only of those that may be near others.
     The one pass that looks at all words."""
     text = F.col(text_col)
     out = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"),
-                                              F.posexplode(F.split(text, "\n", -1)).alias("line", "s"))
+                                              F.posexplode(F.split(spaced(text), "\n", -1)).alias("line", "s"))
     out = out.select("id", "t", "line", line_words(F.col("s")).alias("words")).where(F.size("words") >= min_words)
     halves = F.when(F.size("words") >= NEAR_WORDS, _halves(F.col("words")))
     return out.select(F.xxhash64("words", F.size("words")).alias("h"), "id", "t", "line", halves.alias("halves"))
@@ -105,7 +109,7 @@ def near_removed(docs: DataFrame, lines: DataFrame, first: DataFrame, id_col: st
         want = F.broadcast(want)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     rows = rows.join(want, rows.t.eqNullSafe(want["_t"]) & rows.id.eqNullSafe(want["_id"]))
-    parts = F.split("text", "\n", -1)
+    parts = F.split(spaced(F.col("text")), "\n", -1)
     cut = F.transform(F.array(parts), lambda p: F.transform("want", lambda w: F.struct(
         w["h"].alias("h"), w["o"].alias("o"), w["front"].alias("front"), w["back"].alias("back"), F.get(p, w["o"]["line"]).alias("s"))))
     texts = rows.select(F.explode(F.flatten(cut)).alias("w")).select("w.h", "w.o", line_words(F.col("w.s")).alias("words"), "w.front", "w.back")
@@ -181,10 +185,10 @@ QUERIES = {"op9_lines": op9_lines}
 ORACLE_SQL = {"op9_lines": rf"""
 with l as (
   select doc_id, i as line, s,
-    list_filter(regexp_split_to_array(
-      case when octet_length(encode(s)) >= 2 * length(s) then regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '([{"".join(f"{chr(92)}p{{{x}}}" for x in UNSPACED)}])', ' \1 ', 'g')
-           else translate(s, '{UPPER}', '{LOWER}') end, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
-  from (select doc_id, unnest(string_split(text, chr(10))) as s,
+    list_filter(regexp_split_to_array(translate(
+      case when apart then regexp_replace(s, '([{"".join(f"{chr(92)}p{{{x}}}" for x in UNSPACED)}])', ' \1 ', 'g') else s end,
+      '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from (select doc_id, octet_length(encode(text)) >= 2 * length(text) as apart, unnest(string_split(text, chr(10))) as s,
                unnest(range(0, len(string_split(text, chr(10))))) as i from documents)),
 e as (select w, min((doc_id, line)) as o from l where len(w) >= {MIN_WORDS} group by w),
 v as (
