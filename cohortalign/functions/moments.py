@@ -30,7 +30,7 @@ def cross_moments(rows: DataFrame, keys: list[str], columns: list[str], max_widt
     Each partition's sums are sent in blocks of rows of the cross-products, and blocks of one place are
     added together; so a task holds one small block of every partition, never all of their matrices."""
     kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
-    schema = ", ".join([*kinds, "block int", SUMS])
+    schema = ", ".join([*kinds, "_block int", SUMS])
     k = len(keys)
 
     def part(batches):
@@ -55,7 +55,7 @@ def cross_moments(rows: DataFrame, keys: list[str], columns: list[str], max_widt
                 yield pa.RecordBatch.from_arrays(
                     [*[pa.array([h], t) for h, t in zip(head, types)], pa.array([i], pa.int32()), pa.array([n], pa.int64()),
                      pa.array([total if i == 0 else []], pa.list_(pa.float64())), pa.array([g[at:at + high].ravel()], pa.list_(pa.float64()))],
-                    [*keys, "block", "n", "s", "g"])
+                    [*keys, "_block", "n", "s", "g"])
 
     cols = [F.col(c).cast("array<double>").alias(c) for c in columns]
     some = rows.where(" and ".join(f"`{c}` is not null" for c in columns)).select(*keys, *cols)
@@ -71,8 +71,8 @@ def cross_moments(rows: DataFrame, keys: list[str], columns: list[str], max_widt
             out.at[out.index[0], c] = total
         return out
 
-    blocks = partial.groupBy(*keys, "block").applyInPandas(add, schema)
-    held = F.array_sort(F.collect_list(F.struct("block", "n", "s", "g")))
+    blocks = partial.groupBy(*keys, "_block").applyInPandas(add, schema)
+    held = F.array_sort(F.collect_list(F.struct("_block", "n", "s", "g")))
     whole = blocks.groupBy(*keys).agg(held.alias("_b"))
     return whole.where(F.size("_b") > 0).select(*keys, F.col("_b")[0]["n"].alias("n"), F.col("_b")[0]["s"].alias("s"), F.flatten(F.transform("_b", lambda x: x["g"])).alias("g"))
 
