@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import FLAT, fresh, guarded_corr
+from ..functions.matrices import aligned, to_long, to_matrix
+from ..functions.moments import matrix
 
 BLOCK = 256
 MAX_CHANNELS = 4096  # bound of the voxel-to-voxel form, whose result is a square
@@ -22,6 +24,18 @@ def parcel_series(series: DataFrame, labels: DataFrame, n_parcels: int, keys: li
     return grid.join(means, [*keys, "t", "label"], "left").select(*keys, "t", "label", F.coalesce("_m", F.lit(0.0)).alias("x"))
 
 
+def parcel_rows(series: DataFrame, labels: DataFrame, n_parcels: int) -> DataFrame:
+    """CON1 with one row per step: (subject, run, t, p array<double>). Steps without a labelled channel stay, as the
+    left join keeps them; series that are already partitioned by run aren't shuffled."""
+    own = [k for k in ("subject", "voxel") if k in labels.columns and k in series.columns]
+    means = series.join(labels.where(F.col("label").between(1, n_parcels)).select(*own, F.col("label").cast("int").alias("label")), own, "left")
+    means = means.groupBy("subject", "run", "t", "label").agg(F.avg("x").alias("m"))
+    held = F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "m")))
+    some = means.groupBy("subject", "run", "t").agg(F.map_from_entries(held).alias("_m"))
+    parcels = F.transform(F.sequence(F.lit(1), F.lit(n_parcels)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+    return some.select("subject", "run", "t", parcels.alias("p"))
+
+
 def column_correlation(a: DataFrame, b: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     """CON2: correlation over t of each column of a with each of b; 0 where one is constant."""
     both = a.select(*keys, "t", left, F.col("x").alias("xa")).join(b.select(*keys, "t", right, F.col("x").alias("xb")), [*keys, "t"])
@@ -50,20 +64,23 @@ def _standard(m: np.ndarray) -> np.ndarray:
 def parcel_connectivity_blocks(series: DataFrame, labels: DataFrame, n_parcels: int) -> DataFrame:
     """CON3 (average) as block products: each (run, channel block) is cogrouped with the
     parcel series of its run, so the long product of parcels, channels and steps is never made."""
-    parcels = parcel_series(series, labels, n_parcels)
+    parcels = parcel_rows(series, labels, n_parcels)
     blocks = series.select("subject", "run", "t", "voxel", "x", (F.col("voxel") / BLOCK).cast("int").alias("b"))
     side = fresh(parcels.join(blocks.select("subject", "run", "b").distinct(), ["subject", "run"]))
     kinds = [f"`{c}` {series.schema[c].dataType.simpleString()}" for c in ("subject", "run", "voxel")]
 
-    def one(v: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(v):
-            return pd.DataFrame({"subject": [], "run": [], "voxel": [], "label": [], "c": []})
-        m, q = v.pivot(index="t", columns="voxel", values="x"), p.pivot(index="t", columns="label", values="x")
-        c = _standard(q.to_numpy(float)).T @ _standard(m.to_numpy(float)) / len(m)
-        out = pd.DataFrame(c, index=q.columns, columns=m.columns).stack().rename("c").reset_index()
-        return out.assign(subject=v["subject"].iloc[0], run=v["run"].iloc[0])[["subject", "run", "voxel", "label", "c"]]
-
-    c = blocks.groupBy("subject", "run", "b").cogroup(side.groupBy("subject", "run", "b")).applyInPandas(
+    def one(v: pa.Table, p: pa.Table) -> pa.Table:
+        types = {"subject": v.schema.field("subject").type, "run": v.schema.field("run").type, "voxel": v.schema.field("voxel").type,
+                 "label": pa.int32(), "c": pa.float64()}
+        if not v.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in types.items()})
+        steps, channels, m = to_matrix(v, "t", "voxel", "x")
+        p = p.sort_by("t")
+        q = aligned(matrix(p.column("p").combine_chunks()), p.column("t").to_numpy(), steps)
+        c = _standard(q).T @ _standard(m) / len(m)
+        return to_long(c, np.arange(1, n_parcels + 1), channels, {k: v.column(k)[0] for k in ("subject", "run")}, types, "label", "voxel", "c")
+
+    c = blocks.groupBy("subject", "run", "b").cogroup(side.groupBy("subject", "run", "b")).applyInArrow(
         one, f"{kinds[0]}, {kinds[1]}, {kinds[2]}, label int, c double")
     return c.groupBy("subject", "label", "voxel").agg(F.avg("c").alias("c"))
 
@@ -103,12 +120,12 @@ def voxel_connectivity(rows: DataFrame, ensemble: str = "average", max_channels:
         sums, types = {}, None
         for b in batches:
             types = [b.schema.field(i).type for i in range(len(keys))]
-            heads = list(zip(*[b.column(i).to_pylist() for i in range(len(keys))]))
-            x = np.array(b.column(len(keys)).to_pylist(), float).reshape(len(heads), -1)
-            for k in set(heads):
-                m = x[[h == k for h in heads]]
+            codes, heads = pd.MultiIndex.from_arrays([b.column(i).to_pandas() for i in range(len(keys))]).factorize()
+            x = matrix(b.column(len(keys)))
+            for c, k in enumerate(heads):
+                m = x[codes == c]
                 new = (len(m), m.sum(0), m.T @ m, (m ** 2).T @ (m ** 2))
-                sums[k] = tuple(a + c for a, c in zip(sums[k], new)) if k in sums else new
+                sums[k] = tuple(old + more for old, more in zip(sums[k], new)) if k in sums else new
         for k, (n, s, g, q) in sums.items():
             p = len(s)
             yield pa.RecordBatch.from_arrays(

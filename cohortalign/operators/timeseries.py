@@ -8,14 +8,16 @@ channels), never of a run or subject alone, so that groups stay small.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters
 from ..functions.common import draw_key, fresh, require
+from ..functions.matrices import aligned, to_long, to_matrix
 
 P = [f"p{i}" for i in range(1, 7)]
+MODELS = ("none", "motion6", "motion12", "friston24")
 HEAD_MM = 50.0
 MIN_STEPS = 30
 BLOCK = 256  # channels per group
@@ -44,16 +46,13 @@ def _grouped(df: DataFrame, function, keys: list[str], value: str = "x") -> Data
     cols = [*keys, "voxel", "t", value]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="t", columns="voxel", values=value)
-        out = pd.DataFrame(function(m.to_numpy(float)), index=m.index, columns=m.columns)
-        out = out.stack().rename(value).reset_index()
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[cols]
+    def one(rows: pa.Table) -> pa.Table:
+        steps, names, m = to_matrix(rows, "t", "voxel", value)
+        kinds = {c: rows.schema.field(c).type for c in cols}
+        return to_long(function(m), steps, names, {k: rows.column(k)[0] for k in keys}, kinds, "t", "voxel", value)
 
     blocks = df.select(*cols, (F.col("voxel") / BLOCK).cast("int").alias("_b"))
-    return blocks.groupBy(*keys, "_b").applyInPandas(one, schema)
+    return blocks.groupBy(*keys, "_b").applyInArrow(one, schema)
 
 
 def highpass(df: DataFrame, cutoff_hz: float = 0.01, step: float = 1.333, order: int = 5, keys: list[str] = ["run"]) -> DataFrame:
@@ -84,7 +83,7 @@ def motion_confounds(motion: DataFrame, model: str = "friston24", standardize: b
     base = [F.col(p) for p in P]
     diff = [F.coalesce(F.col(p) - F.lag(p).over(w), F.lit(0.0)) for p in P]
     names = {"none": [], "motion6": base, "motion12": base + diff, "friston24": base + diff}
-    if model not in names:
+    if model not in MODELS:
         raise ValueError(f"unknown motion model {model}")
     cols = [f"c{i}" for i in range(1, len(names[model]) + 1)]
     out = motion.select(*keys, "t", *[c.alias(n) for n, c in zip(cols, names[model])])
@@ -98,6 +97,15 @@ def motion_confounds(motion: DataFrame, model: str = "friston24", standardize: b
     return out
 
 
+def _standard_confounds(p: np.ma.MaskedArray, model: str) -> np.ma.MaskedArray:
+    """TS7, standardised, for one run's motion as a matrix whose nulls are masked."""
+    diff = np.ma.concatenate([np.ma.zeros((1, p.shape[1])), np.ma.masked_array(np.diff(p, axis=0)).filled(0.0)])
+    base = {"none": p[:, :0], "motion6": p}.get(model, np.ma.concatenate([p, diff], axis=1))
+    c = np.ma.concatenate([base, base * base], axis=1) if model == "friston24" else base
+    sd = c.std(axis=0)
+    return (c - c.mean(axis=0)) / np.ma.where(sd < 1e-8, 1.0, sd)
+
+
 def regress_one(df: DataFrame, confound: str, keys: list[str] = ["run", "voxel"], value: str = "x") -> DataFrame:
     """TS8 for a single confound column beside the values: residual with intercept, built-in."""
     w = Window.partitionBy(*keys)
@@ -111,26 +119,32 @@ def regress(df: DataFrame, confounds: DataFrame, keys: list[str] = ["run"], valu
     return _with_motion(df, confounds, lambda m, c: (np.arange(len(m)), filters.regress_out(m, c)), names, keys, value)
 
 
-def _with_motion(df: DataFrame, side: DataFrame, function, names: list[str], keys: list[str], value: str = "x") -> DataFrame:
+def _with_motion(df: DataFrame, side: DataFrame, function, names: list[str], keys: list[str], value: str = "x", prepare=None) -> DataFrame:
     """Applies function(matrix, side matrix) -> (kept step positions, matrix) per (keys, block); the
-    side's rows go to every block of their run."""
+    side's rows go to every block of their run. ``prepare`` changes the run's side matrix, nulls
+    masked, before it is put beside the steps of the series."""
     cols = [*keys, "voxel", "t", value]
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
     blocks = df.select(*cols, (F.col("voxel") / BLOCK).cast("int").alias("_b"))
     wide = fresh(side.select(*keys, "t", *names).join(blocks.select(*keys, "_b").distinct(), keys))
 
-    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a):
-            return pd.DataFrame({c: [] for c in cols})
-        m = a.pivot(index="t", columns="voxel", values=value)
-        s = b.set_index("t").reindex(m.index)[names].to_numpy(float) if len(b) else None
-        kept, out = function(m.to_numpy(float), s)
-        out = pd.DataFrame(out, index=m.index[kept], columns=m.columns).stack().rename(value).reset_index()
-        for k in keys:
-            out[k] = a[k].iloc[0]
-        return out[cols]
+    def beside(b: pa.Table, steps: np.ndarray) -> np.ndarray:
+        b = b.sort_by("t")
+        have = b.column("t").to_numpy()
+        if (have[1:] == have[:-1]).any():
+            raise ValueError("more than one row of a run's motion or confounds for a step")
+        parts = [np.ma.masked_array(c.to_numpy().astype(float), c.is_null().to_numpy()) for c in map(b.column, names)]
+        s = np.ma.stack(parts, axis=1) if parts else np.ma.zeros((len(have), 0))
+        return aligned((prepare(s) if prepare else s).filled(np.nan), have, steps)
 
-    return blocks.groupBy(*keys, "_b").cogroup(wide.groupBy(*keys, "_b")).applyInPandas(one, kinds)
+    def one(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows:
+            return a.select(cols)
+        steps, channels, m = to_matrix(a, "t", "voxel", value)
+        kept, out = function(m, beside(b, steps) if b.num_rows else None)
+        return to_long(out, steps[kept], channels, {k: a.column(k)[0] for k in keys}, {c: a.schema.field(c).type for c in cols}, "t", "voxel", value)
+
+    return blocks.groupBy(*keys, "_b").cogroup(wide.groupBy(*keys, "_b")).applyInArrow(one, kinds)
 
 
 def zscore(df: DataFrame, keys: list[str] = ["run", "voxel"], value: str = "x") -> DataFrame:
@@ -146,8 +160,11 @@ def clean_runs(df: DataFrame, motion: DataFrame, step: float = 1.333, discard: i
     pass over (run, channel block). Differences and z-scores of the confounds are taken
     before trimming; displacement after it; censoring comes after the filter. Runs that fail a
     gate give no rows; runs without motion are neither censored nor regressed."""
-    side = motion_confounds(motion, confounds, True, keys).join(motion.select(*keys, "t", *P), [*keys, "t"])
-    names = [*P, *[c for c in side.columns if c not in (*keys, "t", *P)]]
+    if confounds not in MODELS:
+        raise ValueError(f"unknown motion model {confounds}")
+
+    def prepare(p):
+        return np.ma.concatenate([p, _standard_confounds(p, confounds)], axis=1)
 
     def one(m, s):
         m = m[discard:]
@@ -168,7 +185,7 @@ def clean_runs(df: DataFrame, motion: DataFrame, step: float = 1.333, discard: i
         m = filters.zscore(m) if standardize else m
         return np.flatnonzero(keep) + discard, m
 
-    out = _with_motion(df, side, one, names, keys)
+    out = _with_motion(df, motion, one, P, keys, prepare=prepare)
     return out.withColumn("t", F.col("t") - discard)
 
 

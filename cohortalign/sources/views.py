@@ -46,11 +46,15 @@ def mask(spark, d):
 
 def ts(spark, d):
     """Multivariate time series: (run, voxel, t, x), eight channels."""
-    e = table(spark, d, "events").select("user_id", "event_id", "ts", "value")
-    e = e.withColumn("ch", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return e.selectExpr("user_id as run", "ch as voxel",
-                        "row_number() over (partition by user_id, ch order by ts, event_id) - 1 as t",
-                        "value * (((ch * 37 + event_id * 11) % 101) + 1) / 101.0D as x")
+    return channels(spark, d, 8).selectExpr("user_id as run", "voxel", "t", "x")
+
+
+def channels(spark, d, n: int):
+    """Events of each user in order of time, with values for n channels: (user_id, voxel, t, x). Steps are numbered
+    before channels are made, so that the sort is of the events alone."""
+    e = table(spark, d, "events").selectExpr("user_id", "event_id", "value", "row_number() over (partition by user_id order by ts, event_id) - 1 as t")
+    e = e.withColumn("voxel", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return e.selectExpr("user_id", "voxel", "t", "value * (((voxel * 37 + event_id * 11) % 101) + 1) / 101.0D as x")
 
 
 def motion(spark, d):

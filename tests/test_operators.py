@@ -1,12 +1,15 @@
 """Literal cases, invariants and small NumPy solutions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cohortalign.functions import filters
+from cohortalign.functions.matrices import aligned, to_long, to_matrix
 from cohortalign.functions.moments import as_rows
 from cohortalign.operators import alignment as A
+from cohortalign.operators import connectivity as C
 from cohortalign.operators import encoding as E
 from cohortalign.operators import experiments as X
 from cohortalign.operators import harmonize as H
@@ -199,6 +202,50 @@ def test_highpass():
     assert filters.highpass(x, 5.0, 1.333) is x
 
 
+def test_highpass_equals_one_step_at_a_time():
+    b, a = filters.butter_highpass(5, 0.03)
+    for n in (1, 31, 32, 33, 200):  # around the number of steps that are filtered at once
+        x = np.random.default_rng(n).normal(size=(n, 2)).cumsum(0)
+        past, out = [np.zeros(2)] * 5, []  # a high-pass of a constant is 0; so inputs less the first value start at rest
+        fed = [np.zeros(2)] * 5 + list(x - x[0])
+        for t in range(n):
+            y = sum(c * fed[t + 5 - i] for i, c in enumerate(b)) - sum(c * past[-i] for i, c in enumerate(a[1:], 1))
+            past.append(y)
+            out.append(y)
+        assert np.allclose(filters._run(filters._forms(5, 0.03), x), out, atol=1e-7)
+
+
+def test_matrices():
+    rows = pa.table({"g": ["a"] * 3, "t": pa.array([5, 2, 5], pa.int32()), "voxel": pa.array([1, 0, 0], pa.int32()), "x": [1.0, 2.0, None]})
+    steps, names, m = to_matrix(rows, "t", "voxel", "x")
+    assert steps.tolist() == [2, 5] and names.tolist() == [0, 1] and np.array_equal(m, [[2, np.nan], [np.nan, 1]], equal_nan=True)
+    back = to_long(m, steps, names, {"g": rows.column("g")[0]}, {f.name: f.type for f in rows.schema}, "t", "voxel", "x")
+    assert back.to_pylist() == [{"g": "a", "t": 2, "voxel": 0, "x": 2.0}, {"g": "a", "t": 5, "voxel": 1, "x": 1.0}] and back.schema == rows.schema
+    assert np.array_equal(aligned(m, steps, np.array([1, 5, 9])), [[np.nan] * 2, [np.nan, 1], [np.nan] * 2], equal_nan=True)
+    with pytest.raises(ValueError):
+        to_matrix(pa.concat_tables([rows, rows]), "t", "voxel", "x")
+
+
+@pytest.mark.parametrize("model", T.MODELS)
+def test_confounds_of_the_chain_equal_those_of_the_columns(spark, model):
+    rng = np.random.default_rng(3)
+    p = rng.normal(size=(40, 6))
+    p[:, 3] = 0.5  # constant
+    rows = [(1, t, *[None if (t, i) == (7, 2) else float(x) for i, x in enumerate(r)]) for t, r in enumerate(p)]
+    motion = spark.createDataFrame(rows, "run int, t int, " + ", ".join(f"{c} double" for c in T.P))
+    want = T.motion_confounds(motion, model).orderBy("t").toPandas().drop(columns=["run", "t"]).to_numpy(float)
+    masked = np.ma.masked_invalid([[np.nan if x is None else x for x in r[2:]] for r in rows])
+    assert np.allclose(T._standard_confounds(masked, model).filled(np.nan), want, atol=1e-9, equal_nan=True)
+
+
+def test_parcel_rows_equal_the_long_form(spark):
+    series = spark.createDataFrame([(0, 1, t, v, float(t * 7 % 5 + v)) for t in range(4) for v in range(3 if t else 1)], "subject int, run int, t int, voxel int, x double")
+    labels = spark.createDataFrame([(0, 0, 0), (0, 1, 2), (0, 2, 2), (0, 3, 9)], "subject int, voxel int, label int")
+    want = {(r.t, r.label): r.x for r in C.parcel_series(series, labels, 3).collect()}
+    got = {(r.t, i): x for r in C.parcel_rows(series, labels, 3).collect() for i, x in enumerate(r.p, 1)}
+    assert got == want and len(got) == 12
+
+
 def test_regression():
     rng = np.random.default_rng(0)
     x, c = rng.normal(size=(60, 3)), rng.normal(size=(60, 2))
