@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import FLAT, require
+from ..functions.common import FLAT, require, staged
 from ..functions.moments import apply_matrix, as_rows, collected, cross_moments
 
 MAX_MODEL = 64_000_000  # numbers of all subjects' bases that may be sent to the executors
@@ -174,8 +174,8 @@ def fit_shared_space(conn: DataFrame, responses: DataFrame | None, k: int = 50,
     if mode not in ("hybrid", "strict"):
         raise ValueError(f"unknown mode {mode}")
     k = global_k(conn, k, min_k).first()["k"]
-    basis = svd_basis(conn, k, min_k).persist()
-    fp = fingerprints(conn, basis).persist()
+    basis = staged(svd_basis(conn, k, min_k), "basis")
+    fp = staged(fingerprints(conn, basis), "fingerprints")
     if mode == "hybrid":
         if responses is None:
             raise ValueError("the hybrid mode needs shared responses")
@@ -206,7 +206,7 @@ def align_few_shot(space: SharedSpace, conn: DataFrame, shots: DataFrame, min_k:
     """ALN11: rotation from calibration rows (subject, stim_id, v) to the template's rows of the same items."""
     if space.mode == "strict":
         raise ValueError("few-shot alignment needs an item template")
-    basis = svd_basis(conn, space.k, min_k).persist()
+    basis = staged(svd_basis(conn, space.k, min_k), "basis")
     z = project(shots, bases_on_driver(basis)).join(space.template.withColumnRenamed("z", "target"), "stim_id")
     return basis, {s: r for (s,), r in procrustes(z, "z", "target", ["subject"]).items()}
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.common import rounded, shared_path
+from ..functions.common import rounded, shared_path, staged
 from ..operators import alignment as A
 from ..operators import connectivity as C
 from ..operators import encoding as E
@@ -19,11 +19,7 @@ HELD = 4
 
 def series(s, d):
     """Runs with 64 channels of five subjects, from all users."""
-    e = V.table(s, d, "events").select("user_id", "event_id", "ts", "value")
-    e = e.withColumn("ch", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    return e.selectExpr("cast(user_id % 5 as int) as subject", "user_id as run", "ch as voxel",
-                        "row_number() over (partition by user_id, ch order by ts, event_id) - 1 as t",
-                        "value * (((ch * 37 + event_id * 11) % 101) + 1) / 101.0D as x")
+    return V.channels(s, d, 64).selectExpr("cast(user_id % 5 as int) as subject", "user_id as run", "voxel", "t", "x")
 
 
 def labels(s, d):
@@ -32,7 +28,7 @@ def labels(s, d):
 
 
 def conn(s, d):
-    return C.rest_connectivity(series(s, d), "parcellation", labels(s, d), R).persist()
+    return staged(C.rest_connectivity(series(s, d), "parcellation", labels(s, d), R), "connectivity")
 
 
 def features(s, d):
@@ -48,14 +44,14 @@ def held(df):
     return df.where(F.col("subject") == HELD)
 
 
-def space(s, d, mode="hybrid"):
+def space(s, d, mode="hybrid", c=None):
     r = seen(V.response_rows(s, d))
     common = r.join(A.shared_items(r).select("stim_id"), "stim_id", "left_semi")
-    return A.fit_shared_space(seen(conn(s, d)), common, K, MIN_K, mode)
+    return A.fit_shared_space(seen(conn(s, d) if c is None else c), common, K, MIN_K, mode)
 
 
-def trained(s, d):
-    return X.train(seen(conn(s, d)), seen(V.response_rows(s, d)), features(s, d), K, MIN_K, ALPHA)
+def trained(s, d, c=None):
+    return X.train(seen(conn(s, d) if c is None else c), seen(V.response_rows(s, d)), features(s, d), K, MIN_K, ALPHA)
 
 
 def _matrix_rows(s, matrices):
@@ -64,7 +60,8 @@ def _matrix_rows(s, matrices):
 
 
 def aln1(s, d):
-    return A.usable_rank(conn(s, d), K).crossJoin(A.global_k(conn(s, d), K, MIN_K))  # one row on the right
+    c = conn(s, d)
+    return A.usable_rank(c, K).crossJoin(A.global_k(c, K, MIN_K))  # one row on the right
 
 
 def aln2(s, d):
@@ -103,11 +100,13 @@ def aln9(s, d):
 
 
 def aln10(s, d):
-    return _matrix_rows(s, A.align_zero_shot(space(s, d), held(conn(s, d)), MIN_K)[1])
+    c = conn(s, d)
+    return _matrix_rows(s, A.align_zero_shot(space(s, d, c=c), held(c), MIN_K)[1])
 
 
 def aln11(s, d):
-    return _matrix_rows(s, A.align_few_shot(space(s, d), held(conn(s, d)), held(V.response_rows(s, d)), MIN_K)[1])
+    c = conn(s, d)
+    return _matrix_rows(s, A.align_few_shot(space(s, d, c=c), held(c), held(V.response_rows(s, d)), MIN_K)[1])
 
 
 def aln12(s, d):
@@ -204,22 +203,25 @@ def _scored(df):
 
 
 def exp1_zero(s, d):
-    sp, enc = trained(s, d)
+    c = conn(s, d)
+    sp, enc = trained(s, d, c)
     r, _, ev = _evaluation(s, d)
-    return _scored(X.predict_zero_shot(sp, enc, held(conn(s, d)), r, features(s, d), ev, MIN_K))
+    return _scored(X.predict_zero_shot(sp, enc, held(c), r, features(s, d), ev, MIN_K))
 
 
 def exp1_few(s, d):
-    sp, enc = trained(s, d)
+    c = conn(s, d)
+    sp, enc = trained(s, d, c)
     r, cand, ev = _evaluation(s, d)
     shots = S.sample_shots(cand, ev, 30, 7)
-    return _scored(X.predict_few_shot(sp, enc, held(conn(s, d)), r, features(s, d), shots, ev, ALPHA, MIN_K))
+    return _scored(X.predict_few_shot(sp, enc, held(c), r, features(s, d), shots, ev, ALPHA, MIN_K))
 
 
 def exp2(s, d):
-    sp, enc = trained(s, d)
+    c = conn(s, d)
+    sp, enc = trained(s, d, c)
     r, cand, ev = _evaluation(s, d)
-    out = X.fewshot_ablation(sp, enc, held(conn(s, d)), r, features(s, d), cand, ev, [0, 10, 20, 1000], [42, 43], MIN_K)
+    out = X.fewshot_ablation(sp, enc, held(c), r, features(s, d), cand, ev, [0, 10, 20, 1000], [42, 43], MIN_K)
     return out.select("subject", "n_shots", "seed", rounded("median_r").alias("median_r"))
 
 
