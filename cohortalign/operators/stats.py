@@ -7,11 +7,16 @@ tables.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import draw_key, require
 
+RANGES = 200  # ranges of p-values that false-discovery control ranks apart
+
 
 def _numbered(samples: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys)
@@ -56,13 +61,34 @@ def permutation_test(pairs: DataFrame, keys: list[str], n_permutations: int = 10
 
 
 def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05, by: list[str] = []) -> DataFrame:
-    """STA3: adds ``q`` and ``reject``; p outside [0, 1] is an error. Ties share the lowest q."""
+    """STA3: adds ``q`` and ``reject``; p outside [0, 1] is an error. Ties share the lowest q.
+
+    Equal p-values are counted first. The distinct ones are dealt to ranges cut at their quantiles; running
+    counts and minima are taken within ranges and over the ranges' totals, so no task holds all p-values."""
     t = require(tests, F.col("p").between(0, 1), "p-values must lie in [0, 1]")
-    g = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    t = t.withColumn("_r", F.row_number().over(g.orderBy("p"))).withColumn("_m", F.count("*").over(g))
-    t = t.withColumn("_a", F.least(F.col("p") * F.col("_m") / F.col("_r"), F.lit(1.0)))
-    t = t.withColumn("q", F.min("_a").over(g.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)))
-    return t.withColumn("reject", F.col("q") <= alpha).drop("_r", "_m", "_a")
+    names = t.select(*by, "p").schema.names
+    tied = t.groupBy(*names).agg(F.count("*").alias("_k"))
+    cuts = tied.groupBy(*by).agg(F.percentile_approx("p", [i / RANGES for i in range(1, RANGES)]).alias("_cuts"), F.sum("_k").alias("_m"))
+    same = reduce(and_, [F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")) for c in by], F.lit(True))
+    tied = tied.alias("_a").join(cuts.alias("_b"), same).select("_a.*", "_m", F.size(F.filter("_cuts", lambda x: x < F.col("p"))).alias("_range"))
+    inside, across = Window.partitionBy(*by, "_range"), Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    totals = tied.groupBy(*by, "_range").agg(F.sum("_k").alias("_k"))  # RANGES rows a group at most
+    before = totals.withColumn("_before", F.sum("_k").over(across.orderBy("_range")) - F.col("_k")).drop("_k")
+
+    def ranged(left, right):
+        on = reduce(and_, [F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")) for c in by], F.col("_a._range") == F.col("_b._range"))
+        return left.alias("_a").join(right.alias("_b"), on).select("_a.*", *[f"_b.{c}" for c in right.columns if c not in (*by, "_range")])
+
+    tied = ranged(tied, before)
+    last = F.col("_before") + F.sum("_k").over(inside.orderBy("p"))
+    tied = tied.withColumn("_q", F.least(F.col("p") * F.col("_m") / last, F.lit(1.0)))
+    least = tied.groupBy(*by, "_range").agg(F.min("_q").alias("_q"))
+    later = least.select(*by, "_range", F.min("_q").over(across.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    tied = ranged(tied, later)
+    within = F.min("_q").over(inside.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0))
+    tied = tied.select(*names, F.least(within, "_later").alias("q"))
+    on = reduce(and_, [F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")) for c in names])
+    return t.alias("_a").join(tied.alias("_b"), on).select("_a.*", "_b.q").withColumn("reject", F.col("q") <= alpha)
 
 
 def condition_summary(long: DataFrame, permutation_metric: str = "median_r", n_bootstrap: int = 5000, n_permutations: int = 10000,

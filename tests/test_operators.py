@@ -182,6 +182,30 @@ def test_false_discovery(spark, p, want):
         assert [r["reject"] for r in got] == want
 
 
+def test_false_discovery_by_ranges(spark):
+    """Many tied, very small and single p-values, with and without groups, one of them null and one large."""
+    rng = np.random.default_rng(3)
+    p = np.concatenate([rng.uniform(0, 1e-6, 900), np.full(700, 1 / 201), np.round(rng.uniform(0, 1, 900), 2), [0.0, 1.0]])
+    g = [None if i % 50 == 0 else 1 if i % 3 else i % 7 for i in range(len(p))]
+    df = spark.createDataFrame([(i, k, float(x)) for i, (k, x) in enumerate(zip(g, p))], "i int, g int, p double")
+
+    def want(p):
+        order = np.argsort(-p, kind="stable")
+        rank = np.array([(p <= x).sum() for x in p])
+        q = np.empty(len(p))
+        q[order] = np.minimum.accumulate(np.minimum(p * len(p) / rank, 1)[order])
+        return q
+
+    got = np.array([r["q"] for r in Z.benjamini_hochberg(df).orderBy("i").collect()])
+    np.testing.assert_allclose(got, want(p), rtol=1e-12)
+    rows = Z.benjamini_hochberg(df, 0.05, ["g"]).orderBy("i").collect()
+    assert len(rows) == len(p) and rows[0].__fields__ == ["i", "g", "p", "q", "reject"]
+    for k in set(g):
+        at = [i for i in range(len(p)) if g[i] == k]
+        np.testing.assert_allclose([rows[i]["q"] for i in at], want(p[at]), rtol=1e-12)
+    assert Z.benjamini_hochberg(df.limit(0)).count() == 0
+
+
 def test_condition_summary_reference(spark):
     rows = [(c, i, "median_r", v) for c, vs in {0: [.1], 10: [.1, .12, .11], 50: [.3, .31, .29]}.items() for i, v in enumerate(vs)]
     out = {r["condition"]: r for r in Z.condition_summary(spark.createDataFrame(rows, "condition int, rep int, metric string, value double"), n_bootstrap=100, n_permutations=100).collect()}
