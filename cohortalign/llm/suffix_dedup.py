@@ -16,6 +16,9 @@ extensions differ after e bytes and e + p >= length, that is a maximal repeat, a
 The neighbours suffice: any other member agrees with them at least as far. So every
 occurrence gets its largest cover without any list of pairs.
 
+``repeat_groups`` lists the maximal repeats themselves with all their occurrences: each interval is scanned again in
+the order of the left contexts, so that what differs on both sides comes out with every member.
+
 A gram with more than ``MAX_GROUP`` different contexts isn't gathered: hashes of ranges of its
 windows are counted, which is exact as well and puts no group into one task.
 
@@ -26,6 +29,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 
 import numpy as np
@@ -136,6 +140,47 @@ def maximal_covers(contexts: list[tuple[bytes, bytes, int]], length: int = LENGT
     return cover
 
 
+def intervals(shared: list[int], least: int):
+    """(common prefix, low, high) of the common-prefix intervals of a sorted list, from the common prefixes of
+    neighbours (shared[i], of i - 1 and i); the stack scan. Intervals that share less than ``least`` are left out."""
+    stack = []  # (common prefix, low)
+    for i in range(1, len(shared) + 1):
+        now, low = shared[i] if i < len(shared) else -1, i - 1
+        while stack and stack[-1][0] > now:
+            prefix, low = stack.pop()
+            yield prefix, low, i - 1
+        if now >= least and (not stack or stack[-1][0] < now):
+            stack.append((now, low))
+
+
+def maximal_repeats(contexts: list[tuple[bytes, bytes, int]], length: int = LENGTH):
+    """(to_left, to_right, members) of every maximal repeat of ``length`` bytes or more that holds the anchor: all
+    contexts that have these bytes, of which some differ before them and some behind. Contexts found several
+    times are repeats as far as they reach.
+
+    Each interval of the right contexts is scanned again in the order of the reversed left contexts; an interval
+    of that scan is a maximal repeat if its members stand in several of the first interval's children."""
+    for i, (a, b, k) in enumerate(contexts):
+        if k > 1 and len(a) + len(b) >= length:
+            yield len(a), len(b), [i]
+    suffixes = sorted(range(len(contexts)), key=lambda i: contexts[i][1])
+    back = [a[::-1] for a, _, _ in contexts]
+    right = [0] + [common_prefix(contexts[i][1], contexts[j][1]) for i, j in zip(suffixes, suffixes[1:])]
+    for prefix, low, high in intervals(right, 1):
+        child, children = 0, {}
+        for at in range(low, high + 1):
+            child += at > low and right[at] == prefix
+            children[suffixes[at]] = child
+        order = sorted(children, key=back.__getitem__)
+        left = [0] + [common_prefix(back[i], back[j]) for i, j in zip(order, order[1:])]
+        # right contexts that are equal and cut have no children to tell apart; they are told apart on the left
+        cut = all(len(contexts[i][1]) == prefix for i in children)
+        for e, first, last in intervals(left, max(0, length - prefix)):
+            members = order[first:last + 1]
+            if cut or len({children[i] for i in members}) > 1:
+                yield e, prefix, members
+
+
 def _find_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """texts(key, raw) -> (key, pos, reach, h, c): gram's hash, context's hash, bytes to the right."""
 
@@ -208,6 +253,48 @@ def _tree_covers(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "h long, c long, to_left int, to_right int")
 
 
+def _tree_repeats(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(h, c, n, a, b) -> (h, c, group, to_left, to_right, cut), a row for each member of a maximal repeat."""
+
+    def run(batches):
+        def found(at, held):
+            for e, p, members in maximal_repeats([x[1:] for x in held], length):
+                a, b = held[members[0]][1:3]
+                name = hashlib.md5(a[len(a) - e:] + b[:p]).hexdigest()
+                for i in members:
+                    yield at, held[i][0], name, e, p, e == length - gram or p == length
+
+        def batch(rows):
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)],
+                                              ["h", "c", "group", "to_left", "to_right", "cut"])
+
+        def groups():
+            held, at = [], None
+            for b in batches:
+                for h, c, n, left, right in zip(*[b.column(i).to_pylist() for i in range(5)]):
+                    if h != at and held:
+                        yield at, held
+                        held = []
+                    at = h
+                    held.append((c, left, right, n))
+            if held:
+                yield at, held
+
+        out = []
+        for at, held in groups():
+            for row in found(at, held):
+                out.append(row)
+                if len(out) == 8192:
+                    yield batch(out)
+                    out = []
+        if out:
+            yield batch(out)
+
+    dealt = contexts.select("h", "c", "n", "a", "b").repartition("h").sortWithinPartitions("h", "c")
+    return dealt.mapInArrow(run, "h long, c long, group string, to_left int, to_right int, cut boolean")
+
+
 def _counted_covers(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     """The same for grams of very many contexts, without gathering them. A range of offsets [d0, d1] of the
     anchor in a window is settled by two counts: if what all its windows share is found
@@ -251,10 +338,9 @@ def _counted_covers(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     return covers.groupBy("h", "c").agg(F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right"))
 
 
-def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
-            max_group: int = MAX_GROUP) -> DataFrame:
-    """(key, spans): for every text with repeats of ``length`` bytes, by its key, the
-    places [start, end) that they cover around each anchor; they may overlap."""
+def _met(docs: DataFrame, text_col: str, length: int, gram: int, max_group: int):
+    """Anchors whose grams stand several times (key, pos, h, c), those of one context with what it covers
+    (h, c, to_left, to_right), the other contexts (h, c, n, a, b), and the grams of too many contexts (h) or None."""
     small_batches(docs.sparkSession, 1000)
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw"))
     texts = texts.where(F.octet_length("raw") >= length)
@@ -276,9 +362,18 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     contexts = _cut_contexts(once.join(want, "key").select("raw", "want"), length, gram)
     hot = groups.where(F.col("contexts") > max_group).select("h")
     if hot.isEmpty():
+        return found, alone, contexts, None
+    return found, alone, staged(contexts, "suffix-contexts"), hot
+
+
+def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
+            max_group: int = MAX_GROUP) -> DataFrame:
+    """(key, spans): for every text with repeats of ``length`` bytes, by its key, the
+    places [start, end) that they cover around each anchor; they may overlap."""
+    found, alone, contexts, hot = _met(docs, text_col, length, gram, max_group)
+    if hot is None:
         covers = _tree_covers(contexts, length)
     else:
-        contexts = staged(contexts, "suffix-contexts")
         covers = _tree_covers(contexts.join(hot, "h", "left_anti"), length).union(
             _counted_covers(contexts.join(hot, "h", "left_semi"), length, gram))
     covers = staged(covers.union(alone), "suffix-covers")
@@ -287,6 +382,31 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     return placed.groupBy("key").agg(F.collect_set("span").alias("spans"))
 
 
+def repeat_groups(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
+                  max_group: int = MAX_GROUP) -> DataFrame:
+    """(group, key, start, end, cut): the maximal repeats of ``length`` bytes or more, a row for every occurrence
+    in a distinct text; ``group`` is the MD5 of the repeated string.
+
+    A repeat is seen from an anchor, ``length - gram`` bytes to the left and ``length`` to the right. If it was only seen
+    up to one of these bounds ``cut`` is true: it may go on, and its further anchors show the next pieces. Anchors whose
+    contexts are all equal are one group, named by the context. Of grams of more than ``max_group`` contexts each
+    occurrence is listed under its largest cover only. An empty table gives no rows."""
+    found, alone, contexts, hot = _met(docs, text_col, length, gram, max_group)
+    rows = alone.select("h", "c", F.md5(F.concat_ws(" ", "h", "c")).alias("group"), "to_left", "to_right", F.lit(True).alias("cut"))
+    if hot is None:
+        rows = rows.union(_tree_repeats(contexts, length, gram))
+    else:
+        rows = rows.union(_tree_repeats(contexts.join(hot, "h", "left_anti"), length, gram))
+        covers = _counted_covers(contexts.join(hot, "h", "left_semi"), length, gram).join(contexts, ["h", "c"])
+        start = F.octet_length("a") - F.col("to_left")
+        part = F.concat(F.substring(F.col("a"), start + 1, F.col("to_left")), F.substring(F.col("b"), F.lit(1), F.col("to_right")))
+        rows = rows.union(covers.select("h", "c", F.md5(part).alias("group"), "to_left", "to_right", F.lit(True).alias("cut")))
+    rows = staged(rows, "suffix-repeats")
+    placed = found.join(rows, ["h", "c"]).select(
+        "group", "key", (F.col("pos") - F.col("to_left")).alias("start"), (F.col("pos") + F.col("to_right")).alias("end"))
+    return placed.distinct().join(rows.groupBy("group").agg(F.min("cut").alias("cut")), "group").select("group", "key", "start", "end", "cut")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):

@@ -109,6 +109,80 @@ def test_substrings_query(spark, tmp_path):
     assert all(passages[i % 5] not in got[i]["text"] for i in range(0, 40, 2)) and all(got[i]["text"] == texts[i] for i in range(1, 40, 2))
 
 
+def maximal(raw, length):
+    """Brute force: strings of ``length`` bytes or more that differ on both sides, with their occurrences."""
+    at = {}
+    for k, t in enumerate(raw):
+        for i in range(len(t)):
+            for j in range(i + length, len(t) + 1):
+                at.setdefault(t[i:j], set()).add((k, i))
+    before = lambda k, i: raw[k][i - 1:i] if i else (k,)
+    after = lambda k, i: raw[k][i:i + 1] or (k,)
+    return {s: o for s, o in at.items() if len(o) > 1 and len({before(k, i) for k, i in o}) > 1
+            and len({after(k, i + len(s)) for k, i in o}) > 1}
+
+
+def test_repeat_groups(spark):
+    """Maximal repeats that no bound cuts have all their occurrences, and all repeats are covered by groups."""
+    def check(raw, rows, names):
+        want, held = maximal(raw, 16), {}
+        for group, k, start, end, cut in rows:
+            held.setdefault(group, ([], cut))[0].append((k, start, end))
+        found = 0
+        for group, (occurrences, cut) in held.items():
+            strings = {raw[k][a:z] for k, a, z in occurrences}
+            assert len(strings) == 1 and len(occurrences) > 1 and len(next(iter(strings))) >= 16
+            if not cut:
+                found += 1
+                assert group == names(next(iter(strings))) and want[next(iter(strings))] == {(k, a) for k, a, _ in occurrences}
+        for s, occurrences in want.items():
+            for k, i in occurrences:
+                over = set()
+                for _, kk, a, z, _ in rows:
+                    if kk == k:
+                        over |= set(range(max(a, i), min(z, i + len(s))))
+                assert len(over) == len(s)
+        return found
+
+    def texts(seed):
+        rng = np.random.default_rng(seed)
+        rand = lambda n: "".join(rng.choice(list("ab" if seed % 2 else "abc"), n))
+        base = rand(60)
+        out = []
+        for _ in range(8):
+            x = rng.integers(0, 30)
+            out.append(rand(rng.integers(0, 30)) + base[x:x + rng.integers(10, 30)] + rand(rng.integers(0, 20)))
+        return list(dict.fromkeys(out))
+
+    md5 = lambda s: hashlib.md5(s).hexdigest()
+    found = 0
+    for seed in range(30):
+        raw, by, rows = [t.encode() for t in texts(seed)], {}, {}
+        for k, t in enumerate(raw):
+            for p in suffix_dedup.anchors(t, 16, 6).tolist():
+                c = suffix_dedup.context(t, p, 16, 6)
+                by.setdefault(c[1][:6], {}).setdefault(c, []).append((k, p))
+        for at in by.values():
+            for e, p, members in suffix_dedup.maximal_repeats([(*c, len(x)) for c, x in at.items()], 16):
+                for i in members:
+                    a, b = list(at)[i]
+                    for k, q in at[a, b]:
+                        rows.setdefault(md5(a[len(a) - e:] + b[:p]), []).append((k, q - e, q + p, e == 10 or p == 16))
+        flat = [(g, k, s, e, min(x[3] for x in o)) for g, o in rows.items() for k, s, e in {x[:3] for x in o}]
+        found += check(raw, flat, md5)
+    assert found > 20
+    some = texts(4)
+    for most in (20_000, 1):
+        got = suffix_dedup.repeat_groups(docs(spark, [*some, None, ""]), length=16, gram=6, max_group=most).collect()
+        at = {hashlib.md5(t.encode()).digest(): i for i, t in enumerate(some)}
+        rows = [(r["group"], at[bytes(r["key"])], r["start"], r["end"], r["cut"]) for r in got]
+        if most == 1:  # each occurrence under its largest cover: strings are equal, single occurrences can stand
+            assert all(len({some[k].encode()[a:z] for g, k, a, z, _ in rows if g == h}) == 1 for h in {r[0] for r in rows})
+        else:
+            check([t.encode() for t in some], rows, md5)
+    assert suffix_dedup.repeat_groups(docs(spark, [])).count() == 0
+
+
 def test_long_text_has_the_anchors_of_its_parts(monkeypatch):
     text = bytes(np.random.default_rng(1).integers(97, 105, 5000, np.uint8)) + b"q" * 2000
     whole = suffix_dedup.anchors(text)
