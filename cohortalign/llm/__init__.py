@@ -5,11 +5,11 @@
 
 
 def _modules():
-    from . import (decontaminate, embeddings, html_text, langid, lines, mixing, pipeline, simhash,
+    from . import (decontaminate, embeddings, html_text, langid, lines, mixing, pipeline, negatives, resample, simhash,
                    suffix_dedup, url_rules, warc)
 
     return [suffix_dedup, html_text, warc, simhash, mixing, langid, embeddings, decontaminate, lines,
-            url_rules, pipeline]
+            url_rules, resample, negatives, pipeline]
 
 
 def queries():

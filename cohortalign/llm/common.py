@@ -48,6 +48,13 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in pieces of at most ``rows`` rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast a staged table only if it has at most ``max_rows`` rows; otherwise
     the join stays a shuffled one."""
