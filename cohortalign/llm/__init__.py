@@ -6,10 +6,10 @@
 
 def _modules():
     from . import (decontaminate, embeddings, html_text, langid, lines, mixing, pipeline, negatives, resample, simhash,
-                   suffix_dedup, url_rules, warc)
+                   suffix_dedup, toxicity, url_rules, warc)
 
     return [suffix_dedup, html_text, warc, simhash, mixing, langid, embeddings, decontaminate, lines,
-            url_rules, resample, negatives, pipeline]
+            url_rules, resample, toxicity, negatives, pipeline]
 
 
 def queries():
