@@ -6,6 +6,8 @@ of rows; ``MAX_WIDTH`` bounds it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,14 +25,12 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def cross_moments(rows: DataFrame, keys: list[str], columns: list[str], max_width: int = MAX_WIDTH) -> DataFrame:
-    """(keys, n, s, g): counts, sums and flattened cross-products of the arrays in ``columns``
-    laid side by side. Rows with a null array are left out.
+def moment_blocks(rows: DataFrame, keys: list[str], columns: list[str], max_width: int = MAX_WIDTH) -> DataFrame:
+    """(keys, _block, n, s, g): counts, sums and cross-products of the arrays in ``columns`` laid side by side, the cross-products
+    in blocks of their rows; the sums are with block 0. Rows with a null array are left out.
 
-    Each partition's sums are sent in blocks of rows of the cross-products, and blocks of one place are
-    added together; so a task holds one small block of every partition, never all of their matrices."""
-    kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
-    schema = ", ".join([*kinds, "_block int", SUMS])
+    Each partition sends its sums block by block, and blocks of one place are added up as they stream in; so a task holds
+    one running block and the batch it reads, however many partitions there are."""
     k = len(keys)
 
     def part(batches):
@@ -50,42 +50,73 @@ def cross_moments(rows: DataFrame, keys: list[str], columns: list[str], max_widt
                 name = tuple(name)
                 sums[name] = tuple(x + y for x, y in zip(sums[name], new)) if name in sums else new
         for head, (n, total, g) in sums.items():
-            high = max(1, BLOCK // max(1, len(total)))
-            for i, at in enumerate(range(0, max(1, len(total)), high)):
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array([h], t) for h, t in zip(head, types)], pa.array([i], pa.int32()), pa.array([n], pa.int64()),
-                     pa.array([total if i == 0 else []], pa.list_(pa.float64())), pa.array([g[at:at + high].ravel()], pa.list_(pa.float64()))],
-                    [*keys, "_block", "n", "s", "g"])
+            yield from sent(dict(zip(keys, zip(head, types))), n, total, g)
 
     cols = [F.col(c).cast("array<double>").alias(c) for c in columns]
     some = rows.where(" and ".join(f"`{c}` is not null" for c in columns)).select(*keys, *cols)
-    partial = some.mapInArrow(part, schema)
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.iloc[[0]].copy()
-        out["n"] = pdf["n"].sum()
-        for c in ("s", "g"):
-            total = np.zeros(len(pdf[c].iloc[0]))
-            for x in pdf[c]:
-                total += x
-            out.at[out.index[0], c] = total
-        return out
-
-    blocks = partial.groupBy(*keys, "_block").applyInPandas(add, schema)
+    return added(some.mapInArrow(part, _schema(rows, keys)), keys)
+
+
+def _schema(rows: DataFrame, keys: list[str]) -> str:
+    return ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], "_block int", SUMS])
+
+
+def sent(heads: dict, n: int, total: np.ndarray, g: np.ndarray):
+    """A task's sums as one batch a block. heads: key -> (value, type)."""
+    high = max(1, BLOCK // max(1, g.shape[1] if g.ndim > 1 else 1))
+    for i, at in enumerate(range(0, max(1, len(g)), high)):
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.array([h], t) for h, t in heads.values()], pa.array([i], pa.int32()), pa.array([n], pa.int64()),
+             pa.array([total if i == 0 else []], pa.list_(pa.float64())), pa.array([g[at:at + high].ravel()], pa.list_(pa.float64()))],
+            [*heads, "_block", "n", "s", "g"])
+
+
+def added(partial: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of tasks, block by block."""
+    def add(batches):
+        head, n, sums = None, 0, [None, None]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            head = head or b.slice(0, 1)
+            n += sum(b.column("n").to_pylist())
+            for i, c in enumerate(("s", "g")):
+                total = matrix(b.column(c)).sum(0)
+                sums[i] = total if sums[i] is None else sums[i] + total
+        if head is not None:
+            made = {"n": pa.array([n], pa.int64()), **{c: pa.array([x], pa.list_(pa.float64())) for c, x in zip(("s", "g"), sums)}}
+            yield pa.RecordBatch.from_arrays([made.get(c, head.column(c)) for c in head.schema.names], head.schema.names)
+
+    # the signature tells Spark that the groups are to be streamed
+    add.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return partial.groupBy(*keys, "_block").applyInArrow(add, partial.schema)
+
+
+def cross_moments(rows: DataFrame, keys: list[str], columns: list[str], max_width: int = MAX_WIDTH) -> DataFrame:
+    """(keys, n, s, g): the same with the cross-products of a key in one row, for use on the executors."""
+    blocks = moment_blocks(rows, keys, columns, max_width)
     held = F.array_sort(F.collect_list(F.struct("_block", "n", "s", "g")))
     whole = blocks.groupBy(*keys).agg(held.alias("_b"))
     return whole.where(F.size("_b") > 0).select(*keys, F.col("_b")[0]["n"].alias("n"), F.col("_b")[0]["s"].alias("s"), F.flatten(F.transform("_b", lambda x: x["g"])).alias("g"))
 
 
-def collected(moments: DataFrame, keys: list[str]) -> dict[tuple, tuple[int, np.ndarray, np.ndarray]]:
-    """The moments on the driver: key -> (n, sums, cross-products)."""
+def gathered(blocks: DataFrame, keys: list[str]) -> dict[tuple, tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks of sums on the driver: key -> (n, sums, the flat blocks one after another)."""
+    parts: dict[tuple, list] = {}
+    for r in blocks.collect():
+        parts.setdefault(tuple(r[k] for k in keys), []).append((r["_block"], r["n"], r["s"], np.array(r["g"], float)))
     out = {}
-    for r in moments.collect():
-        s = np.array(r["s"], float)
-        out[tuple(r[k] for k in keys)] = (r["n"], s, np.array(r["g"], float).reshape(len(s), len(s)))
+    for key, found in parts.items():
+        found.sort(key=lambda x: x[0])
+        out[key] = (found[0][1], np.array(found[0][2], float), np.concatenate([x[3] for x in found]))
     return out
 
 
+def collected(blocks: DataFrame, keys: list[str]) -> dict[tuple, tuple[int, np.ndarray, np.ndarray]]:
+    """``moment_blocks`` on the driver: key -> (n, sums, cross-products)."""
+    return {k: (n, s, g.reshape(len(s), len(s))) for k, (n, s, g) in gathered(blocks, keys).items()}
+
+
 def centred(n: int, s: np.ndarray, g: np.ndarray) -> np.ndarray:
     return g - np.outer(s, s) / n
 

@@ -9,15 +9,19 @@ is enough for all rounds.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import FLAT, require, staged
-from ..functions.moments import apply_matrix, as_rows, collected, cross_moments
+from ..functions.moments import SUMS, added, apply_matrix, as_rows, collected, gathered, matrix, moment_blocks, sent
 
+MAX_GRAM = 1000  # rows of connectivity up to which their Gram is made
+MAX_SKINNY = 64_000_000  # numbers of all subjects' blocks of vectors in the range finder
 MAX_MODEL = 64_000_000  # numbers of all subjects' bases that may be sent to the executors
 
 
@@ -39,16 +43,20 @@ def sign_fix(long: DataFrame) -> DataFrame:
 
 
 def svd_basis(conn: DataFrame, k: int, min_k: int = 10) -> DataFrame:
-    """ALN2: (subject, voxel, p array<double>): top-k right singular vectors of each subject's
-    connectivity, signs fixed. The rows x rows Gram comes from one pass over channels; the
-    channel side is mapped by U / s."""
+    """ALN2: (subject, voxel, p array<double>): top-k right singular vectors of each subject's connectivity, signs fixed.
+    conn(subject, row, voxel, c)."""
+    return svd_basis_rows(as_rows(conn, ["subject", "voxel"], "row", "c", "c"), k, min_k)
+
+
+def svd_basis_rows(rows: DataFrame, k: int, min_k: int = 10, max_gram: int = MAX_GRAM) -> DataFrame:
+    """ALN2 from one array of all rows a channel, (subject, voxel, c array<double>). Up to ``max_gram`` rows the rows x rows Gram
+    comes from one pass over the channels; beyond, the range finder takes its place. The channel side is mapped by U / s either way."""
     if k < min_k:
         raise ValueError("rank below the minimum")
-    rows = as_rows(conn, ["subject", "voxel"], "row", "c", "c")
+    width = rows.select(F.max(F.size("c"))).first()[0] or 0
+    found = _gram_eigen(rows, k) if width <= max_gram else range_finder(rows, k, width)
     maps = {}
-    for (subject,), (_, _, g) in collected(cross_moments(rows, ["subject"], ["c"]), ["subject"]).items():
-        w, u = np.linalg.eigh(g)
-        w, u = w[::-1][:k], u[:, ::-1][:, :k]
+    for subject, (w, u) in found.items():
         if len(w) < k or w[-1] <= 0:
             raise ValueError(f"subject {subject} has no {k} singular values")
         maps[subject] = u / np.sqrt(w)
@@ -56,6 +64,63 @@ def svd_basis(conn: DataFrame, k: int, min_k: int = 10) -> DataFrame:
     return as_rows(sign_fix(p), ["subject", "voxel"], "j", "p", "p")
 
 
+def _gram_eigen(rows: DataFrame, k: int) -> dict:
+    out = {}
+    for (subject,), (_, _, g) in collected(moment_blocks(rows, ["subject"], ["c"]), ["subject"]).items():
+        w, u = np.linalg.eigh(g)
+        out[subject] = w[::-1][:k], u[:, ::-1][:, :k]
+    return out
+
+
+def range_finder(rows: DataFrame, k: int, width: int, more: int = 10, tol: float = 1e-6, max_passes: int = 60, seed: int = 42) -> dict:
+    """subject -> (squared singular values, left singular vectors) of the k largest, for connectivity with too many rows for a Gram.
+
+    A random block of k + ``more`` vectors (twice k at least) is multiplied by the rows x rows Gram without making it: each
+    power pass streams the channels once, every task adding c (c' V) over its channels, so what is sent and collected is a tall
+    skinny matrix a subject. It is made orthonormal by QR, and the pass's Rayleigh-Ritz values tell how far the leading k directions still
+    turn; passes end when no subject's turn more than ``tol`` (the sine of the largest principal angle between passes)."""
+    subjects = sorted(r[0] for r in rows.select("subject").distinct().collect())
+    have = min(width, max(k + more, 2 * k))
+    if len(subjects) * width * have > MAX_SKINNY:
+        raise ValueError(f"{len(subjects)} x {width} x {have} numbers, more than {MAX_SKINNY}")
+    rng = np.random.default_rng(seed)
+    v = {s: np.linalg.qr(rng.standard_normal((width, have)))[0] for s in subjects}
+    kind = rows.schema["subject"].dataType.simpleString()
+    last: dict = {}
+    some = rows.select("subject", F.col("c").cast("array<double>").alias("c"))
+    for _ in range(max_passes):
+        def power(batches, v=v):
+            sums, t = {}, None
+            for b in batches:
+                if b.num_rows:
+                    t, names = b.schema.field(0).type, b.column(0).to_pylist()
+                    for s in dict.fromkeys(names):
+                        m = matrix(b.column(1).filter(pa.array([x == s for x in names])))
+                        z = m.T @ (m @ v[s])
+                        n, old = sums.get(s, (0, 0.0))
+                        sums[s] = n + len(m), old + z
+            for s, (n, z) in sums.items():
+                yield from sent({"subject": (s, t)}, n, np.zeros(0), z)
+
+        z = gathered(added(some.mapInArrow(power, f"subject {kind}, _block int, {SUMS}"), ["subject"]), ["subject"])
+        out, turn = {}, 0.0
+        for s in subjects:
+            y = z[s,][2].reshape(width, have)
+            w, e = np.linalg.eigh((v[s].T @ y + y.T @ v[s]) / 2)
+            out[s] = w[::-1][:k], v[s] @ e[:, ::-1][:, :k]
+            if s in last:
+                # how much of the leading directions lies outside of the last pass's
+                turn = max(turn, np.linalg.norm(out[s][1] - last[s] @ (last[s].T @ out[s][1]), 2))
+            else:
+                turn = 1.0
+            last[s] = out[s][1]
+            v[s] = np.linalg.qr(y @ e[:, ::-1])[0]
+        if turn < tol:
+            return out
+    warnings.warn(f"the leading {k} directions still turn by {turn:.1e} after {max_passes} passes", RuntimeWarning, stacklevel=2)
+    return out
+
+
 def rotation_from(m: np.ndarray) -> np.ndarray:
     u, _, vt = np.linalg.svd(m)
     return u @ vt
@@ -74,7 +139,7 @@ def checked_rotation(n: int, s: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 def procrustes(pairs: DataFrame, source: str, target: str, keys: list[str] = []) -> dict[tuple, np.ndarray]:
     """ALN4: orthogonal rotation per key from source rows to target rows, both centred."""
-    return {k: checked_rotation(*v) for k, v in collected(cross_moments(pairs, keys, [source, target]), keys).items()}
+    return {k: checked_rotation(*v) for k, v in collected(moment_blocks(pairs, keys, [source, target]), keys).items()}
 
 
 def bases_on_driver(basis: DataFrame) -> dict[int, np.ndarray]:
@@ -115,7 +180,7 @@ def aligned_moments(z: DataFrame, item: str) -> tuple[list, int, np.ndarray, np.
     subjects = sorted(r[0] for r in z.select("subject").distinct().collect())
     wide = z.groupBy(item).agg(F.sort_array(F.collect_list(F.struct("subject", "z"))).alias("a")).where(F.size("a") == len(subjects))
     wide = wide.select(F.flatten(F.col("a.z")).alias("u"))  # a row holds one vector per subject
-    (n, s, g), = collected(cross_moments(wide, [], ["u"]), []).values()
+    (n, s, g), = collected(moment_blocks(wide, [], ["u"]), []).values()
     return subjects, n, s, g
 
 

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import FLAT, fresh, guarded_corr
+from ..functions.common import FLAT, fresh, guarded_corr, staged
 from ..functions.matrices import aligned, to_long, to_matrix
 from ..functions.moments import matrix
 
 BLOCK = 256
-MAX_CHANNELS = 4096  # bound of the voxel-to-voxel form, whose result is a square
+CHANNELS = 1024  # channels in a block of the voxel-to-voxel form
+HELD = 1 << 24  # numbers that one side of a pair of such blocks may hold
 
 
 def parcel_series(series: DataFrame, labels: DataFrame, n_parcels: int, keys: list[str] = ["subject", "run"]) -> DataFrame:
@@ -85,78 +85,137 @@ def parcel_connectivity_blocks(series: DataFrame, labels: DataFrame, n_parcels:
     return c.groupBy("subject", "label", "voxel").agg(F.avg("c").alias("c"))
 
 
-def shrunk_covariance(n: int, s: np.ndarray, g: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ledoit-Wolf from counts: n rows of centred x with sums of x, x x' and x^2 x^2'. The
-    covariance is pulled to a multiple of the identity."""
-    p = len(s)
-    emp = g / n
-    mu = np.trace(emp) / p
-    delta = ((emp ** 2).sum() - 2 * mu * np.trace(emp) + p * mu ** 2) / p
-    beta = min((q.sum() / n - (emp ** 2).sum()) / (p * n), delta)
-    shrink = 0.0 if beta == 0 else beta / delta
-    out = (1 - shrink) * emp
-    out[np.diag_indices(p)] += shrink * mu
-    return out, shrink
-
-
-def voxel_connectivity(rows: DataFrame, ensemble: str = "average", max_channels: int = MAX_CHANNELS) -> DataFrame:
-    """CON4: (subject, voxel, c array<double>): channel-to-channel correlation from the shrunk covariance.
-
-    rows(subject, run, t, v array<double>). Partial sums of x, x x' and x^2 x^2' are made per
-    partition and key in Arrow and added up by block row; the square result bounds the number of channels.
-    """
-    keys = ["subject", "run"] if ensemble == "average" else ["subject"]
+def shrinkage(sizes: DataFrame) -> DataFrame:
+    """Ledoit-Wolf from four numbers of n centred steps of p channels: ``trace`` of x'x, ``square``, the sum of its
+    squared entries, and ``quart``, the sum over steps of (sum of x^2)^2. Adds ``mu`` and ``shrink``: the covariance is pulled to mu
+    times the identity by that share."""
+    f = F.expr
+    out = sizes.withColumn("mu", f("trace / n / p")).withColumn("_e2", f("square / n / n"))
+    out = out.withColumn("_delta", f("(_e2 - 2 * mu * trace / n + p * mu * mu) / p"))
+    out = out.withColumn("_beta", F.least(f("(quart / n - _e2) / (p * n)"), F.col("_delta")))
+    return out.withColumn("shrink", F.when(F.col("_beta") == 0, 0.0).otherwise(F.try_divide("_beta", "_delta"))).drop("_e2", "_delta", "_beta")
+
+
+def _channel_blocks(rows: DataFrame, unit: list[str], size: int, count: int) -> DataFrame:
+    """(unit, run, b, head, n, x, q, r): centred steps of each block of channels, one row a run. Steps are centred over the whole
+    unit. n: steps of the unit; q: sums of squares by channel over the unit; r: by step; head marks one row of each unit and block."""
+    cut = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.slice("v", i * size + 1, size))
+    long = rows.select("subject", "run", "t", F.posexplode(cut).alias("b", "x")).where(F.size("x") > 0)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("subject", "run")}
+
+    def assemble(g: pa.Table) -> pa.Table:
+        g = g.sort_by([("run", "ascending"), ("t", "ascending")])
+        x = matrix(g.column("x").combine_chunks())
+        x = x - x.mean(0)
+        runs = g.column("run").to_numpy()
+        starts = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)]
+        parts = list(zip(starts, starts[1:]))
+        head = g.take(pa.array([lo for lo, _ in parts]))
+        listed = lambda arrays: pa.array(arrays, pa.list_(pa.float64()))
+        m = len(parts)
+        return pa.table({"subject": head.column("subject"), "run": head.column("run"), "b": head.column("b"), "head": pa.array([i == 0 for i in range(m)]),
+                         "n": pa.array([len(x)] * m, pa.int64()), "x": listed([x[lo:hi].ravel() for lo, hi in parts]), "q": listed([(x * x).sum(0)] * m),
+                         "r": listed([(x[lo:hi] ** 2).sum(1) for lo, hi in parts])})
+
+    return long.groupBy(*unit, "b").applyInArrow(assemble, f"subject {kinds['subject']}, run {kinds['run']}, b int, head boolean, n long, "
+                                                           "x array<double>, q array<double>, r array<double>")
+
+
+def _paired(blocks: DataFrame, count: int, columns: list[str]) -> DataFrame:
+    """Every block once for each block that it meets, itself included: (.., i, k, own), i <= k, own: the row is block i."""
+    both = blocks.select(*columns, "b", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("_o"))
+    return both.select(*columns, F.least("b", "_o").alias("i"), F.greatest("b", "_o").alias("k"), (F.col("b") <= F.col("_o")).alias("own"))
+
+
+def _sides(g: pa.Table) -> dict:
+    """run -> (block i, block k) as matrices of steps by channels; the same matrix twice where i = k."""
+    own, run, width = g.column("own").to_pylist(), g.column("run").to_pylist(), g.column("width").to_pylist()
+    out: dict = {}
+    for at, (side, r, w) in enumerate(zip(own, run, width)):
+        x = g.column("x")[at].values.to_numpy(zero_copy_only=False).reshape(-1, w)
+        out.setdefault(r, [None, None])[0 if side else 1] = x
+    one = g.column("i")[0].as_py() == g.column("k")[0].as_py()
+    return {r: (a, a if one else b) for r, (a, b) in out.items() if one or (a is not None and b is not None)}
+
+
+def voxel_connectivity_blocks(rows: DataFrame, ensemble: str = "average", channels: int = CHANNELS) -> DataFrame:
+    """CON4: (subject, voxel, block, c array<double>, shrinkage): channel-to-channel correlation from the shrunk covariance, a
+    row's channels in blocks of equal size, averaged over runs or over all steps at once. rows(subject, run, t, v array<double>).
+
+    The product is symmetric and made by a task for each pair of channel blocks: once for the sum of its squared entries, from which
+    with two more sums the shrinkage follows, and once, scaled, for the result. Blocks get smaller as a subject's steps get more,
+    so a pair never holds more than ``HELD`` numbers a side, and no task or driver holds a square of all channels."""
     if ensemble not in ("average", "concat"):
         raise ValueError(f"unknown ensemble {ensemble}")
-    width = rows.select(F.max(F.size("v"))).first()[0] or 0
-    if width > max_channels:
-        raise ValueError(f"{width} channels, more than {max_channels}")
-    means = rows.select(*keys, F.posexplode("v").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("m"))
-    means = means.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
-    centred = rows.join(means, keys).select(*keys, F.zip_with("v", "m", lambda x, m: x - m).alias("v"))
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-
-    def part(batches):
-        sums, types = {}, None
-        for b in batches:
-            types = [b.schema.field(i).type for i in range(len(keys))]
-            codes, heads = pd.MultiIndex.from_arrays([b.column(i).to_pandas() for i in range(len(keys))]).factorize()
-            x = matrix(b.column(len(keys)))
-            for c, k in enumerate(heads):
-                m = x[codes == c]
-                new = (len(m), m.sum(0), m.T @ m, (m ** 2).T @ (m ** 2))
-                sums[k] = tuple(old + more for old, more in zip(sums[k], new)) if k in sums else new
-        for k, (n, s, g, q) in sums.items():
-            p = len(s)
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array([v] * p, t) for v, t in zip(k, types)], pa.array(range(p), pa.int32()), pa.array([n] * p, pa.int64()),
-                 pa.array(s), pa.array(g.tolist(), pa.list_(pa.float64())), pa.array(q.tolist(), pa.list_(pa.float64()))],
-                [*keys, "i", "n", "s", "g", "q"])
-
-    partial = centred.mapInArrow(part, f"{kinds}, i int, n long, s double, g array<double>, q array<double>")
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[[0]].copy()
-        first["n"], first["s"] = pdf["n"].sum(), pdf["s"].sum()
-        for c in ("g", "q"):
-            first.at[first.index[0], c] = np.sum(np.stack(pdf[c].to_numpy()), axis=0)
-        return first
-
-    summed = partial.groupBy(*keys, "i").applyInPandas(add, partial.schema)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        cov, shrink = shrunk_covariance(int(pdf["n"].iloc[0]), pdf["s"].to_numpy(), np.stack(pdf["g"].to_numpy()), np.stack(pdf["q"].to_numpy()))
-        d = np.maximum(np.sqrt(np.diag(cov)), FLAT)
-        return pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, "voxel": pdf["i"].to_numpy(),
-                             "c": list(cov / np.outer(d, d)), "shrinkage": shrink})
-
-    # a square of at most max_channels per key
-    out = summed.groupBy(*keys).applyInPandas(solve, f"{kinds}, voxel int, c array<double>, shrinkage double")
-    long = out.select("subject", "voxel", "shrinkage", F.posexplode("c").alias("j", "x")).groupBy("subject", "voxel", "j").agg(
-        F.avg("x").alias("x"), F.avg("shrinkage").alias("shrinkage"))
-    return long.groupBy("subject", "voxel").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("c"), F.avg("shrinkage").alias("shrinkage"))
+    unit = ["subject", "run"] if ensemble == "average" else ["subject"]
+    steps = rows.groupBy("subject").agg(F.count("*").alias("steps"), F.max(F.size("v")).alias("width")).agg(F.max("steps"), F.max("width")).first()
+    most, width = steps[0] or 1, max(1, steps[1] or 1)
+    size = max(1, min(channels, width, max(16, HELD // most)))
+    count = -(-width // size)
+    blocks = staged(_channel_blocks(rows, unit, size, count), "channel-blocks").withColumn("width", F.size("q"))
+
+    trace = blocks.where("head").groupBy(*unit, "n").agg(F.sum(F.aggregate("q", F.lit(0.0), lambda a, x: a + x)).alias("trace"), F.sum("width").alias("p"))
+    by_step = blocks.groupBy("subject", "run").agg(F.collect_list("r").alias("r"))  # one array a block
+    by_step = by_step.withColumn("r", F.aggregate(F.slice("r", 2, count), F.col("r")[0], lambda a, x: F.zip_with(a, x, lambda y, z: y + z)))
+    quart = by_step.groupBy(*unit).agg(F.sum(F.aggregate("r", F.lit(0.0), lambda a, x: a + x * x)).alias("quart"))
+    pairs = _paired(blocks, count, ["subject", "run", "width", "x"])
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("subject", "run")}
+    by_run = ensemble == "average"
+
+    def squares(g: pa.Table) -> pa.Table:
+        sides = _sides(g)
+        twice = 1.0 if g.column("i")[0].as_py() == g.column("k")[0].as_py() else 2.0
+        if by_run:
+            found = [(r, twice * np.sum((a.T @ b) ** 2)) for r, (a, b) in sides.items()]
+        else:
+            found = [(next(iter(sides)), twice * np.sum(sum(a.T @ b for a, b in sides.values()) ** 2))] if sides else []
+        kind = g.schema
+        return pa.table({"subject": pa.repeat(g.column("subject")[0], len(found)), "run": pa.array([r for r, _ in found], kind.field("run").type),
+                         "square": pa.array([float(x) for _, x in found], pa.float64())})
+
+    square = pairs.groupBy("subject", "i", "k").applyInArrow(squares, f"subject {kinds['subject']}, run {kinds['run']}, square double")
+    square = square.groupBy(*unit).agg(F.sum("square").alias("square"))
+    sizes = shrinkage(trace.join(quart, unit).join(square, unit))
+    units = sizes.groupBy("subject").agg(F.count("*").alias("units"), F.avg("shrink").alias("shrinkage"))
+    sizes = staged(sizes.join(units, "subject").select(*unit, "mu", "shrink", "units", "shrinkage"), "shrinkage")
+
+    own = blocks.join(sizes, unit)
+    variance = F.transform("q", lambda x: (1 - F.col("shrink")) * x / F.col("n") + F.col("shrink") * F.col("mu"))
+    own = own.withColumn("_d", F.transform(variance, lambda x: F.greatest(F.sqrt(x), F.lit(FLAT))))
+    lift = F.when(F.col("head"), F.transform("_d", lambda d: F.col("shrink") * F.col("mu") / d / d / F.col("units")))
+    own = own.withColumn("lift", lift).withColumn("scale", F.transform("_d", lambda d: F.sqrt((1 - F.col("shrink")) / F.col("n") / F.col("units")) / d))
+    pairs = _paired(own, count, ["subject", "run", "width", "x", "scale", "lift", "shrinkage"])
+
+    def correlate(g: pa.Table) -> pa.Table:
+        scales = {}
+        for side, r, c in zip(g.column("own").to_pylist(), g.column("run").to_pylist(), g.column("scale").to_pylist()):
+            scales[r, side] = np.array(c)
+        i, k = g.column("i")[0].as_py(), g.column("k")[0].as_py()
+        total = None
+        for r, (a, b) in _sides(g).items():
+            part = (a * scales[r, True]).T @ (b * scales[r, i == k])
+            total = part if total is None else total + part
+        rows_, cols_ = total.shape
+        if i == k:
+            for c in g.column("lift").to_pylist():
+                if c is not None:
+                    total[np.diag_indices(rows_)] += c
+        parts = [(total, i, k)] if i == k else [(total, i, k), (total.T, k, i)]
+        n = sum(len(m) for m, _, _ in parts)
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).ravel())) for m, _, _ in parts]
+        return pa.table({"subject": pa.repeat(g.column("subject")[0], n), "voxel": pa.array(np.concatenate([b * size + np.arange(len(m)) for m, b, _ in parts]).astype(np.int32)),
+                         "block": pa.array(np.concatenate([np.full(len(m), b) for m, _, b in parts]).astype(np.int32)), "c": pa.chunked_array(lists),
+                         "shrinkage": pa.repeat(g.column("shrinkage")[0], n)})
+
+    out = pairs.groupBy("subject", "i", "k").applyInArrow(correlate, f"subject {kinds['subject']}, voxel int, block int, c array<double>, shrinkage double")
+    return out.withColumn("first", F.col("block") * size)
+
+
+def voxel_connectivity(rows: DataFrame, ensemble: str = "average", channels: int = CHANNELS) -> DataFrame:
+    """CON4 with a row's blocks put together: (subject, voxel, c array<double>, shrinkage)."""
+    parts = F.array_sort(F.collect_list(F.struct("block", "c")))
+    out = voxel_connectivity_blocks(rows, ensemble, channels).groupBy("subject", "voxel").agg(parts.alias("_b"), F.first("shrinkage").alias("shrinkage"))
+    return out.select("subject", "voxel", F.flatten(F.transform("_b", lambda x: x["c"])).alias("c"), "shrinkage")
 
 
 def rest_connectivity(series: DataFrame, mode: str = "parcellation", labels: DataFrame | None = None,
@@ -171,7 +230,8 @@ def rest_connectivity(series: DataFrame, mode: str = "parcellation", labels: Dat
     if mode == "voxel":
         rows = series.groupBy("subject", "run", "t").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("voxel", "x"))), lambda s: s["x"]).alias("v"))
-        return voxel_connectivity(rows, ensemble).select("subject", F.col("voxel").alias("row"), F.posexplode("c").alias("voxel", "c"))
+        out = voxel_connectivity_blocks(rows, ensemble).select("subject", F.col("voxel").alias("row"), "first", F.posexplode("c").alias("_i", "c"))
+        return out.select("subject", "row", (F.col("first") + F.col("_i")).alias("voxel"), "c")
     raise ValueError(f"unknown mode {mode}")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.common import FLOOR
-from ..functions.moments import MAX_WIDTH, apply_matrix, collected, cross_moments, matrix
+from ..functions.moments import MAX_WIDTH, apply_matrix, collected, cross_moments, matrix, moment_blocks
 
 
 @dataclass
@@ -58,7 +58,7 @@ def solve(n: int, s: np.ndarray, g: np.ndarray, width: int, alpha: float, standa
 def fit_ridge(rows: DataFrame, alpha: float, x: str = "x", z: str = "z", standardize: bool = True, scaling=None) -> Encoder:
     """ENC1 (and ENC6 with channel targets): one encoder for all rows."""
     width = rows.select(F.size(x)).where(F.col(x).isNotNull()).first()[0]
-    (n, s, g), = collected(cross_moments(rows, [], [x, z]), []).values()
+    (n, s, g), = collected(moment_blocks(rows, [], [x, z]), []).values()
     return solve(n, s, g, width, alpha, standardize, scaling)
 
 
@@ -96,7 +96,7 @@ def fit_ridge_cv(rows: DataFrame, alphas, folds: int = 5, row: str = "row_idx",
     n = rows.count()
     folds = max(2, min(folds, n))
     width = rows.select(F.size(x)).first()[0]
-    parts = {k[0]: v for k, v in collected(cross_moments(rows.withColumn("_f", fold_of(row, n, folds)), ["_f"], [x, z]), ["_f"]).items()}
+    parts = {k[0]: v for k, v in collected(moment_blocks(rows.withColumn("_f", fold_of(row, n, folds)), ["_f"], [x, z]), ["_f"]).items()}
     total = tuple(sum(v[i] for v in parts.values()) for i in range(3))
     scores = []
     for alpha in alphas:

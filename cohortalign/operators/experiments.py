@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 import itertools
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import staged
-from ..functions.moments import apply_matrix, as_long, as_rows, collected, cross_moments
+from ..functions.moments import apply_matrix, as_long, as_rows, collected, moment_blocks
 from . import alignment as A
 from . import encoding as E
 from . import metrics as M
@@ -131,7 +133,7 @@ def loso_sweep(conn: DataFrame, responses: DataFrame, features: DataFrame, ks: l
 
         pooled = E.pooled_training(features, z.select("subject", "stim_id", "z"))
         width = features.select(F.size("x")).first()[0]
-        (n, s, g), = collected(cross_moments(pooled, [], ["x", "z"]), []).values()
+        (n, s, g), = collected(moment_blocks(pooled, [], ["x", "z"]), []).values()
         basis, rot = A.align_zero_shot(space, outside(conn), min_k)
         bases = A.bases_on_driver(basis)
         for a in alphas:
@@ -169,16 +171,50 @@ def running_best(trials: DataFrame, by: list[str] = []) -> DataFrame:
 def median_pruning(scores: DataFrame, startup: int = 5, warmup: int = 1, interval: int = 1, by: list[str] = []) -> DataFrame:
     """EXP6: (by, trial, step, score, prune): after the start-up trials, at steps from ``warmup`` on and at the
     interval, a trial is pruned whose best score so far is below the median of the scores that earlier complete trials
-    of the same study (columns ``by``) had at that step. scores(by, trial, step, score, state)."""
-    done = scores.where("state = 'COMPLETE'").select(*[F.col(c).alias(f"_{c}") for c in by], F.col("trial").alias("_t"), F.col("step").alias("_s"), F.col("score").alias("_v"))
-    own = scores.withColumn("_best", F.max("score").over(Window.partitionBy(*by, "trial").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
-    same = (F.col("_s") == F.col("step")) & (F.col("_t") < F.col("trial"))
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    earlier = own.join(done, same, "left")
-    m = earlier.groupBy(*by, "trial", "step", "score", "_best").agg(F.median("_v").alias("_m"), F.count("_v").alias("_n"))
-    at = (F.col("step") >= warmup) & ((F.col("step") - warmup) % interval == 0)
-    return m.select(*by, "trial", "step", "score", F.coalesce((F.col("_n") >= startup) & at & (F.col("_best") < F.col("_m")), F.lit(False)).alias("prune"))
+    of the same study (columns ``by``) had at that step. scores(by, trial, step, score, state).
+
+    The trials of a (study, step) pass once, in order, by two heaps that hold the lower and the upper half of the complete ones' scores,
+    so the work is linear log in the trials and no trial meets another."""
+    best = F.max("score").over(Window.partitionBy(*by, "trial").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    own = scores.select(*by, "step", "trial", "score", F.coalesce(F.col("state") == "COMPLETE", F.lit(False)).alias("_done"), best.cast("double").alias("_best"))
+    dealt = own.repartition(*by, "step").sortWithinPartitions(*by, "step", "trial")
+    k = len(by)
+
+    def run(batches):
+        at, trial, low, high, held = None, None, [], [], []
+        for b in batches:
+            keys = list(zip(*[b.column(i).to_pylist() for i in range(k + 1)]))
+            scores_ = b.column("score").cast("double").to_pylist()
+            out = []
+            for key, t, x, done, top in zip(keys, b.column("trial").to_pylist(), scores_, b.column("_done").to_pylist(), b.column("_best").to_pylist()):
+                if key != at:
+                    at, trial, low, high, held = key, t, [], [], []
+                elif t != trial:  # rows of one trial don't count for each other
+                    for v in held:
+                        halved(low, high, v)
+                    trial, held = t, []
+                n = len(low) + len(high)
+                step = key[-1]
+                due = n >= startup and step is not None and step >= warmup and (step - warmup) % interval == 0
+                out.append(bool(due and top is not None and top < middle(low, high)))
+                if done and x is not None:
+                    held.append(x)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*by, "trial", "step", "score")], pa.array(out, pa.bool_())], [*by, "trial", "step", "score", "prune"])
+
+    kinds = [f"`{c}` {own.schema[c].dataType.simpleString()}" for c in (*by, "trial", "step", "score")]
+    return dealt.mapInArrow(run, ", ".join([*kinds, "prune boolean"]))
+
+
+def halved(low: list, high: list, x: float) -> None:
+    """Puts x into the heaps of the lower half (negated) and the upper half, of equal size or the lower one longer by one."""
+    heapq.heappush(high, -heapq.heappushpop(low, -x))
+    if len(high) > len(low):
+        heapq.heappush(low, -heapq.heappop(high))
+
+
+def middle(low: list, high: list) -> float:
+    """The median; with no score yet nothing is below it."""
+    return float("-inf") if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2
 
 
 def fewshot_runs(files: DataFrame, dedupe: bool = False, path: str = "path", score: str = "median_r") -> DataFrame:

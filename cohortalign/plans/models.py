@@ -11,7 +11,7 @@ from ..operators import metrics as M
 from ..operators import rowjoins as J
 from ..operators import splits as S
 from ..sources import views as V
-from ..sources.views import query, rnd
+from ..sources.views import corr_sql, query, rnd
 
 R, K, MIN_K, ALPHA = 16, 8, 4, 10.0
 HELD = 4
@@ -68,6 +68,36 @@ def aln2(s, d):
     return A.svd_basis(conn(s, d), K, MIN_K).select("subject", "voxel", F.posexplode("p").alias("j", "p")).withColumn("p", rounded("p"))
 
 
+def aln2_orthonormal(s, d):
+    """Products of the columns of each subject's basis."""
+    p = A.svd_basis(conn(s, d), K, MIN_K)
+    dot = F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda i: F.transform("p", lambda x: x * F.get("p", i)))
+    rows = p.select("subject", F.posexplode(dot).alias("i", "row")).select("subject", "i", F.posexplode("row").alias("j", "x"))
+    return rows.groupBy("subject", "i", "j").agg(rounded(F.sum("x")).alias("product"))
+
+
+def aln2_variance(s, d):
+    """With all directions the squared lengths of the fingerprints are those of the connectivity."""
+    c = conn(s, d)
+    z = A.fingerprints(c, staged(A.svd_basis(c, R, MIN_K), "basis"))
+    kept = z.groupBy("subject").agg(F.sum(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)).alias("kept"))
+    return kept.select("subject", rounded("kept", 4).alias("total"))
+
+
+def aln2_range_finder(s, d):
+    """The range finder's basis of the voxel-to-voxel connectivity beside that from the Gram: sines of the angles between, to four places."""
+    rows = s_voxel(s, d)
+    a, b = [A.svd_basis_rows(rows, 4, MIN_K, max_gram=g) for g in (0, 64)]
+    both = a.join(b.withColumnRenamed("p", "q"), ["subject", "voxel"])
+    off = F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+    return both.groupBy("subject").agg(F.count("*").alias("channels"), rounded(F.sqrt(F.sum(off)), 4).alias("apart"))
+
+
+def s_voxel(s, d):
+    rows = series(s, d).groupBy("subject", "run", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("voxel", "x"))), lambda x: x["x"]).alias("v"))
+    return staged(C.voxel_connectivity(rows).select("subject", "voxel", "c"), "connectivity")
+
+
 def aln3(s, d):
     return A.sign_fix(V.cells(s, d).select("subject", "voxel", F.col("stim_id").cast("int").alias("j"), F.col("val").alias("p"))).withColumn("p", rounded("p"))
 
@@ -272,7 +302,8 @@ def exp19_train(s, d):
     return s.createDataFrame([(sp.k, sp.mode, sp.rounds, len(sp.rotations), len(enc.w))], "k int, mode string, rounds int, subjects int, features int")
 
 
-QUERIES = {"ALN1_usable_rank": aln1, "ALN2_svd_basis": aln2, "ALN3_sign_fix": aln3, "ALN4_procrustes": aln4, "ALN5_project": aln5, "ALN6_hybrid_rotations": aln6,
+QUERIES = {"ALN1_usable_rank": aln1, "ALN2_svd_basis": aln2, "ALN2_orthonormal": aln2_orthonormal, "ALN2_variance": aln2_variance,
+           "ALN2_range_finder": aln2_range_finder, "ALN3_sign_fix": aln3, "ALN4_procrustes": aln4, "ALN5_project": aln5, "ALN6_hybrid_rotations": aln6,
            "ALN7_strict_rotations": aln7, "ALN8_fingerprint_template": aln8, "ALN9_shared_space": aln9, "ALN10_zero_shot": aln10, "ALN11_few_shot": aln11,
            "ALN12_shared_items": aln12, "ALN12_dropped_items": aln12_dropped, "ENC1_fit_ridge": enc1, "ENC3_predict": enc3, "ENC4_predict_voxels": enc4,
            "ENC5_fine_tune": enc5, "ENC6_pooled_baseline": enc6, "ENC7_ridge_cv": enc7, "ENC8_ridge_blocks": enc8, "ENC8_ridge_wide": enc8_wide, "ENC9_ridge_tokens": enc9,
@@ -280,7 +311,17 @@ QUERIES = {"ALN1_usable_rank": aln1, "ALN2_svd_basis": aln2, "ALN3_sign_fix": al
            "EXP2_ablation_summary": exp2_summary, "EXP4_loso_sweep": exp4, "EXP4_sweep_objective": exp4_objective, "EXP17_feature_benchmark": exp17,
            "EXP18_measured_benchmark": exp18, "EXP19_prepare_task": exp19_task, "EXP19_prepare_rest": exp19_rest, "EXP19_train": exp19_train}
 
+_SER = """ser as (select (user_id % 5)::int as subject, user_id as run, ch::int as voxel, row_number() over (partition by user_id, ch order by ts, event_id) - 1 as t,
+  "value" * (((ch * 37 + event_id * 11) % 101) + 1) / 101.0::double as x from events, unnest(range(0, 64)) u(ch)),
+par as (select subject, run, t, voxel // 4 as row, avg(x) as m from ser group by 1, 2, 3, 4),
+cc as (select subject, run, row, voxel, """ + corr_sql("m", "x") + """ as c from par join ser using (subject, run, t) group by 1, 2, 3, 4),
+con as (select subject, row, voxel, avg(c) as c from cc group by 1, 2, 3)"""
+
 ORACLE_SQL = {
+    "ALN2_orthonormal": "select r_regionkey::int as subject, i::int as i, j::int as j, case when i = j then 1.0 else 0.0 end::double as product "
+                        "from region, unnest(range(0, 8)) a(i), unnest(range(0, 8)) b(j)",
+    "ALN2_variance": f"with {_SER} select subject, {rnd('sum(c * c)', 4)} as total from con group by 1",
+    "ALN2_range_finder": "select r_regionkey::int as subject, 64 as channels, 0.0::double as apart from region",
     "ALN1_usable_rank": "select r_regionkey::int as subject, 16 as n_rows, 64 as n_voxels, 8 as usable, 8 as k from region",
     "ALN3_sign_fix": query("cells", f""", c as (select subject, voxel, stim_id::int as j, val as p from cells),
 t as (select subject, j, case when arg_max(p, abs(p) * 1e6 - voxel * 1e-9) < 0 then -1 else 1 end as s from c group by 1, 2)

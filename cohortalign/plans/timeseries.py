@@ -188,7 +188,21 @@ pr as (select k.subject, k.run, k.label as own, voxel, pp.label, covar_pop(x, p)
   from kp k join pp on k.subject = pp.subject and k.run = pp.run and k.t = pp.t group by 1, 2, 3, 4, 5)"""
 _REG = query("ts_ motion", f"""select run, voxel, t, {rnd('''x - avg(x) over w - coalesce(covar_pop(p1, x) over w / nullif(var_pop(p1) over w, 0), 0) * (p1 - avg(p1) over w)''')} as x
 from ts_ join motion using (run, t) window w as ({_W})""")
+#: Ledoit-Wolf shrinkage of each run's covariance, and the correlation from it.
+_LW = """ce as (select subject, run, voxel, t, x - avg(x) over (partition by run, voxel) as x from cser),
+em as (select a.subject, a.run, a.voxel, b.voxel as other, sum(a.x * b.x) / count(*) as e, count(*) as n from ce a join ce b on a.run = b.run and a.t = b.t group by 1, 2, 3, 4),
+qu as (select run, sum(s * s) as quart from (select run, t, sum(x * x) as s from ce group by 1, 2) group by 1),
+sz as (select subject, run, any_value(n) as n, count(distinct voxel) as p, sum(e * e) as e2, sum(e) filter (where voxel = other) as tr from em group by 1, 2),
+sh as (select run, tr / p as mu, (e2 - 2 * tr * tr / p + tr * tr / p) / p as delta, (quart / n - e2) / (p * n) as beta from sz join qu using (run)),
+sk as (select run, mu, case when least(beta, delta) = 0 then 0 else least(beta, delta) / delta end as s from sh),
+cv as (select subject, run, voxel, other, (1 - s) * e + case when voxel = other then s * mu else 0 end as c from em join sk using (run)),
+dg as (select run, voxel, greatest(sqrt(c), 1e-10) as d from cv where voxel = other)"""
+_CON4 = query("ts_", f""", cser as (select (run % 4)::int as subject, * from ts_), {_LW}
+select cv.subject, cv.voxel, cv.other, {rnd('avg(c / a.d / b.d)')} as c from cv join dg a on cv.run = a.run and cv.voxel = a.voxel
+join dg b on cv.run = b.run and cv.other = b.voxel group by 1, 2, 3""")
+
 ORACLE_SQL = {
+    "CON4_voxel_connectivity": _CON4,
     "TS1_trim": query("ts_", f"select run, voxel, t - 5 as t, {rnd('x')} as x from ts_ where t >= 5"),
     "TS2_length_gate": query("ts_", "select run, voxel, count(*) as n from ts_ group by 1, 2 having count(*) >= 66"),
     "TS3_detrend": query("ts_", f"""select run, voxel, t, {rnd('x - (avg(x) over w + coalesce(covar_pop(t, x) over w / nullif(var_pop(t) over w, 0), 0) * (t - avg(t) over w))')} as x

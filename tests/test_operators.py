@@ -427,11 +427,11 @@ def test_moments_are_added_block_by_block(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 40))
     rows = spark.createDataFrame([(int(i % 3), [float(v) for v in r]) for i, r in enumerate(x)], "k int, v array<double>").repartition(16)
-    got = moments.collected(moments.cross_moments(rows, ["k"], ["v"]), ["k"])
+    got = moments.collected(moments.moment_blocks(rows, ["k"], ["v"]), ["k"])
     for k in range(3):
         m = x[k::3]
         n, s, g = got[(k,)]
         assert n == 100 and np.allclose(s, m.sum(0)) and np.allclose(g, m.T @ m)
-    (n, s, g), = moments.collected(moments.cross_moments(rows, [], ["v"]), []).values()
+    (n, s, g), = moments.collected(moments.moment_blocks(rows, [], ["v"]), []).values()
     assert n == 300 and np.allclose(g, x.T @ x)
-    assert moments.collected(moments.cross_moments(rows.limit(0), [], ["v"]), []) == {}
+    assert moments.collected(moments.moment_blocks(rows.limit(0), [], ["v"]), []) == {}
