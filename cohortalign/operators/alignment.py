@@ -22,7 +22,7 @@ from ..functions.moments import SUMS, added, apply_matrix, as_rows, collected, g
 
 MAX_GRAM = 1000  # rows of connectivity up to which their Gram is made
 MAX_SKINNY = 64_000_000  # numbers of all subjects' blocks of vectors in the range finder
-MAX_MODEL = 64_000_000  # numbers of all subjects' bases that may be sent to the executors
+CHANNELS, SALTS = 1024, 8  # channels in a block of a basis, and tasks that a block's rows are dealt to
 
 
 def usable_rank(conn: DataFrame, k: int = 50) -> DataFrame:
@@ -142,19 +142,69 @@ def procrustes(pairs: DataFrame, source: str, target: str, keys: list[str] = [])
     return {k: checked_rotation(*v) for k, v in collected(moment_blocks(pairs, keys, [source, target]), keys).items()}
 
 
-def bases_on_driver(basis: DataFrame) -> dict[int, np.ndarray]:
-    """Each subject's basis as a matrix, channels in order; of a checked size."""
-    size = basis.select(F.sum(F.size("p"))).first()[0] or 0
-    if size > MAX_MODEL:
-        raise ValueError(f"the bases hold {size} numbers, more than {MAX_MODEL}")
-    rows = as_rows(basis, ["subject"], "voxel", "p", "m").collect()
-    return {r["subject"]: np.array(r["m"]) for r in rows}
-
-
-def project(responses: DataFrame, bases: dict[int, np.ndarray], rotations: dict[int, np.ndarray] | None = None, column: str = "v") -> DataFrame:
-    """ALN5: adds z = v P, rotated where a rotation is given."""
-    maps = {s: p if rotations is None else p @ rotations[s] for s, p in bases.items() if rotations is None or s in rotations}
-    return apply_matrix(responses, "subject", maps, column, "z")
+def _partial_products(rows: DataFrame, basis: DataFrame, column: str, back: bool) -> DataFrame:
+    """(the other columns of rows, _b, z): each row's array times its subject's basis, (subject, voxel, p), block of channels by block: a
+    sum's part for each block, or (``back``) the block's channels from a row of k values.
+
+    The blocks of a basis and the rows that meet them are dealt to the same tasks, in order, the block first; a task holds one block at a time."""
+    names = [c for c in rows.columns if c != column]
+    k_rows = basis.withColumn("_b", (F.col("voxel") / CHANNELS).cast("int"))
+    blocks = k_rows.groupBy("subject", "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("voxel", "p"))), lambda x: x["p"]).alias("_m"))
+    blocks = staged(blocks, "basis-blocks")
+    span = blocks.groupBy("subject").agg(F.max("_b").alias("_last"))
+    cut = rows.withColumnRenamed(column, "_v").join(F.broadcast(span) if span.limit(10_001).count() <= 10_000 else span, "subject")
+    cut = cut.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    if not back:
+        cut = cut.withColumn("_v", F.slice("_v", F.col("_b") * CHANNELS + 1, CHANNELS))
+    salt = F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int")
+    kept = F.struct(*[F.col(c) for c in names])
+    head = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    kind = rows.select(kept.alias("_kept")).schema["_kept"].dataType
+    both = head.select("subject", "_b", "_salt", F.lit(0).alias("_side"), "_m", F.lit(None).cast("array<double>").alias("_v"), F.lit(None).cast(kind).alias("_kept")).unionByName(
+        cut.select("subject", "_b", salt.alias("_salt"), F.lit(1).alias("_side"), F.lit(None).cast("array<array<double>>").alias("_m"), F.col("_v").cast("array<double>").alias("_v"), kept.alias("_kept")))
+    dealt = both.repartition("subject", "_b", "_salt").sortWithinPartitions("subject", "_b", "_salt", "_side")
+
+    def run(batches):
+        m = None
+        for b in batches:
+            side = b.column("_side").to_numpy()
+            for at, end in _runs(side):
+                if side[at] == 0:
+                    m = np.array(b.column("_m")[end - 1].as_py())
+                    continue
+                part = b.slice(at, end - at)
+                v = matrix(part.column("_v"))
+                z = v @ (m.T if back else m[:v.shape[1]])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1]), pa.array(np.ascontiguousarray(z).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("_kept"), part.column("_b"), flat], ["_kept", "_b", "z"])
+
+    out = dealt.mapInArrow(run, f"_kept {kind.simpleString()}, _b int, z array<double>")
+    return out.select("_kept.*", "_b", "z")
+
+
+def _runs(side: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal values; blocks, which are 0, each by itself."""
+    cuts = [0, *(np.flatnonzero((side[1:] != side[:-1]) | (side[1:] == 0)) + 1).tolist(), len(side)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
+def project(responses: DataFrame, basis: DataFrame, rotations: dict[int, np.ndarray] | None = None, column: str = "v") -> DataFrame:
+    """ALN5: adds z = v P, rotated where a rotation is given. Rows of subjects without a basis or rotation go. Parts of the sum
+    are added up by row, so rows need columns besides the array that tell them apart."""
+    names = [c for c in responses.columns if c != column]
+    parts = _partial_products(responses, basis, column, False)
+    z = parts.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("_b", "z"))).alias("_z"))
+    z = z.withColumn("_z", F.transform("_z", lambda x: x["z"]))
+    z = z.select(*names, F.aggregate(F.slice("_z", 2, F.size("_z")), F.get("_z", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda y, w: y + w)).alias("z"))
+    return z if rotations is None else apply_matrix(z.withColumnRenamed("z", "_y"), "subject", rotations, "_y", "z").drop("_y")
+
+
+def back_projected(rows: DataFrame, basis: DataFrame, column: str = "z", out: str = "p") -> DataFrame:
+    """Rows of k values times the transposed basis of their subject: adds all channels, put together from blocks."""
+    names = [c for c in rows.columns if c != column]
+    parts = _partial_products(rows, basis, column, True)
+    held = F.transform(F.array_sort(F.collect_list(F.struct("_b", "z"))), lambda x: x["z"])
+    return parts.groupBy(*names).agg(F.flatten(held).alias(out))
 
 
 def iterate_template(gram: np.ndarray, sums: np.ndarray, n: int, subjects: list, k: int, max_iters: int = 20, tol: float = 1e-5):
@@ -244,7 +294,7 @@ def fit_shared_space(conn: DataFrame, responses: DataFrame | None, k: int = 50,
     if mode == "hybrid":
         if responses is None:
             raise ValueError("the hybrid mode needs shared responses")
-        z, item = project(responses, bases_on_driver(basis)), "stim_id"
+        z, item = project(responses, basis), "stim_id"
     else:
         z, item = fp, "row"
     subjects, n, s, g = aligned_moments(z, item)
@@ -272,7 +322,7 @@ def align_few_shot(space: SharedSpace, conn: DataFrame, shots: DataFrame, min_k:
     if space.mode == "strict":
         raise ValueError("few-shot alignment needs an item template")
     basis = staged(svd_basis(conn, space.k, min_k), "basis")
-    z = project(shots, bases_on_driver(basis)).join(space.template.withColumnRenamed("z", "target"), "stim_id")
+    z = project(shots, basis).join(space.template.withColumnRenamed("z", "target"), "stim_id")
     return basis, {s: r for (s,), r in procrustes(z, "z", "target", ["subject"]).items()}
 
 

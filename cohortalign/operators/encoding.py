@@ -10,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.common import FLOOR
-from ..functions.moments import MAX_WIDTH, apply_matrix, collected, cross_moments, matrix, moment_blocks
+from ..functions.common import FLOOR, staged
+from ..functions.moments import MAX_WIDTH, SUMS, added, apply_matrix, collected, cross_moments, gathered, matrix, moment_blocks, sent
+from .alignment import back_projected
+
+SALTS = 8  # tasks that the rows of a block of targets are dealt to
 
 
 @dataclass
@@ -68,12 +71,10 @@ def predict(rows: DataFrame, encoder: Encoder, x: str = "x", out: str = "z") ->
     return apply_matrix(rows, None, {None: w}, x, out, {None: b})
 
 
-def predict_voxels(rows: DataFrame, encoder: Encoder, bases: dict[int, np.ndarray], rotations: dict[int, np.ndarray], x: str = "x",
-                   out: str = "p") -> DataFrame:
-    """ENC4: predicted channels z R' P' of each row's subject."""
-    w, b = encoder.linear()
-    back = {s: rotations[s].T @ p.T for s, p in bases.items() if s in rotations}
-    return apply_matrix(rows, "subject", {s: w @ m for s, m in back.items()}, x, out, {s: b @ m for s, m in back.items()})
+def predict_voxels(rows: DataFrame, encoder: Encoder, basis: DataFrame, rotations: dict[int, np.ndarray], x: str = "x", out: str = "p") -> DataFrame:
+    """ENC4: predicted channels z R' P' of each row's subject, by blocks of channels. rows(subject, .., x): columns besides x tell rows apart."""
+    z = predict(rows, encoder, x, "_z").drop(x)
+    return back_projected(apply_matrix(z, "subject", {s: r.T for s, r in rotations.items()}, "_z", "_u").drop("_z"), basis, "_u", out)
 
 
 def fine_tune(encoder: Encoder, rows: DataFrame, alpha: float, blend: float = 0.5, x: str = "x", z: str = "z") -> Encoder:
@@ -129,42 +130,76 @@ def fit_ridge_blocks(rows: DataFrame, key: str, alpha: float, x: str = "x", z: s
 
 
 def predict_blocks(rows: DataFrame, models: DataFrame, key: str, x: str = "x") -> DataFrame:
-    """Predictions of every block for every row: (row columns, key, p)."""
-    both = rows.join(models, key) if key in rows.columns else rows.crossJoin(models)  # rows x blocks is the result
-    dot = F.zip_with("b", F.sequence(F.lit(0), F.size("b") - 1), lambda b, j: F.aggregate(
-        F.zip_with(F.col(x), F.col("w"), lambda v, w: v * F.element_at(w, j + 1)), b, lambda a, c: a + c))
-    return both.withColumn("p", dot).drop("w", "b")
+    """Predictions of every block for every row, or of the row's own block if it has one: (row columns, key, p). models(key, w, b).
+
+    A block's weights and the rows that it predicts are dealt to the same tasks, the weights first, and multiplied as matrices; a task holds the weights
+    of one block at a time, and no weights ride on rows."""
+    names = rows.columns if key in rows.columns else [*rows.columns, key]
+    if key not in rows.columns:
+        known = models.select(key)
+        rows = rows.crossJoin(F.broadcast(known) if known.limit(10_001).count() <= 10_000 else known)  # rows x blocks is the result
+    kept = F.struct(*[F.col(c) for c in names])
+    kind = rows.select(kept.alias("_kept")).schema["_kept"].dataType
+    head = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(
+        F.col(key).alias("_key"), "_salt", F.lit(0).alias("_side"), F.col("w").alias("_w"), F.col("b").alias("_b"), F.lit(None).cast("array<double>").alias("_x"), F.lit(None).cast(kind).alias("_kept"))
+    own = rows.where(F.col(x).isNotNull()).select(
+        F.col(key).alias("_key"), F.pmod(F.xxhash64(x), F.lit(SALTS)).cast("int").alias("_salt"), F.lit(1).alias("_side"), F.lit(None).cast("array<array<double>>").alias("_w"),
+        F.lit(None).cast("array<double>").alias("_b"), F.col(x).cast("array<double>").alias("_x"), kept.alias("_kept"))
+    dealt = head.unionByName(own).repartition("_key", "_salt").sortWithinPartitions("_key", "_salt", "_side")
+
+    def run(batches):
+        w = at_key = None
+        for b in batches:
+            keys, side = b.column("_key").to_pylist(), b.column("_side").to_pylist()
+            at = 0
+            while at < len(side):
+                end = at + 1
+                if side[at] == 0:
+                    w, c, at_key = np.array(b.column("_w")[at].as_py()), np.array(b.column("_b")[at].as_py()), keys[at]
+                else:
+                    while end < len(side) and side[end] == 1 and keys[end] == keys[at]:
+                        end += 1
+                    if keys[at] == at_key and w is not None:  # rows of a block without weights go
+                        part = b.slice(at, end - at)
+                        p = matrix(part.column("_x")) @ w + c
+                        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
+                        yield pa.RecordBatch.from_arrays([part.column("_kept"), flat], ["_kept", "_p"])
+                at = end
+
+    out = dealt.mapInArrow(run, f"_kept {kind.simpleString()}, _p array<double>")
+    return out.select("_kept.*", F.col("_p").alias("p"))
 
 
 def fit_ridge_wide(rows: DataFrame, alpha: float, x: str = "x", z: str = "z", tol: float = 1e-8, max_iters: int = 200) -> Encoder:
-    """Ridge with intercept for features too many for a Gram: conjugate gradients on all
-    targets at once, each step one pass that sums X'(X D) over Arrow blocks."""
-    rows = rows.select(F.col(x).cast("array<double>").alias("x"), F.col(z).cast("array<double>").alias("z"))
-    mx, mz = _means(rows)
+    """Ridge with intercept for features too many for a Gram: conjugate gradients on all targets at once. The input is staged
+    once; each step is one pass that sums X'(X D) over Arrow blocks, and what a step sends is arrays, added up block by block."""
+    rows = staged(rows.where(F.col(x).isNotNull() & F.col(z).isNotNull()).select(F.col(x).cast("array<double>").alias("x"), F.col(z).cast("array<double>").alias("z")), "wide")
 
-    def summed(function, shape) -> np.ndarray:
-        """Sum over all rows of function(centred x block, centred z block)."""
+    def summed(function) -> tuple[int, np.ndarray]:
+        """Number of rows and sum over them of function(x block, z block), a matrix."""
         def part(batches):
-            total = np.zeros(shape)
+            n, total = 0, 0.0
             for b in batches:
                 if b.num_rows:
-                    total += function(matrix(b.column(0)) - mx, matrix(b.column(1)) - mz)
-            yield pa.RecordBatch.from_arrays([pa.array(range(shape[0]), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "v"])
-
-        out = rows.mapInArrow(part, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "x"))
-        m = np.zeros(shape)
-        for r in out.groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
-            m[r["i"], r["j"]] = r["x"]
-        return m
-
-    shape = (len(mx), len(mz))
-    r = summed(lambda a, b: a.T @ b, shape)
+                    n, total = n + b.num_rows, total + function(matrix(b.column(0)), matrix(b.column(1)))
+            if n:
+                yield from sent({}, n, np.zeros(0), total)
+
+        out = gathered(added(rows.mapInArrow(part, f"_block int, {SUMS}"), []), [])
+        n, _, g = next(iter(out.values()))
+        return n, g
+
+    width, targets = rows.select(F.size("x"), F.size("z")).first()
+    n, sums = summed(lambda a, b: np.concatenate([a.sum(0), b.sum(0)])[None, :])
+    mx, mz = sums[:width] / n, sums[width:] / n
+    shape = (width, targets)
+    r = summed(lambda a, b: (a - mx).T @ (b - mz))[1].reshape(shape)
     w, d, rr = np.zeros(shape), r.copy(), (r * r).sum(0)
     start = np.maximum(rr, 1e-300)
     for _ in range(max_iters):
         if (rr <= tol ** 2 * start).all():
             break
-        q = summed(lambda a, b, d=d: a.T @ (a @ d), shape) + alpha * d
+        q = summed(lambda a, b, d=d: (a - mx).T @ ((a - mx) @ d))[1].reshape(shape) + alpha * d
         step = rr / np.maximum((d * q).sum(0), 1e-300)
         w, r = w + step * d, r - step * q
         new = (r * r).sum(0)
@@ -172,12 +207,6 @@ def fit_ridge_wide(rows: DataFrame, alpha: float, x: str = "x", z: str = "z", to
     return Encoder(w, mz, mx, np.ones(len(mx)))
 
 
-def _means(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    mean = lambda c: np.array([r[1] for r in sorted(
-        rows.select(F.posexplode(c).alias("i", "v")).groupBy("i").agg(F.avg("v")).collect())])
-    return mean("x"), mean("z")
-
-
 def fit_any_ridge(rows: DataFrame, alpha: float, max_width: int = MAX_WIDTH) -> Encoder:
     """Gram below ``max_width`` columns in all, conjugate gradients above; centred features."""
     width = rows.select(F.size("x") + F.size("z")).first()[0]

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import staged
-from ..functions.moments import apply_matrix, as_long, as_rows, collected, moment_blocks
+from ..functions.moments import as_long, as_rows
 from . import alignment as A
 from . import encoding as E
 from . import metrics as M
+from . import scoring as Q
 from . import trials as T
 
 
@@ -29,7 +30,7 @@ def train(conn: DataFrame, responses: DataFrame, features: DataFrame, k: int = 5
     shared = A.shared_items(responses)
     common = responses.join(shared.select("stim_id"), "stim_id", "left_semi")
     space = A.fit_shared_space(conn, common, k, min_k, mode)
-    latents = A.project(responses, A.bases_on_driver(space.basis), space.rotations)
+    latents = A.project(responses, space.basis, space.rotations)
     pooled = E.pooled_training(features, latents.select("subject", "stim_id", "z"))
     return space, E.fit_ridge(pooled, alpha)
 
@@ -40,20 +41,43 @@ def predict_zero_shot(space, encoder, conn: DataFrame, measured: DataFrame, feat
     basis, rot = A.align_zero_shot(space, conn, min_k)
     rows = measured if eval_rows is None else measured.join(eval_rows.select("subject", "stim_id"), ["subject", "stim_id"], "left_semi")
     wanted = rows.select("subject", "stim_id").join(features, "stim_id")
-    return _long_scores(rows, E.predict_voxels(wanted, encoder, A.bases_on_driver(basis), rot))
+    return _long_scores(rows, E.predict_voxels(wanted, encoder, basis, rot))
 
 
-def predict_few_shot(space, encoder, conn: DataFrame, measured: DataFrame, features: DataFrame, shots: DataFrame, eval_rows: DataFrame,
-                     fine_tune_alpha: float | None = None, min_k: int = 10) -> DataFrame:
-    """EXP1: the same with a rotation from calibration rows and, if an alpha is given, an encoder refit on them."""
+def _few_shot(space, encoder, conn: DataFrame, measured: DataFrame, features: DataFrame, shots: DataFrame, fine_tune_alpha: float | None, min_k: int):
+    """Basis, rotations and encoder of new subjects from calibration rows."""
     calibration = measured.join(shots.select("subject", "stim_id"), ["subject", "stim_id"], "left_semi")
     basis, rot = A.align_few_shot(space, conn, calibration, min_k)
-    bases = A.bases_on_driver(basis)
     if fine_tune_alpha is not None:
-        z = A.project(calibration, bases, rot).join(features, "stim_id")
+        z = A.project(calibration.select("subject", "stim_id", "v"), basis, rot).join(features, "stim_id")
         encoder = E.fine_tune(encoder, z, fine_tune_alpha)
+    return basis, rot, encoder
+
+
+def predict_few_shot(space, encoder, conn: DataFrame, measured: DataFrame, features: DataFrame, shots: DataFrame, eval_rows: DataFrame,
+                     fine_tune_alpha: float | None = None, min_k: int = 10) -> DataFrame:
+    """EXP1: the same with a rotation from calibration rows and, if an alpha is given, an encoder refit on them."""
+    basis, rot, encoder = _few_shot(space, encoder, conn, measured, features, shots, fine_tune_alpha, min_k)
     rows = measured.join(eval_rows.select("subject", "stim_id"), ["subject", "stim_id"], "left_semi")
-    return _long_scores(rows, E.predict_voxels(rows.select("subject", "stim_id").join(features, "stim_id"), encoder, bases, rot))
+    return _long_scores(rows, E.predict_voxels(rows.select("subject", "stim_id").join(features, "stim_id"), encoder, basis, rot))
+
+
+def _evaluated(measured: DataFrame, features: DataFrame, eval_rows: DataFrame | None) -> DataFrame:
+    rows = measured if eval_rows is None else measured.join(eval_rows.select("subject", "stim_id"), ["subject", "stim_id"], "left_semi")
+    return rows.select("subject", "stim_id", "v").join(features.select("stim_id", "x"), "stim_id")
+
+
+def score_zero_shot(space, encoder, conn: DataFrame, measured: DataFrame, features: DataFrame, eval_rows: DataFrame | None = None, min_k: int = 10) -> DataFrame:
+    """EXP1: (subject, voxel, r) of new subjects aligned by fingerprint, from cross-products; no prediction is written."""
+    basis, rot = A.align_zero_shot(space, conn, min_k)
+    return Q.rotated_scores(_evaluated(measured, features, eval_rows), encoder, basis, {s: [r] for s, r in rot.items()}).drop("g")
+
+
+def score_few_shot(space, encoder, conn: DataFrame, measured: DataFrame, features: DataFrame, shots: DataFrame, eval_rows: DataFrame,
+                   fine_tune_alpha: float | None = None, min_k: int = 10) -> DataFrame:
+    """EXP1: the same after calibration."""
+    basis, rot, encoder = _few_shot(space, encoder, conn, measured, features, shots, fine_tune_alpha, min_k)
+    return Q.rotated_scores(_evaluated(measured, features, eval_rows), encoder, basis, {s: [r] for s, r in rot.items()}).drop("g")
 
 
 def fewshot_ablation(space, encoder, conn: DataFrame, measured: DataFrame, features: DataFrame, candidates: DataFrame, eval_rows: DataFrame,
@@ -61,14 +85,15 @@ def fewshot_ablation(space, encoder, conn: DataFrame, measured: DataFrame, featu
     """EXP2: (n_shots, seed, median_r): every (level, seed) is a key of one grid job. Level 0 is
     zero-shot and run once; levels are clamped to the pool, as their repeats are then equal.
 
-    The basis and the projected candidates are made once; a grid row only selects calibration rows,
-    whose cross-products with the template give its rotation.
+    The basis and the projected candidates are made once; a grid row only selects calibration rows, whose cross-products with the template
+    give its rotation. All rotations are scored from one set of cross-products of the evaluation rows, so a grid point
+    adds k x k numbers, not predictions.
     """
     spark = measured.sparkSession
     basis, zero = A.align_zero_shot(space, conn, min_k)
-    bases = A.bases_on_driver(basis)
+    basis = staged(basis, "ablation-basis")
     pool = candidates.join(eval_rows.select("subject", "row_idx"), ["subject", "row_idx"], "left_anti")
-    z = A.project(measured, bases).select("subject", "stim_id", "z").join(space.template.withColumnRenamed("z", "target"), "stim_id")
+    z = A.project(measured.select("subject", "stim_id", "v"), basis).join(space.template.withColumnRenamed("z", "target"), "stim_id")
     z = staged(z.join(pool.select("subject", "stim_id", "row_idx"), ["subject", "stim_id"]), "ablation")
     grid = spark.createDataFrame([(int(n), int(s)) for n in shots if n > 0 for s in seeds], "n_shots int, seed int")
     key = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("seed").cast("string"), F.lit("0"), F.col("subject").cast("string"),
@@ -78,17 +103,13 @@ def fewshot_ablation(space, encoder, conn: DataFrame, measured: DataFrame, featu
     rotations = A.procrustes(drawn, "z", "target", ["subject", "n_shots", "seed"])
     if 0 in shots:
         rotations |= {(s, 0, 0): r for s, r in zero.items()}
-    w, b = encoder.linear()
-    rows = measured.join(eval_rows.select("subject", "stim_id"), ["subject", "stim_id"], "left_semi")
-    levels = spark.createDataFrame([(int(s), f"{s}/{n}/{seed}", n, seed) for s, n, seed in rotations], "subject int, g string, n_shots int, seed int")
-    wanted = rows.select("subject", "stim_id", "v").join(features, "stim_id").join(F.broadcast(levels), "subject")
-    back = {f"{s}/{n}/{seed}": r.T @ bases[s].T for (s, n, seed), r in rotations.items()}
-
-    p = apply_matrix(wanted, "g", {g: w @ m for g, m in back.items()}, "x", "p", {g: b @ m for g, m in back.items()})
-    cells = p.select("subject", "n_shots", "seed", "stim_id", F.posexplode(F.arrays_zip(F.col("v").alias("y"), F.col("p").alias("p"))).alias("voxel", "c"))
-    cells = cells.select("subject", "n_shots", "seed", "stim_id", "voxel", F.col("c.y").alias("y"), F.col("c.p").alias("p"))
-    corr = M.voxelwise_correlation(cells, ["subject", "n_shots", "seed"])
-    return M.correlation_summary(corr, ["subject", "n_shots", "seed"])
+    by_subject: dict = {}
+    for (s, n, seed), r in sorted(rotations.items()):
+        by_subject.setdefault(s, []).append((n, seed, r))
+    scores = Q.rotated_scores(_evaluated(measured, features, eval_rows), encoder, basis, {s: [r for _, _, r in found] for s, found in by_subject.items()})
+    levels = spark.createDataFrame([(int(s), g, int(n), int(seed)) for s, found in by_subject.items() for g, (n, seed, _) in enumerate(found)],
+                                   "subject int, g int, n_shots int, seed int")
+    return Q.summary(scores, ["subject", "g"]).join(F.broadcast(levels), ["subject", "g"]).drop("g")  # a row a grid point
 
 
 def ablation_summary(scores: DataFrame) -> DataFrame:
@@ -110,8 +131,8 @@ def backbone_summary(results: DataFrame) -> DataFrame:
 def loso_sweep(conn: DataFrame, responses: DataFrame, features: DataFrame, ks: list[int], alphas: list[float], min_k: int = 2,
                train_function=None, predict_function=None) -> DataFrame:
     """EXP4: (k, alpha, fold, score) for a grid, each subject held out once; score is the zero-shot median r.
-    Spaces depend on (k, fold) only and are fitted once for all alphas; the pooled moments of a
-    space are reused for each alpha. ``train_function(fold data, k)`` and ``predict_function`` may replace the defaults."""
+    All points come from the same passes (``scoring.loso_scores``). ``train_function(fold data, k, alpha)`` and ``predict_function`` may replace
+    that; they are called for each point."""
     spark = responses.sparkSession
     subjects = sorted(r[0] for r in responses.select("subject").distinct().collect())
     if len(subjects) < 2:
@@ -119,29 +140,14 @@ def loso_sweep(conn: DataFrame, responses: DataFrame, features: DataFrame, ks: l
     bounds = [a for a in alphas if a <= 0] + [k for k in ks if k < min_k]
     if bounds:
         raise ValueError(f"parameters out of bounds: {bounds}")
-    out = []
-    for held, k in itertools.product(subjects, ks):
-        inside = lambda df: df.where(F.col("subject") != held)
-        outside = lambda df: df.where(F.col("subject") == held)
-        if train_function is not None:
-            out += [(int(k), float(a), int(held), float(predict_function(train_function(inside(responses), k, a), outside(responses)))) for a in alphas]
-            continue
-        shared = A.shared_items(inside(responses))
-        common = inside(responses).join(shared.select("stim_id"), "stim_id", "left_semi")
-        space = A.fit_shared_space(inside(conn), common, k, min_k)
-        z = A.project(inside(responses), A.bases_on_driver(space.basis), space.rotations)
-
-        pooled = E.pooled_training(features, z.select("subject", "stim_id", "z"))
-        width = features.select(F.size("x")).first()[0]
-        (n, s, g), = collected(moment_blocks(pooled, [], ["x", "z"]), []).values()
-        basis, rot = A.align_zero_shot(space, outside(conn), min_k)
-        bases = A.bases_on_driver(basis)
-        for a in alphas:
-            enc = E.solve(n, s, g, width, a)
-            rows = outside(responses)
-            p = E.predict_voxels(rows.select("subject", "stim_id").join(features, "stim_id"), enc, bases, rot)
-            r = M.correlation_summary(M.voxelwise_correlation(_long_scores(rows, p), ["subject"]), ["subject"]).first()
-            out.append((int(k), float(a), int(held), float(r["median_r"])))
+    grid = [(int(k), float(a)) for k in ks for a in alphas]
+    if train_function is None:
+        out = Q.loso_scores(conn, responses, features, grid, min_k)
+    else:
+        out = []
+        for held, (k, a) in itertools.product(subjects, grid):
+            model = train_function(responses.where(F.col("subject") != held), k, a)
+            out.append((k, a, int(held), float(predict_function(model, responses.where(F.col("subject") == held)))))
     return spark.createDataFrame(out, "k int, alpha double, fold int, score double")
 
 

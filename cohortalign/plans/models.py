@@ -7,7 +7,7 @@ from ..operators import alignment as A
 from ..operators import connectivity as C
 from ..operators import encoding as E
 from ..operators import experiments as X
-from ..operators import metrics as M
+from ..operators import scoring as Q
 from ..operators import rowjoins as J
 from ..operators import splits as S
 from ..sources import views as V
@@ -109,7 +109,7 @@ def aln4(s, d):
 
 
 def aln5(s, d):
-    z = A.project(V.response_rows(s, d), A.bases_on_driver(A.svd_basis(conn(s, d), K, MIN_K)))
+    z = A.project(V.response_rows(s, d), A.svd_basis(conn(s, d), K, MIN_K))
     return z.select("subject", "stim_id", F.posexplode("z").alias("j", "z")).withColumn("z", rounded("z"))
 
 
@@ -167,7 +167,7 @@ def enc3(s, d):
 
 def enc4(s, d):
     sp, enc = trained(s, d)
-    p = E.predict_voxels(seen(V.response_rows(s, d)).select("subject", "stim_id").join(features(s, d), "stim_id"), enc, A.bases_on_driver(sp.basis), sp.rotations)
+    p = E.predict_voxels(seen(V.response_rows(s, d)).select("subject", "stim_id").join(features(s, d), "stim_id"), enc, sp.basis, sp.rotations)
     return p.select("subject", "stim_id", F.posexplode("p").alias("voxel", "p")).withColumn("p", rounded("p"))
 
 
@@ -228,7 +228,7 @@ def _evaluation(s, d):
 
 
 def _scored(df):
-    out = M.correlation_summary(M.voxelwise_correlation(df, ["subject"]), ["subject"])
+    out = Q.summary(df, ["subject"])
     return out.select("subject", rounded("median_r").alias("median_r"), rounded("mean_r").alias("mean_r"))
 
 
@@ -236,7 +236,7 @@ def exp1_zero(s, d):
     c = conn(s, d)
     sp, enc = trained(s, d, c)
     r, _, ev = _evaluation(s, d)
-    return _scored(X.predict_zero_shot(sp, enc, held(c), r, features(s, d), ev, MIN_K))
+    return _scored(X.score_zero_shot(sp, enc, held(c), r, features(s, d), ev, MIN_K))
 
 
 def exp1_few(s, d):
@@ -244,7 +244,7 @@ def exp1_few(s, d):
     sp, enc = trained(s, d, c)
     r, cand, ev = _evaluation(s, d)
     shots = S.sample_shots(cand, ev, 30, 7)
-    return _scored(X.predict_few_shot(sp, enc, held(c), r, features(s, d), shots, ev, ALPHA, MIN_K))
+    return _scored(X.score_few_shot(sp, enc, held(c), r, features(s, d), shots, ev, ALPHA, MIN_K))
 
 
 def exp2(s, d):
@@ -261,7 +261,14 @@ def exp2_summary(s, d):
 
 
 def exp4(s, d):
-    return X.loso_sweep(conn(s, d), V.response_rows(s, d), features(s, d), [4], [1.0, 100.0], MIN_K).withColumn("score", rounded("score"))
+    return X.loso_sweep(conn(s, d), V.response_rows(s, d), features(s, d), [4, 6, 8], [1.0, 10.0, 100.0], MIN_K).withColumn("score", rounded("score"))
+
+
+def exp4_trials(s, d):
+    """The sweep's log: the second half of the grid goes on from the first's log."""
+    args = conn(s, d), V.response_rows(s, d), features(s, d)
+    first = Q.sweep(*args, [4, 6], [1.0, 100.0], MIN_K, startup=2)
+    return Q.sweep(*args, [4, 6, 8], [1.0, 100.0], MIN_K, log=first, startup=2).withColumn("score", rounded("score")).withColumn("interim", rounded("interim"))
 
 
 def exp4_objective(s, d):
@@ -308,7 +315,7 @@ QUERIES = {"ALN1_usable_rank": aln1, "ALN2_svd_basis": aln2, "ALN2_orthonormal":
            "ALN12_shared_items": aln12, "ALN12_dropped_items": aln12_dropped, "ENC1_fit_ridge": enc1, "ENC3_predict": enc3, "ENC4_predict_voxels": enc4,
            "ENC5_fine_tune": enc5, "ENC6_pooled_baseline": enc6, "ENC7_ridge_cv": enc7, "ENC8_ridge_blocks": enc8, "ENC8_ridge_wide": enc8_wide, "ENC9_ridge_tokens": enc9,
            "ENC10_pooled_training": enc10, "SNK1_save_load": snk1, "EXP1_zero_shot": exp1_zero, "EXP1_few_shot": exp1_few, "EXP2_fewshot_ablation": exp2,
-           "EXP2_ablation_summary": exp2_summary, "EXP4_loso_sweep": exp4, "EXP4_sweep_objective": exp4_objective, "EXP17_feature_benchmark": exp17,
+           "EXP2_ablation_summary": exp2_summary, "EXP4_loso_sweep": exp4, "EXP4_sweep_trials": exp4_trials, "EXP4_sweep_objective": exp4_objective, "EXP17_feature_benchmark": exp17,
            "EXP18_measured_benchmark": exp18, "EXP19_prepare_task": exp19_task, "EXP19_prepare_rest": exp19_rest, "EXP19_train": exp19_train}
 
 _SER = """ser as (select (user_id % 5)::int as subject, user_id as run, ch::int as voxel, row_number() over (partition by user_id, ch order by ts, event_id) - 1 as t,

@@ -335,7 +335,7 @@ def test_shared_space_end_to_end(spark, world, tmp_path):
     space, enc = X.train(*seen, feats, 4, 2, 1.0)
     for m in space.rotations.values():
         assert np.allclose(m @ m.T, np.eye(4))
-    p = A.bases_on_driver(space.basis)
+    p = {s: np.array([r["p"] for r in space.basis.where(F.col("subject") == s).orderBy("voxel").collect()]) for s in space.rotations}
     assert all(np.allclose(m.T @ m, np.eye(4), atol=1e-6) for m in p.values())
     score = lambda df: M.correlation_summary(M.voxelwise_correlation(df, ["subject"]), ["subject"]).first()["median_r"]
     rows = held[1].select("subject", "stim_id", F.col("stim_id").alias("row_idx"))
