@@ -1,8 +1,7 @@
 """Line dedup by a deletion-neighbourhood join (operator 9).
 
-Lines are compared as sequences of words (A-Z lower-cased, split at white space). In texts that take two
-bytes a character or more, each character of a script written without spaces is a word of its own.
-Of equal lines the earliest stays, however short; a line also goes if a line with an earlier first
+Lines are compared as sequences of words (A-Z lower-cased, split at white space; each character of a script
+written without spaces is a word of its own, whatever stands around it). Of equal lines, known by 128 bits of a hash of the whole sequence, the earliest stays, however short; a line also goes if a line with an earlier first
 occurrence is within one edited word (inserted, removed or replaced) of it and the edit is at most one word in
 ``NEAR_WORDS``, that is, seven eighths of the line agree. Order is that of
 (id, text's hash, line number). Blank lines always stay; ``min_words`` (1) can spare other short lines as well.
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, read, small_batches, staged
+from .common import LOWER, UPPER, ascii_lower, read, sliced, staged, text_key
 
 MIN_WORDS, NEAR_WORDS = 1, 8
 SPACE = r"[\x20\x09-\x0D]+"
@@ -44,21 +43,26 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.when(other[0] | other[1] | other[2] | other[3], F.split(low, SPACE)).otherwise(F.split(low, " ")), "")
 
 
-def spaced(text: Column) -> Column:
-    """The text with spaces around the characters of scripts that are written without."""
-    return F.when(F.octet_length(text) >= 2 * F.length(text), F.regexp_replace(
-        text, "([" + "".join(rf"\p{{Is{x}}}" for x in UNSPACED) + "])", " $1 ")).otherwise(text)
+def may_hold_unspaced(text: Column) -> Column:
+    """Whether a text has a character beyond U+0E00, as all of scripts without spaces are: one cheap look at the text instead of one at every line."""
+    return F.when(F.octet_length(text) > F.length(text), F.regexp_like(text, F.lit(r"[\x{E00}-\x{10FFFF}]"))).otherwise(F.lit(False))
+
+
+def spaced(line: Column, may: Column) -> Column:
+    """The line with spaces around the characters of scripts that are written without; ``may``: ``may_hold_unspaced`` of its text."""
+    return F.when(may & (F.octet_length(line) > F.length(line)), F.regexp_replace(
+        line, "([" + "".join(rf"\p{{Is{x}}}" for x in UNSPACED) + "])", " $1 ")).otherwise(line)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(h, id, t, line, halves) for lines that may be removed; halves only of those that may be near others.
     The one pass that looks at all words."""
     text = F.col(text_col)
-    out = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"),
-                                              F.posexplode(F.split(spaced(text), "\n", -1)).alias("line", "s"))
-    out = out.select("id", "t", "line", line_words(F.col("s")).alias("words")).where(F.size("words") >= min_words)
+    out = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), text_key(text).alias("t"), may_hold_unspaced(text).alias("may"),
+                                              F.posexplode(F.split(text, "\n", -1)).alias("line", "s"))
+    out = out.select("id", "t", "line", line_words(spaced(F.col("s"), F.col("may"))).alias("words")).where(F.size("words") >= min_words)
     halves = F.when(F.size("words") >= NEAR_WORDS, _halves(F.col("words")))
-    return out.select(F.xxhash64("words", F.size("words")).alias("h"), "id", "t", "line", halves.alias("halves"))
+    return out.select(text_key(F.array_join("words", " ")).alias("h"), "id", "t", "line", halves.alias("halves"))
 
 
 def _halves(words: Column) -> Column:
@@ -97,9 +101,9 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
 def near_removed(docs: DataFrame, lines: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h): lines that are within one edit of a line with an earlier first occurrence.
     lines: _lines(), written; first: (h, o) with the order of each line's first occurrence."""
-    spark = lines.sparkSession
     halves = lines.where("halves is not null").select("h", F.explode("halves").alias("k")).select("h", "k.side", "k.key")
-    shared = halves.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+    few = F.xxhash64("h")  # a number in place of the hash, of which Spark keeps minima in place
+    shared = halves.groupBy("key").agg(F.min(few).alias("a"), F.max(few).alias("b")).where("a <> b").select("key")
     cand = halves.join(shared, "key").groupBy("h").agg(
         F.max((F.col("side") == 0)).alias("front"), F.max((F.col("side") == 1)).alias("back"))
     want = cand.join(first, "h").groupBy(F.col("o.id").alias("_id"), F.col("o.t").alias("_t")).agg(
@@ -107,29 +111,28 @@ def near_removed(docs: DataFrame, lines: DataFrame, first: DataFrame, id_col: st
     want = staged(want, "line-want")
     if (want.agg(F.sum(F.size("want"))).first()[0] or 0) <= MAX_BROADCAST_LINES:
         want = F.broadcast(want)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
     rows = rows.join(want, rows.t.eqNullSafe(want["_t"]) & rows.id.eqNullSafe(want["_id"]))
-    parts = F.split(spaced(F.col("text")), "\n", -1)
+    parts = F.split("text", "\n", -1)
     cut = F.transform(F.array(parts), lambda p: F.transform("want", lambda w: F.struct(
-        w["h"].alias("h"), w["o"].alias("o"), w["front"].alias("front"), w["back"].alias("back"), F.get(p, w["o"]["line"]).alias("s"))))
+        w["h"].alias("h"), w["o"].alias("o"), w["front"].alias("front"), w["back"].alias("back"), spaced(F.get(p, w["o"]["line"]), may_hold_unspaced(F.col("text"))).alias("s"))))
     texts = rows.select(F.explode(F.flatten(cut)).alias("w")).select("w.h", "w.o", line_words(F.col("w.s")).alias("words"), "w.front", "w.back")
     texts = staged(texts.dropDuplicates(["h"]), "line-texts")
 
     def emit(batches):
-        for b in batches:
+        for b in sliced(batches, 2000):
             hs, tags, own = [], [], []
             for h, words, front, back in zip(*[b.column(i).to_pylist() for i in range(4)]):
                 v, tag = variant_hashes(words, front, back)
                 hs.append(v)
                 tags.append(tag)
-                own.append(np.full(len(v), h, np.int64))
+                own += [h] * len(v)
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (own, hs, tags)], ["h", "v", "tag"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), *[pa.array(np.concatenate(x)) for x in (hs, tags)]], ["h", "v", "tag"])
 
-    small_batches(spark)
-    variants = texts.select("h", "words", "front", "back").mapInArrow(emit, "h long, v long, tag int")
+    variants = texts.select("h", "words", "front", "back").mapInArrow(emit, "h binary, v long, tag int")
     variants = staged(variants, "line-variants")
-    met = variants.groupBy("v").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("v")
+    met = variants.groupBy("v").agg(F.min(few).alias("a"), F.max(few).alias("b")).where("a <> b").select("v")
     met = staged(variants.join(met, "v").join(texts.select("h", "o"), "h"), "line-met")
     earliest = F.struct(F.col("o"), F.col("h"))
     by_tag = met.groupBy("v", "tag").agg(F.min(earliest).alias("m"))
@@ -142,11 +145,11 @@ def near_removed(docs: DataFrame, lines: DataFrame, first: DataFrame, id_col: st
     both = pairs.join(words, "h").join(words.select(F.col("h").alias("g"), F.col("words").alias("other")), "g")
 
     def verify(batches):
-        for b in batches:
+        for b in sliced(batches, 2000):
             ok = [within_one_edit(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0)], ["h"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("h", "words", "other").mapInArrow(verify, "h long")
+    return both.select("h", "words", "other").mapInArrow(verify, "h binary")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -165,7 +168,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the text's remaining lines in the text column, and ``n_lines`` and ``n_removed``."""
     gone = removed_lines(docs, id_col, text_col, min_words).select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("gone").alias("_gone"))
     gone = staged(gone, "line-gone")
-    left = docs.withColumn("_key", F.xxhash64(text_col))
+    left = docs.withColumn("_key", text_key(F.col(text_col)))
     both = left.join(gone, left["_key"].eqNullSafe(gone["_t"]) & left[id_col].eqNullSafe(gone["_id"]), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
@@ -186,10 +189,9 @@ ORACLE_SQL = {"op9_lines": rf"""
 with l as (
   select doc_id, i as line, s,
     list_filter(regexp_split_to_array(translate(
-      case when apart then regexp_replace(s, '([{"".join(f"{chr(92)}p{{{x}}}" for x in UNSPACED)}])', ' \1 ', 'g') else s end,
+      regexp_replace(s, '([{"".join(f"{chr(92)}p{{{x}}}" for x in UNSPACED)}])', ' \1 ', 'g'),
       '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
-  from (select doc_id, octet_length(encode(text)) >= 2 * length(text) as apart, unnest(string_split(text, chr(10))) as s,
-               unnest(range(0, len(string_split(text, chr(10))))) as i from documents)),
+  from (select doc_id, unnest(string_split(text, chr(10))) as s, unnest(range(0, len(string_split(text, chr(10))))) as i from documents)),
 e as (select w, min((doc_id, line)) as o from l where len(w) >= {MIN_WORDS} group by w),
 v as (
   select w, o, -1 as tag, w as x from e where len(w) >= {NEAR_WORDS}
