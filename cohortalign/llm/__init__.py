@@ -13,9 +13,11 @@ def _modules():
 
 
 def queries():
+    from .common import keeps_batch_size
+
     out = {}
     for m in _modules():
-        out.update(m.QUERIES)
+        out.update({name: keeps_batch_size(query) for name, query in m.QUERIES.items()})
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -43,9 +44,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def keeps_batch_size(function):
+    """The function with the session's size of Arrow batches put back when it returns; what it writes meanwhile uses its own. Batches that run
+    later are bounded by the session's bytes a batch."""
+    @functools.wraps(function)
+    def run(*args, **named):
+        spark = SparkSession.active()
+        before = spark.conf.get(BATCH, None)
+        try:
+            return function(*args, **named)
+        finally:
+            spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+
+    return run
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Long texts: fewer rows per Arrow batch keep the Python workers small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set(BATCH, str(rows))
 
 
 def sliced(batches, rows: int = 1000):

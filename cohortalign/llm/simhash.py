@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, broadcast_if_small, connected_components, read, small_batches, staged, text_key
+from .common import LOWER, UPPER, broadcast_if_small, connected_components, keeps_batch_size, read, small_batches, staged, text_key
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 MAX_LIST = 8192
@@ -253,6 +253,7 @@ def _distinct(fps: DataFrame) -> DataFrame:
     return fps.select("fp").distinct().repartition(n)
 
 
+@keeps_batch_size
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                        radius: int = RADIUS) -> DataFrame:
     """(id, fp binary of 8 bytes, component_id): fingerprints link at ``radius`` or fewer differing bits."""
@@ -322,25 +323,24 @@ def alike(rows: list[bytes], similarity: float):
     """Edges of a spanning forest of the rows whose sets are alike; a row is 8 bytes and the sorted hashes."""
     sets = [np.frombuffer(r, np.uint64)[1:] for r in rows]
     sizes = np.array([len(x) for x in sets])
-    m = np.zeros((len(rows), sizes.max()), np.uint64)
-    for i, x in enumerate(sets):
-        m[i, :len(x)] = x
-    inside = np.arange(m.shape[1]) < sizes[:, None]
-    left, queue = np.arange(len(rows)), []
-    while len(left):
-        if not queue:
-            queue.append(left[0])
-            left = left[1:]
-            continue
-        q = queue.pop()
+    flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    open_, queue = np.ones(len(rows), bool), []
+    while open_.any():
+        q = queue.pop() if queue else int(open_.argmax())
+        open_[q] = False
         x = sets[q]
-        at = np.minimum(np.searchsorted(x, m[left]), len(x) - 1)
-        both = ((x[at] == m[left]) & inside[left]).sum(1)
-        near = both / (sizes[left] + len(x) - both) >= similarity
-        for i in left[near].tolist():
+        # only sets of a size that can be alike
+        left = np.flatnonzero(open_ & (sizes >= similarity * len(x)) & (sizes * similarity <= len(x)))
+        if not len(left):
+            continue
+        mine = np.concatenate([flat[starts[i]:starts[i] + sizes[i]] for i in left])
+        at = np.minimum(np.searchsorted(x, mine), len(x) - 1)
+        both = np.add.reduceat(x[at] == mine, np.concatenate([[0], np.cumsum(sizes[left])[:-1]]), dtype=np.int64)
+        near = left[both / (sizes[left] + len(x) - both) >= similarity]
+        for i in near.tolist():
             yield int(q), i
-        queue += left[near].tolist()
-        left = left[~near]
+        queue += near.tolist()
+        open_[near] = False
 
 
 def short_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -430,17 +430,19 @@ def _node_pairs(edges: DataFrame) -> DataFrame:
     return out.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
 
 
+@keeps_batch_size
 def near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int = NEAR_SHINGLE,
-                    similarity: float = NEAR_SIMILARITY) -> DataFrame:
+                    similarity: float = NEAR_SIMILARITY, short: int | None = NEAR_SHORT) -> DataFrame:
     """(key, component): distinct texts, by their key, whose shingle sets are alike (Jaccard), joined
     transitively; texts that are alone have no row. Blank texts have no shingles and stay alone.
 
     Nodes are distinct shingle sets. Each pair that the index proposes is settled on the sets: first spanning
-    forests of the lists, then all further open pairs between groups that these leave apart.
+    forests of the lists, then all further open pairs between groups that these leave apart. Sets of at most ``short`` shingles,
+    or of any size if it is None, are also met by their rarest shingles, which misses no pair; that index holds a fifth of the shingles.
     """
     text = F.col(text_col)
     full = docs.select(text_key(text).alias("id"), text.alias("text")).where(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")))
-    fps = staged(near_fingerprints(full, shingle, int(NEAR_SHORT / similarity)), "near")
+    fps = staged(near_fingerprints(full, shingle, int(short / similarity) if short is not None else 1 << 60), "near")
     wide = _distinct(fps).withColumn("node", node_of("fp"))
     met = met_again(index_of(_distinct(fps), _near_sets(), False))
     pairs, several = linked(met.join(wide, "node").select("key", "fp"), proposed)

@@ -630,6 +630,26 @@ def test_lines_of_scripts_without_spaces_and_repeated_rows(spark, monkeypatch, m
     assert len(twice) == 12 and all((r["text"], r["n_removed"]) == got[r["doc_id"]] for r in twice)
 
 
+def test_equal_lines_of_texts_in_two_scripts(spark):
+    """What is equal depends on the line alone, not on the script of the text around it."""
+    line = "漢字かな交じり文"
+    texts = [line + "\n" + "山" * 40, "an english text with " + "words " * 30 + "\n" + line, "“quoted” text, ordinary\n" + line + " ", "ordinary\n" + line.replace("交", "混") + "です"]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    assert got[0] == (texts[0], 0) and got[1] == (texts[1].split("\n")[0], 1) and got[2] == (texts[2].split("\n")[0], 1) and got[3][1] == 0
+
+
+def test_batch_size_of_the_session_is_kept(spark):
+    df = docs(spark, ["a b c d e", "a b c d e f", None])
+    before = spark.conf.get(common.BATCH)
+    simhash.simhash_components(df).collect()
+    simhash.near_duplicates(df).collect()
+    assert spark.conf.get(common.BATCH) == before
+    if os.path.isdir(DATA):
+        for name in ("op4_simhash", "op6_langid", "op7_embeddings"):
+            llm.queries()[name](spark, DATA)
+            assert spark.conf.get(common.BATCH) == before, name
+
+
 def test_one_edit():
     a = "a b c d".split()
     for b, want in (("a b c d", 1), ("a x c d", 1), ("a c d", 1), ("a b q c d", 1), ("b a c d", 0), ("a b", 0), ("a x y d", 0)):
