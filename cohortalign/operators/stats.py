@@ -1,20 +1,22 @@
 """Bootstrap, permutation, false discovery and condition summaries (STA1-STA4).
 
-Replicates are rows: samples are numbered, replicate x draw rows are hashed to
-sample numbers and joined. Sizes are replicates x sample size, never tied to data-sized
-tables.
+Samples are numbered, and replicate and draw numbers are hashed to sample numbers, so that every draw can be repeated.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from hashlib import md5
+from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import draw_key, require
 
+HELD_VALUES, REPLICATES = 4_000_000, 50  # values of a key that travel as one array, and replicates that a task makes of it at a time
 RANGES = 200  # ranges of p-values that false-discovery control ranks apart
 
 
@@ -31,14 +33,53 @@ def bootstrap_interval(samples: DataFrame, keys: list[str], n_bootstrap: int = 5
         raise ValueError("at least 100 replicates, a level in (0, 100), and mean or median")
     s = _numbered(samples, keys)
     sizes = s.groupBy(*keys).agg(F.max("_n").alias("_n"))
+    large = (sizes.agg(F.max("_n")).first()[0] or 0) > HELD_VALUES
+    one = _joined_replicates(s, sizes, keys, n_bootstrap, statistic, seed) if large else _held_replicates(s, keys, n_bootstrap, statistic, seed)
+    a = (100.0 - ci_level) / 200.0
+    return one.groupBy(*keys).agg(F.percentile("v", a).alias("ci_low"), F.percentile("v", 1 - a).alias("ci_high"))
+
+
+def _held_replicates(s: DataFrame, keys: list[str], n_bootstrap: int, statistic: str, seed: int) -> DataFrame:
+    """(keys, v): the statistic of each replicate. A key's values travel as one array to each block of ``REPLICATES`` replicates, whose
+    draws are taken from it in Arrow; no draw is a row."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    held = s.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "value"))), lambda x: x["value"].cast("double")).alias("_x"))
+    part = F.concat_ws("-", *[F.col(n).cast("string") for n in names]) if names else F.lit("")
+    some = reduce(or_, [F.col(n).isNotNull() for n in names], F.lit(False))
+    blocks = held.withColumn("_name", F.when(some, F.concat(F.lit("-"), part)).otherwise(F.lit(""))).withColumn(
+        "_r", F.explode(F.sequence(F.lit(0), F.lit(-(-n_bootstrap // REPLICATES) - 1))))
+    blocks = blocks.repartition(*names, "_r").select(*names, "_name", "_r", "_x")
+    k = len(names)
+
+    def run(batches):
+        ends: list[bytes] = []
+        for b in batches:
+            for at in range(b.num_rows):
+                x = b.column("_x")[at].values
+                there = ~np.array(x.is_null())
+                x = x.to_numpy(zero_copy_only=False).astype(float)
+                ends += [f"-{d}".encode() for d in range(len(ends), len(x))]
+                first, name = b.column("_r")[at].as_py() * REPLICATES, b.column("_name")[at].as_py()
+                out = []
+                for r in range(first, min(first + REPLICATES, n_bootstrap)):
+                    head = f"{seed}-{r}{name}".encode()
+                    drawn = np.frombuffer(b"".join([md5(head + e).digest()[:4] for e in ends[:len(x)]]), ">u4") % len(x)
+                    v = x[drawn[there[drawn]]]
+                    out.append(None if not len(v) else float(v.mean() if statistic == "mean" else np.median(v)))
+                yield pa.RecordBatch.from_arrays([*[b.column(i).take(pa.array([at] * len(out))) for i in range(k)], pa.array(out, pa.float64())], [*names, "v"])
+
+    kinds = "".join(f"{n} {blocks.schema[n].dataType.simpleString()}, " for n in names)
+    return blocks.mapInArrow(run, f"{kinds}v double").select(*[F.col(n).alias(c) for n, c in zip(names, keys)], "v")
+
+
+def _joined_replicates(s: DataFrame, sizes: DataFrame, keys: list[str], n_bootstrap: int, statistic: str, seed: int) -> DataFrame:
+    """The same for keys with more values than one array should hold: each draw is a row that is joined with its value."""
     draws = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)))).withColumn(
         "_d", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
     draws = draws.withColumn("_i", F.pmod(draw_key(seed, F.col("_b"), *keys, "_d"), F.col("_n")).cast("int"))
     got = draws.drop("_n").join(s.select(*keys, "_i", "value"), [*keys, "_i"])
     stat = F.avg("value") if statistic == "mean" else F.median("value")
-    one = got.groupBy(*keys, "_b").agg(stat.alias("v"))
-    a = (100.0 - ci_level) / 200.0
-    return one.groupBy(*keys).agg(F.percentile("v", a).alias("ci_low"), F.percentile("v", 1 - a).alias("ci_high"))
+    return got.groupBy(*keys, "_b").agg(stat.alias("v")).drop("_b")
 
 
 def permutation_test(pairs: DataFrame, keys: list[str], n_permutations: int = 10000, alternative: str = "two-sided",

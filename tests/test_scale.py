@@ -12,6 +12,7 @@ from cohortalign.operators import encoding as E
 from cohortalign.operators import experiments as X
 from cohortalign.operators import metrics as M
 from cohortalign.operators import scoring as Q
+from cohortalign.operators import stats as Z
 
 
 def ledoit_wolf(x):
@@ -211,3 +212,16 @@ def test_ridge_of_twenty_thousand_features(spark):
     xc, zc = x - x.mean(0), z - z.mean(0)
     want = xc.T @ np.linalg.solve(xc @ xc.T + 500.0 * np.eye(60), zc)
     assert np.allclose(w, want, atol=1e-8) and np.allclose(b, z.mean(0) - x.mean(0) @ want)
+
+
+@pytest.mark.parametrize("statistic", ["mean", "median"])
+def test_replicates_are_the_same_held_and_joined(spark, monkeypatch, statistic):
+    rng = np.random.default_rng(11)
+    rows = [(k, "m" if k else None, i, None if i == 3 else float(rng.random())) for k in (0, 1, 2) for i in range(7 + k)]
+    df = spark.createDataFrame(rows, "k int, metric string, rep int, value double").where("metric is not null")
+    held = sorted(map(tuple, Z.bootstrap_interval(df, ["k", "metric"], 200, 90.0, statistic).collect()))
+    monkeypatch.setattr(Z, "HELD_VALUES", 2)
+    joined = sorted(map(tuple, Z.bootstrap_interval(df, ["k", "metric"], 200, 90.0, statistic).collect()))
+    assert len(held) == 2 and all(a[:2] == b[:2] and np.allclose(a[2:], b[2:]) for a, b in zip(held, joined))
+    monkeypatch.undo()
+    assert Z.bootstrap_interval(df.limit(0), [], 200).count() in (0, 1)
