@@ -12,6 +12,7 @@ from ..operators import rowjoins as J
 from ..operators import splits as S
 from ..sources import views as V
 from ..sources.views import corr_sql, query, rnd
+from .ridge_sql import predicted, ridge
 
 R, K, MIN_K, ALPHA = 16, 8, 4, 10.0
 HELD = 4
@@ -324,7 +325,57 @@ par as (select subject, run, t, voxel // 4 as row, avg(x) as m from ser group by
 cc as (select subject, run, row, voxel, """ + corr_sql("m", "x") + """ as c from par join ser using (subject, run, t) group by 1, 2, 3, 4),
 con as (select subject, row, voxel, avg(c) as c from cc group by 1, 2, 3)"""
 
+_XZ = "xz as (select 0 as key, vec_id as rid, embedding[1:48] as x, embedding[49:64] as z, label % 4 as block from embeddings)"
+_ENC1 = f"with recursive {_XZ}, {ridge('w', 'xz', '10.0')}"
+_BLOCKS = f"with recursive {_XZ}, bl as (select block as key, rid, x, z from xz), {ridge('w', 'bl', '10.0', False)}"
+_TOKENS = f"with recursive {_XZ}, tk as (select i as key, rid, x, z[i * 4 + 1 : i * 4 + 4] as z from xz, unnest(range(4)) u(i)), {ridge('w', 'tk', '10.0', False)}"
+_RESP = """rr as (select (vec_id % 5)::int as subject, vec_id // 5 as stim_id, embedding as v from embeddings where (vec_id // 5 * 7 + vec_id % 5 * 3) % 10 <> 0)"""
+_FOLDS = """nn as (select count(*) as n from xz), fl as (select xz.*, case when rid < (n % 5) * (n // 5 + 1) then rid // (n // 5 + 1)
+  else n % 5 + (rid - (n % 5) * (n // 5 + 1)) // greatest(n // 5, 1) end as fold from xz, nn)"""
+_ENC7 = f"""with recursive {_XZ}, {_FOLDS}, al as (select unnest([0.1, 1.0, 10.0, 100.0, 1000.0]) as alpha, unnest(range(5)) as j),
+tr as (select j * 5 + g as key, rid, x, z from fl, al, unnest(range(5)) u(g) where fold <> g), {ridge('w', 'tr', 'power(10.0, key // 5 - 1)', False)},
+te as (select j * 5 + fold as key, rid, x, z from fl, al), {predicted('p', 'w', 'te')},
+er as (select p.key, p.t, sum((z[p.t + 1] - p) * (z[p.t + 1] - p)) as sse, var_pop(z[p.t + 1]::double) * count(*) as sst from p join te on p.key = te.key and p.rid = te.rid group by 1, 2),
+r2 as (select key, avg(case when sst > 0 then 1 - sse / sst when sse <= 1e-12 then 1 else 0 end) as r from er group by 1),
+sc as (select key // 5 as j, avg(r) as score from r2 group by 1)
+select alpha, {rnd('score')} as score, score = max(score) over () as chosen from sc join al using (j)"""
+
+
+def _benchmark(train: str, targets: str, test: str) -> str:
+    """EXP17, EXP18: train(stim_id, v), targets(stim_id, block, z), test(condition, stim_id, v)."""
+    return f"""with recursive {_RESP}, tn as ({train}), tg as ({targets}), ts as ({test}),
+tl as (select stim_id, unnest(range(len(v))) as f, unnest(v)::double as x from tn), st as (select f, avg(x) as m, stddev_samp(x) as sd from tl group by 1),
+xs as (select stim_id, list((x - m) / greatest(sd, 1e-8) order by f) as x from tl join st using (f) group by 1),
+bx as (select block as key, xs.stim_id as rid, x, z from xs join tg using (stim_id)), {ridge('w', 'bx', '10.0', False)},
+cl as (select condition, stim_id, unnest(range(len(v))) as f, unnest(v)::double as x from ts),
+cx as (select condition, stim_id, list((x - m) / greatest(sd, 1e-8) order by f) as x from cl join st using (f) group by 1, 2),
+te as (select block as key, condition || '/' || stim_id as rid, x from cx, (select distinct block from tg)), {predicted('p', 'w', 'te')},
+pp as (select key as block, split_part(rid, '/', 1) as condition, split_part(rid, '/', 2)::bigint as stim_id, t, p from p),
+ow as (select condition, block, t, avg(p) as m, RENORM(p) as sd from pp group by 1, 2, 3),
+tt as (select block, t, avg(z[t + 1]::double) as m, RENORM(z[t + 1]::double) as sd from tg join tn using (stim_id), unnest(range(64)) u(t) where t < len(z) group by 1, 2),
+rn as (select pp.*, (p - ow.m) / greatest(ow.sd, 1e-8) * tt.sd + tt.m as q from pp join ow using (condition, block, t) join tt using (block, t)),
+er as (select rn.condition, rn.block, rn.t, sum((z[rn.t + 1] - q) * (z[rn.t + 1] - q)) as sse, var_pop(z[rn.t + 1]::double) * count(*) as sst from rn join tg using (block, stim_id) group by 1, 2, 3)
+select condition, block::int as block, {rnd('avg(case when sst > 0 then 1 - sse / sst when sse = 0 then 1 else 0 end)')} as r2 from er group by 1, 2""".replace("RENORM", "stddev_pop")
+
+
 ORACLE_SQL = {
+    "ENC1_fit_ridge": f"{_ENC1} select f::int as i, t::int as j, {rnd('w')} as w from w",
+    "ENC3_predict": f"{_ENC1}, {predicted('p', 'w', 'xz')} select rid as row_idx, t::int as j, {rnd('p')} as z from p",
+    "ENC5_fine_tune": f"""{_ENC1}, sub as (select * from xz where block = 1), {ridge('n', 'sub', '10.0', True, 'w_s')}
+select w.f::int as i, w.t::int as j, {rnd('0.5 * w.w + 0.5 * n.w')} as w from w join n using (key, f, t)""",
+    "ENC6_pooled_baseline": f"""with recursive {_RESP}, pr as (select 0 as key, subject::bigint * 1000000000 + stim_id as rid, e.embedding[1:48] as x, v as z from rr join embeddings e on e.vec_id = stim_id),
+{ridge('w', 'pr', '10.0')}, {predicted('p', 'w', 'pr')}
+select (rid // 1000000000)::int as subject, rid % 1000000000 as stim_id, t::int as voxel, {rnd('p')} as p from p""",
+    "ENC7_ridge_cv": _ENC7,
+    "ENC8_ridge_blocks": f"""{_BLOCKS}, te as (select b.key, rid, x from xz, (select distinct key from bl) b), {predicted('p', 'w', 'te')}
+select rid as row_idx, key::int as block, t::int as j, {rnd('p')} as p from p""",
+    "ENC8_ridge_wide": f"with recursive {_XZ}, {ridge('w', 'xz', '10.0', False)} select f::int as i, t::int as j, {rnd('w')} as w from w",
+    "ENC9_ridge_tokens": f"{_TOKENS}, {predicted('p', 'w', 'tk')} select rid as row_idx, key::int as token, t::int as j, {rnd('p')} as p from p",
+    "EXP17_feature_benchmark": _benchmark("select stim_id, v from rr where subject = 0",
+        "select vec_id as stim_id, b as block, embedding[b * 8 + 49 : b * 8 + 56] as z from embeddings, unnest(range(2)) u(b)",
+        "select 's' || subject as condition, stim_id, v from rr where subject in (1, 2)"),
+    "EXP18_measured_benchmark": _benchmark("select stim_id, v from rr where subject = 0 and stim_id % 3 <> 0", "select vec_id as stim_id, 0 as block, embedding[49:64] as z from embeddings",
+        "select 'measured' as condition, stim_id, v from rr where subject = 0 and stim_id % 3 = 0"),
     "ALN2_orthonormal": "select r_regionkey::int as subject, i::int as i, j::int as j, case when i = j then 1.0 else 0.0 end::double as product "
                         "from region, unnest(range(0, 8)) a(i), unnest(range(0, 8)) b(j)",
     "ALN2_variance": f"with {_SER} select subject, {rnd('sum(c * c)', 4)} as total from con group by 1",

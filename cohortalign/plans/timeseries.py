@@ -7,6 +7,7 @@ from ..operators import connectivity as C
 from ..operators import timeseries as T
 from ..sources import views as V
 from ..sources.views import corr_sql, query, rnd
+from .ridge_sql import eliminated
 
 R = 5  # parcels of the connectivity queries
 
@@ -201,7 +202,24 @@ _CON4 = query("ts_", f""", cser as (select (run % 4)::int as subject, * from ts_
 select cv.subject, cv.voxel, cv.other, {rnd('avg(c / a.d / b.d)')} as c from cv join dg a on cv.run = a.run and cv.voxel = a.voxel
 join dg b on cv.run = b.run and cv.other = b.voxel group by 1, 2, 3""")
 
+#: Least squares on twelve confounds and an intercept, run by run.
+_C12 = """md as (select run, t, [""" + ", ".join(f"p{i}" for i in range(1, 7)) + ", " + ", ".join(f"coalesce(p{i} - lag(p{i}) over w, 0)" for i in range(1, 7)) + """] as c
+  from motion window w as (partition by run order by t)),
+cl as (select run as key, t, unnest(range(12)) as f, unnest(c)::double as v from md), cm as (select key, f, avg(v) as m, stddev_pop(v) as sd from cl group by 1, 2),
+cx as (select key, t, f, (v - m) / case when sd < 1e-8 then 1 else sd end as v from cl join cm using (key, f)),
+xm as (select run, voxel, avg(x) as m from ts_ group by 1, 2),
+am as (select key, f, list(v order by g) as r from (select a.key, a.f, b.f as g, sum(a.v * b.v) as v from cx a join cx b on a.key = b.key and a.t = b.t group by 1, 2, 3) group by 1, 2),
+bm as (select key, f, list(v order by voxel) as r from (select key, f, s.voxel, sum(v * (x - m)) as v from cx join ts_ s on s.run = key and s.t = cx.t join xm on xm.run = key and xm.voxel = s.voxel group by 1, 2, 3)
+  group by 1, 2),
+ag as (select key, list(list_concat(am.r, bm.r) order by f) as a, 12::bigint as n from am join bm using (key, f) group by 1),
+""" + eliminated("sv", "ag") + """,
+sl as (select key, f, unnest(range(8)) as voxel, unnest(r[13:]) as w from (select key, unnest(range(12)) as f, unnest(a) as r from sv)),
+ft as (select key, t, voxel, sum(v * w) as p from cx join sl using (key, f) group by 1, 2, 3)"""
+_TS8 = query("ts_ motion", f", {_C12} select s.run, s.voxel, s.t, {rnd('x - m - p')} as x from ts_ s join xm using (run, voxel) join ft on ft.key = s.run and ft.t = s.t and ft.voxel = s.voxel").replace(
+    "with ", "with recursive ", 1)
+
 ORACLE_SQL = {
+    "TS8_regress": _TS8,
     "CON4_voxel_connectivity": _CON4,
     "TS1_trim": query("ts_", f"select run, voxel, t - 5 as t, {rnd('x')} as x from ts_ where t >= 5"),
     "TS2_length_gate": query("ts_", "select run, voxel, count(*) as n from ts_ group by 1, 2 having count(*) >= 66"),
