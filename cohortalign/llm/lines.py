@@ -58,9 +58,13 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WOR
     """(h, id, t, line, halves) for lines that may be removed; halves only of those that may be near others.
     The one pass that looks at all words."""
     text = F.col(text_col)
-    out = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), text_key(text).alias("t"), may_hold_unspaced(text).alias("may"),
-                                              F.posexplode(F.split(text, "\n", -1)).alias("line", "s"))
-    out = out.select("id", "t", "line", line_words(spaced(F.col("s"), F.col("may"))).alias("words")).where(F.size("words") >= min_words)
+    # what is made of the whole text is a column before the lines are, or it would be made for each of them
+    texts = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), text_key(text).alias("t"), may_hold_unspaced(text).alias("may"), text.alias("text"))
+    out = texts.select("id", "t", "may", F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
+    # blank lines go by a look at the line, as a condition on the words would be worked out beside them once more
+    out = out.where(F.regexp_like("s", F.lit(r"[^\x20\x09-\x0D]"))).select("id", "t", "line", spaced(F.col("s"), F.col("may")).alias("s"))
+    out = out.select("id", "t", "line", line_words(F.col("s")).alias("words"))
+    out = out.where(F.size("words") >= min_words) if min_words > 1 else out
     halves = F.when(F.size("words") >= NEAR_WORDS, _halves(F.col("words")))
     return out.select(text_key(F.array_join("words", " ")).alias("h"), "id", "t", "line", halves.alias("halves"))
 
@@ -111,11 +115,11 @@ def near_removed(docs: DataFrame, lines: DataFrame, first: DataFrame, id_col: st
     want = staged(want, "line-want")
     if (want.agg(F.sum(F.size("want"))).first()[0] or 0) <= MAX_BROADCAST_LINES:
         want = F.broadcast(want)
-    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("t"), may_hold_unspaced(F.col(text_col)).alias("may"), F.col(text_col).alias("text"))
     rows = rows.join(want, rows.t.eqNullSafe(want["_t"]) & rows.id.eqNullSafe(want["_id"]))
     parts = F.split("text", "\n", -1)
     cut = F.transform(F.array(parts), lambda p: F.transform("want", lambda w: F.struct(
-        w["h"].alias("h"), w["o"].alias("o"), w["front"].alias("front"), w["back"].alias("back"), spaced(F.get(p, w["o"]["line"]), may_hold_unspaced(F.col("text"))).alias("s"))))
+        w["h"].alias("h"), w["o"].alias("o"), w["front"].alias("front"), w["back"].alias("back"), spaced(F.get(p, w["o"]["line"]), F.col("may")).alias("s"))))
     texts = rows.select(F.explode(F.flatten(cut)).alias("w")).select("w.h", "w.o", line_words(F.col("w.s")).alias("words"), "w.front", "w.back")
     texts = staged(texts.dropDuplicates(["h"]), "line-texts")
 
