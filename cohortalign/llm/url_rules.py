@@ -6,9 +6,9 @@ without those that a smaller rule implies. A rule is found through an inverted
 index on its rarest token and checked against all tokens of the URL. Given host and path
 rules come first, the longest that fits.
 
-Only tokens that can be part of such a rule enter the mining: those of enough support among blocked URLs, that are not rules by
-themselves (what a smaller rule implies is left out anyway) and don't stand in every URL; of tokens that stand in
-exactly the same URLs one enters and brings the others along. So tokens that always come together don't multiply the sets.
+Only tokens that can be part of such a rule enter the mining: those of enough support among blocked URLs that don't stand in every URL
+without being telling; of tokens that stand in exactly the same URLs one enters and brings the others along, so tokens that always come
+together don't multiply the sets. Rules of one token are frequent sets like the others.
 
 The labels in the query are the given rules' verdicts, the only labels that speak of URLs; pages that no rule
 fits are unlabelled, and the mined rules judge them. A mined rule needs blocked URLs of ``MIN_REASONS`` different given rules at least:
@@ -78,25 +78,29 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     stats = each.groupBy("one").agg(F.count(F.lit(1)).alias("support"), F.count_if(F.col("label") == "block").alias("both"),
                                     F.sum(F.col("rid").cast("decimal(38,0)")).alias("where")).where(F.col("both") >= need)
     stats = staged(stats.withColumn("confidence", F.col("both") / F.col("support")), "url-tokens")
-    single = stats.where(F.col("confidence") >= min_confidence).select(F.array("one").alias("tokens"), "support", "confidence", F.col("one").alias("anchor"))
-    rest = stats.where((F.col("confidence") < min_confidence) & (F.col("support") < total))
+    some = stats.where((F.col("confidence") >= min_confidence) | (F.col("support") < total))
     # tokens of the same URLs, by the sum of these URLs' hashes
-    together = staged(rest.groupBy("where", "support").agg(F.min("one").alias("one"), F.collect_list("one").alias("all")), "url-together")
+    together = staged(some.groupBy("where", "support").agg(F.min("one").alias("one"), F.collect_list("one").alias("all")), "url-together")
     items = each.join(together.select("one"), "one", "left_semi").groupBy("rid", "label").agg(F.collect_list("one").alias("t"))
     items = staged(items.select(F.when(F.col("label") == "block", F.concat("t", F.array(F.lit(mark)))).otherwise(F.col("t")).alias("items")), "url-items")
     n = items.count()
     if not n:
-        return taught(rows, single, min_reasons)
+        none = stats.select(F.array("one").alias("tokens"), "support", "confidence", F.col("one").alias("anchor")).limit(0)
+        return taught(rows, none, min_reasons)
     found = FPGrowth(itemsCol="items", minSupport=need / n).fit(items).freqItemsets
     found = staged(found.where(F.size("items") <= max_tokens + 1).select(F.array_sort("items").alias("items"), "freq"), "url-sets")
     # what FP-growth has counted: a set with the mark and the same set without it
     with_mark = found.where(F.array_contains("items", mark)).select(F.array_remove("items", mark).alias("tokens"), F.col("freq").alias("both"))
     plain = found.where(~F.array_contains("items", mark)).select(F.col("items").alias("tokens"), F.col("freq").alias("support"))
-    pairs = with_mark.where(F.size("tokens") > 1).join(plain, "tokens").withColumn("confidence", F.col("both") / F.col("support"))
-    pairs = pairs.where((F.col("both") >= need) & (F.col("confidence") >= min_confidence))
-    pairs = pairs.select("tokens", "support", "confidence", F.explode("tokens").alias("one")).join(
-        together.select("one", F.col("support").alias("n"), "all"), "one")
-    pairs = pairs.groupBy("tokens", "support", "confidence").agg(F.min(F.struct("n", "one"))["one"].alias("anchor"), F.flatten(F.collect_list("all")).alias("all"))
+    sets = with_mark.where(F.size("tokens") > 0).join(plain, "tokens").withColumn("confidence", F.col("both") / F.col("support"))
+    sets = sets.where((F.col("both") >= need) & (F.col("confidence") >= min_confidence)).select("tokens", "support", "confidence", F.explode("tokens").alias("one"))
+    sets = staged(sets.join(together.select("one", F.col("support").alias("n"), "all"), "one"), "url-found")
+    # each token of a group that comes together is a rule where one is
+    alone = sets.where(F.size("tokens") == 1)
+    single = alone.select(F.explode("all").alias("one"), "support", "confidence").select(F.array("one").alias("tokens"), "support", "confidence", F.col("one").alias("anchor"))
+    implied = sets.where(F.size("tokens") > 1).join(alone.select("one"), "one", "left_semi").select("tokens").distinct()
+    pairs = sets.where(F.size("tokens") > 1).join(implied, "tokens", "left_anti").groupBy("tokens", "support", "confidence").agg(
+        F.min(F.struct("n", "one"))["one"].alias("anchor"), F.flatten(F.collect_list("all")).alias("all"))
     return taught(rows, single.union(pairs.select(F.array_sort("all"), "support", "confidence", "anchor")), min_reasons)
 
 
