@@ -49,7 +49,7 @@ SIDE_WORD = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "
 PLAIN_WORD = {"box", "bar", "block", "container", "wrapper", "wrap", "area", "list", "item", "items", "panel", "slot", "module", "widget", "section",
               "inner", "outer", "top", "bottom", "left", "right", "main", "primary", "secondary", "site", "page", "global", "user", "reader", "readers",
               "posts", "articles", "stories", "links", "thread", "form", "field", "button", "buttons", "header", "body", "text", "content", "row", "col", "js"}
-SIDE_PAIR = {("side", "bar"), ("site", "header"), ("page", "header"), ("top", "bar"), ("site", "footer"), ("pop", "up"), ("bread", "crumb")}
+SIDE_PAIR = {("user", "reviews"), ("reader", "reviews"), ("customer", "reviews"), ("side", "bar"), ("site", "header"), ("page", "header"), ("top", "bar"), ("site", "footer"), ("pop", "up"), ("bread", "crumb")}
 MAIN = {"article", "main"}
 MAIN_WORD = {("article", "body"), ("post", "content"), ("entry", "content"), ("article", "content"), ("post", "body")}
 TEASER = {"teaser", "teasers", "card", "preview"}
@@ -67,7 +67,8 @@ def _aside(tag: str, words: list[str]) -> bool:
     """Does the whole name say that this stands beside the text?"""
     if not words or not any(w in SIDE_WORD for w in words):
         return any(p in SIDE_PAIR for p in zip(words, words[1:])) and tag not in PIECE
-    return all(w in SIDE_WORD or w in PLAIN_WORD and tag not in PIECE for w in words)
+    # letters alone are prefixes of naming schemes
+    return all(w in SIDE_WORD or (w in PLAIN_WORD or len(w) == 1) and tag not in PIECE for w in words)
 
 
 def kind(tag: str, attrs: dict[str, str], in_main: bool) -> str:
