@@ -45,7 +45,7 @@ def sign_fix(long: DataFrame) -> DataFrame:
 def svd_basis(conn: DataFrame, k: int, min_k: int = 10) -> DataFrame:
     """ALN2: (subject, voxel, p array<double>): top-k right singular vectors of each subject's connectivity, signs fixed.
     conn(subject, row, voxel, c)."""
-    return svd_basis_rows(as_rows(conn, ["subject", "voxel"], "row", "c", "c"), k, min_k)
+    return svd_basis_rows(staged(as_rows(conn, ["subject", "voxel"], "row", "c", "c"), "channel-rows"), k, min_k)
 
 
 def svd_basis_rows(rows: DataFrame, k: int, min_k: int = 10, max_gram: int = MAX_GRAM) -> DataFrame:
@@ -260,6 +260,7 @@ class SharedSpace:
     template_fp: DataFrame
     rounds: int = 0
     warnings: list[str] = field(default_factory=list)
+    latents: DataFrame | None = None  # projected responses before rotation, written; not saved
 
     def save(self, path: str) -> None:
         """SNK1: one Parquet table per part."""
@@ -284,8 +285,8 @@ class SharedSpace:
 
 def fit_shared_space(conn: DataFrame, responses: DataFrame | None, k: int = 50, min_k: int = 10, mode: str = "hybrid",
                      max_iters: int = 20, tol: float = 1e-5) -> SharedSpace:
-    """ALN9: bases from connectivity, then rotations from shared responses (hybrid, ALN6) or from
-    fingerprints alone (strict, ALN7), and the fingerprint template (ALN8)."""
+    """ALN9: bases from connectivity, then rotations from the items that all subjects share (hybrid, ALN6) or from
+    fingerprints alone (strict, ALN7), and the fingerprint template (ALN8). Responses to other items are projected as well."""
     if mode not in ("hybrid", "strict"):
         raise ValueError(f"unknown mode {mode}")
     k = global_k(conn, k, min_k).first()["k"]
@@ -294,13 +295,13 @@ def fit_shared_space(conn: DataFrame, responses: DataFrame | None, k: int = 50,
     if mode == "hybrid":
         if responses is None:
             raise ValueError("the hybrid mode needs shared responses")
-        z, item = project(responses, basis), "stim_id"
+        z, item = staged(project(responses.select("subject", "stim_id", "v"), basis), "latents"), "stim_id"
     else:
         z, item = fp, "row"
     subjects, n, s, g = aligned_moments(z, item)
     rotations, rounds = iterate_template(g, s, n, subjects, k, max_iters, tol)
     template = mean_template(z, rotations, item)
-    return SharedSpace(k, mode, basis, rotations, template, mean_template(fp, rotations, "row"), rounds)
+    return SharedSpace(k, mode, basis, rotations, template, mean_template(fp, rotations, "row"), rounds, latents=z if mode == "hybrid" else None)
 
 
 def align_zero_shot(space: SharedSpace, conn: DataFrame, min_k: int = 10) -> tuple[DataFrame, dict[int, np.ndarray]]:
@@ -308,7 +309,7 @@ def align_zero_shot(space: SharedSpace, conn: DataFrame, min_k: int = 10) -> tup
     rows = {r[0] for r in space.template_fp.select("row").collect()}
     if {r[0] for r in conn.select("row").distinct().collect()} != rows:
         raise ValueError("zero-shot alignment needs the template's parcels")
-    basis = svd_basis(conn, space.k, min_k)
+    basis = staged(svd_basis(conn, space.k, min_k), "basis")
     pairs = fingerprints(conn, basis).join(space.template_fp.withColumnRenamed("z", "target"), "row")
     rot = {s: r for (s,), r in procrustes(pairs, "z", "target", ["subject"]).items()}
     for s, r in rot.items():

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import staged
-from ..functions.moments import as_long, as_rows
+from ..functions.moments import apply_matrix, as_long, as_rows
 from . import alignment as A
 from . import encoding as E
 from . import metrics as M
@@ -27,10 +27,11 @@ def _long_scores(measured: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def train(conn: DataFrame, responses: DataFrame, features: DataFrame, k: int = 50, min_k: int = 10, alpha: float = 1000.0, mode: str = "hybrid"):
     """EXP19, last part: shared space from common items, then one encoder over all subjects' rows."""
-    shared = A.shared_items(responses)
-    common = responses.join(shared.select("stim_id"), "stim_id", "left_semi")
-    space = A.fit_shared_space(conn, common, k, min_k, mode)
-    latents = A.project(responses, space.basis, space.rotations)
+    space = A.fit_shared_space(conn, responses, k, min_k, mode)
+    if space.latents is None:
+        latents = A.project(responses.select("subject", "stim_id", "v"), space.basis, space.rotations)
+    else:
+        latents = apply_matrix(space.latents.withColumnRenamed("z", "y"), "subject", space.rotations, "y", "z")
     pooled = E.pooled_training(features, latents.select("subject", "stim_id", "z"))
     return space, E.fit_ridge(pooled, alpha)
 
