@@ -47,14 +47,14 @@ _OPEN, _CLOSE = "“«„‹", "”»“›"
 
 
 def tokens(text: str):
-    """Lists of the lower-cased text's tokens, part by part."""
+    """(the lower-cased text, start, stop, tokens) of its parts, which end at white space."""
     low, at = text.lower(), 0
     while at < len(low):
         end = at + PART
         if end < len(low):
             cut = _SPACE.search(low, end)
             end = cut.end() if cut else len(low)
-        yield at, _TOKEN.findall(low, at, end)
+        yield low, at, end, _TOKEN.findall(low, at, end)
         at = end
 
 
@@ -188,13 +188,12 @@ def context_score(text: str, start: int, end: int) -> float:
 def hits(text: str | None, automaton: Automaton) -> tuple[int, dict[tuple[int, int], list[float]]]:
     """Number of tokens, and the context scores of the hits of each (entry, misspelled or not)."""
     n, out = 0, {}
-    for at, found in tokens(text or ""):
+    for low, at, stop, found in tokens(text or ""):
         n += len(found)
         mine = {t: m for t in set(found) if (m := automaton.match(t)) is not None}
         if not mine:
             continue
-        low = text.lower() if at else (text or "").lower()
-        for m in _TOKEN.finditer(low, at, min(len(low), at + PART + max(map(len, mine)) + WINDOW) if len(low) > PART else len(low)):
+        for m in _TOKEN.finditer(low, at, stop):
             if m.group() in mine:
                 entry, edits = mine[m.group()]
                 out.setdefault((entry, min(edits, 1)), []).append(context_score(low, m.start(), m.end()))
@@ -228,7 +227,7 @@ def _log_odds(a, b, toxic: int, clean: int):
 def text_features(text: str) -> set[str]:
     """Words as '=word' and beginnings of words as '~stem'."""
     out = set()
-    for _, found in tokens(text):
+    for *_, found in tokens(text):
         for w in set(found):
             out.add("=" + w)
             out.update("~" + w[:k] for k in STEMS if len(w) >= k)

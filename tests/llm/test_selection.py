@@ -137,6 +137,16 @@ def test_misspellings_and_contexts():
     assert 0.5 < score("the word idiot is old") < 1.0
 
 
+def test_long_texts_are_read_in_parts(monkeypatch):
+    automaton = toxicity.Automaton([("idiot", False, 1)])
+    text = " ".join(["idiot" if i % 7 == 0 else "word" * (1 + i % 5) for i in range(400)])
+    n, found = toxicity.hits(text, automaton)
+    for part in (1, 10, 64, 333):
+        monkeypatch.setattr(toxicity, "PART", part)
+        assert toxicity.hits(text, automaton) == (n, found)
+    assert n == 400 and len(found[0, 0]) == 58
+
+
 def toxic_world(spark, n=400):
     rng = random.Random(5)
     clean = [f"w{i}" for i in range(300)] + ["lower", "scarf", "motion"]
