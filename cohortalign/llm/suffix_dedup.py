@@ -20,7 +20,8 @@ occurrence gets its largest cover without any list of pairs.
 the order of the left contexts, so that what differs on both sides comes out with every member.
 
 A gram with more than ``MAX_GROUP`` different contexts isn't gathered: hashes of ranges of its
-windows are counted, which is exact as well and puts no group into one task.
+windows are counted, which is exact as well and puts no group into one task. For ``repeat_groups`` such a gram's contexts
+are parted by longer strings around it until each part fits the tree; the rows are the same for every ``max_group``.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep all; equal
 texts get equal results, and each removes the other's; an empty table gives an empty
@@ -30,7 +31,9 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import struct
 from bisect import bisect_left
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,7 @@ from .common import broadcast_if_small, read, small_batches, staged, text_key
 
 LENGTH, GRAM = 400, 128
 MAX_GROUP = 20_000
+FAN = 4  # parts of a range of lengths, by round
 RANGES = (42, 6, 1)  # offsets in a range, by round; each divides the one before
 PART = 1 << 19
 MAX_BROADCAST_KEYS = 300_000
@@ -153,10 +157,11 @@ def intervals(shared: list[int], least: int):
             stack.append((now, low))
 
 
-def maximal_repeats(contexts: list[tuple[bytes, bytes, int]], length: int = LENGTH):
+def maximal_repeats(contexts: list[tuple[bytes, bytes, int]], length: int = LENGTH, box: tuple[int, int, int, int] | None = None):
     """(to_left, to_right, members) of every maximal repeat of ``length`` bytes or more that holds the anchor: all
     contexts that have these bytes, of which some differ before them and some behind. Contexts found several
-    times are repeats as far as they reach.
+    times are repeats as far as they reach. With a ``box`` (least and most to the right, least and most to the left)
+    only repeats in it.
 
     Each interval of the right contexts is scanned again in the order of the reversed left contexts; an interval
     of that scan is a maximal repeat if its members stand in several of the first interval's children."""
@@ -166,7 +171,10 @@ def maximal_repeats(contexts: list[tuple[bytes, bytes, int]], length: int = LENG
     suffixes = sorted(range(len(contexts)), key=lambda i: contexts[i][1])
     back = [a[::-1] for a, _, _ in contexts]
     right = [0] + [common_prefix(contexts[i][1], contexts[j][1]) for i, j in zip(suffixes, suffixes[1:])]
-    for prefix, low, high in intervals(right, 1):
+    p0, p1, e0, e1 = box or (1, length, 0, length)
+    for prefix, low, high in intervals(right, p0):
+        if prefix > p1:
+            continue
         child, children = 0, {}
         for at in range(low, high + 1):
             child += at > low and right[at] == prefix
@@ -175,8 +183,10 @@ def maximal_repeats(contexts: list[tuple[bytes, bytes, int]], length: int = LENG
         left = [0] + [common_prefix(back[i], back[j]) for i, j in zip(order, order[1:])]
         # right contexts that are equal and cut have no children to tell apart; they are told apart on the left
         cut = all(len(contexts[i][1]) == prefix for i in children)
-        for e, first, last in intervals(left, max(0, length - prefix)):
+        for e, first, last in intervals(left, max(e0, length - prefix)):
             members = order[first:last + 1]
+            if e > e1:
+                continue
             if cut or len({children[i] for i in members}) > 1:
                 yield e, prefix, members
 
@@ -253,48 +263,110 @@ def _tree_covers(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "h long, c long, to_left int, to_right int")
 
 
+def _batches(rows, names: list[str], kinds: tuple, size: int = 8192):
+    """Rows as Arrow batches of ``size`` rows."""
+    out = []
+    for row in rows:
+        out.append(row)
+        if len(out) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+
+
 def _tree_repeats(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, c, n, a, b) -> (h, c, group, to_left, to_right, cut), a row for each member of a maximal repeat."""
+    """(part, h, c, n, a, b, box) -> (h, c, group, to_left, to_right, cut), a row for each member of a maximal repeat.
+    Contexts of equal ``part`` meet in one task, and their repeats in its box are listed."""
 
     def run(batches):
-        def found(at, held):
-            for e, p, members in maximal_repeats([x[1:] for x in held], length):
-                a, b = held[members[0]][1:3]
-                name = hashlib.md5(a[len(a) - e:] + b[:p]).hexdigest()
-                for i in members:
-                    yield at, held[i][0], name, e, p, e == length - gram or p == length
-
-        def batch(rows):
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)],
-                                              ["h", "c", "group", "to_left", "to_right", "cut"])
-
         def groups():
-            held, at = [], None
-            for b in batches:
-                for h, c, n, left, right in zip(*[b.column(i).to_pylist() for i in range(5)]):
-                    if h != at and held:
-                        yield at, held
+            held, at, box = [], None, None
+            for x in batches:
+                for part, h, c, n, left, right, within in zip(*[x.column(i).to_pylist() for i in range(7)]):
+                    if part != at and held:
+                        yield held, box
                         held = []
-                    at = h
-                    held.append((c, left, right, n))
+                    at, box = part, within
+                    held.append((h, c, left, right, n))
             if held:
-                yield at, held
-
-        out = []
-        for at, held in groups():
-            for row in found(at, held):
-                out.append(row)
-                if len(out) == 8192:
-                    yield batch(out)
-                    out = []
-        if out:
-            yield batch(out)
+                yield held, box
 
-    dealt = contexts.select("h", "c", "n", "a", "b").repartition("h").sortWithinPartitions("h", "c")
+        def found():
+            for held, box in groups():
+                for e, p, members in maximal_repeats([x[2:] for x in held], length, box and tuple(box)):
+                    a, b = held[members[0]][2:4]
+                    name = hashlib.md5(a[len(a) - e:] + b[:p]).hexdigest()
+                    for i in members:
+                        yield *held[i][:2], name, e, p, e == length - gram or p == length
+
+        return _batches(found(), ["h", "c", "group", "to_left", "to_right", "cut"],
+                        (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_()))
+
+    dealt = contexts.select("part", "h", "c", "n", "a", "b", "box").repartition("part").sortWithinPartitions("part", "h", "c")
     return dealt.mapInArrow(run, "h long, c long, group string, to_left int, to_right int, cut boolean")
 
 
+def _boxes(box, length: int):
+    """A box's parts, ``FAN`` a side, without those that hold no repeat of ``length`` bytes."""
+    p0, p1, e0, e1 = box
+    wide, high = -((p0 - p1 - 1) // FAN), -((e0 - e1 - 1) // FAN)
+    for p in range(p0, p1 + 1, wide):
+        for e in range(e0, e1 + 1, high):
+            part = p, min(p + wide - 1, p1), e, min(e + high - 1, e1)
+            if part[1] + part[3] >= length:
+                yield part
+
+
+def _parted_repeats(contexts: DataFrame, length: int, gram: int, max_group: int) -> DataFrame:
+    """The same for grams of very many contexts, without gathering them. A repeat reaches p bytes to the right of its
+    anchor and e to the left. Boxes of (p, e) are cut into smaller ones; in each box contexts are parted by what all
+    repeats of the box must share, so a repeat's members stay together. A part ends where nothing differs within the box
+    on one of the sides, as it holds no maximal repeat; it goes to the tree once it has ``max_group`` contexts or
+    fewer; a box of one (p, e) is a maximal repeat itself, counted and never gathered."""
+    tree, singles = [], []
+    live = contexts.select("h", "c", "a", "b", F.array(F.array(*map(F.lit, (gram, length, 0, length - gram)))).alias("live"))
+    while True:
+
+        def emit(batches):
+            def rows():
+                for x in batches:
+                    for h, c, left, right, boxes in zip(*[x.column(i).to_pylist() for i in range(5)]):
+                        for p0, p1, e0, e1 in [b for box in boxes for b in _boxes(box, length)]:
+                            least = max(e0, length - p1)
+                            if len(right) < p0 or len(left) < least:
+                                continue
+                            core = left[len(left) - least:] + right[:p0]
+                            part = xxhash.xxh3_128_digest(struct.pack("<4i", p0, p1, e0, e1) + core)
+                            after = xxhash.xxh3_128_digest(right[:p1 + 1]) if len(right) > p1 else None
+                            before = xxhash.xxh3_128_digest(left[len(left) - e1 - 1:]) if len(left) > e1 else None
+                            name = hashlib.md5(core).hexdigest() if p0 == p1 and e0 == e1 else None
+                            yield h, c, [p0, p1, e0, e1], part, before, after, name
+
+            return _batches(rows(), ["h", "c", "box", "part", "before", "after", "name"],
+                            (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.string()))
+
+        rows = staged(live.mapInArrow(emit, "h long, c long, box array<int>, part binary, before binary, after binary, name string"), "suffix-boxes")
+        agree = [(F.count(x) == F.count(F.lit(1))) & (F.min(x) == F.max(x)) for x in ("before", "after")]
+        parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("m"), *[F.coalesce(x, F.lit(False)).alias(n) for x, n in zip(agree, "lr")])
+        parts = staged(parts.where("m > 1 and not l and not r").select("part", "m"), "suffix-parts")
+        alive = staged(rows.select("h", "c", "box", "part", "name").join(parts, "part"), "suffix-live")
+        singles.append(alive.where("name is not null").select(
+            "h", "c", F.col("name").alias("group"), F.col("box")[2].alias("to_left"), F.col("box")[0].alias("to_right"),
+            ((F.col("box")[2] == length - gram) | (F.col("box")[0] == length)).alias("cut")))
+        alive = alive.where("name is null")
+        tree.append(alive.where(F.col("m") <= max_group).select("part", "h", "c", "box"))
+        more = alive.where(F.col("m") > max_group)
+        if more.isEmpty():
+            break
+        live = contexts.select("h", "c", "a", "b").join(more.groupBy("h", "c").agg(F.collect_list("box").alias("live")), ["h", "c"])
+    parted = reduce(DataFrame.union, tree).join(contexts.select("h", "c", F.lit(1).cast("long").alias("n"), "a", "b"), ["h", "c"])
+    whole = contexts.where((F.col("n") > 1) & (F.octet_length("a") + F.octet_length("b") >= length)).select(
+        "h", "c", F.md5(F.concat("a", "b")).alias("group"), F.octet_length("a").alias("to_left"), F.octet_length("b").alias("to_right"),
+        ((F.octet_length("a") == length - gram) | (F.octet_length("b") == length)).alias("cut"))
+    return reduce(DataFrame.union, singles).union(_tree_repeats(parted, length, gram)).union(whole)
+
+
 def _counted_covers(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     """The same for grams of very many contexts, without gathering them. A range of offsets [d0, d1] of the
     anchor in a window is settled by two counts: if what all its windows share is found
@@ -389,18 +461,16 @@ def repeat_groups(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
 
     A repeat is seen from an anchor, ``length - gram`` bytes to the left and ``length`` to the right. If it was only seen
     up to one of these bounds ``cut`` is true: it may go on, and its further anchors show the next pieces. Anchors whose
-    contexts are all equal are one group, named by the context. Of grams of more than ``max_group`` contexts each
-    occurrence is listed under its largest cover only. An empty table gives no rows."""
+    contexts are all equal are one group, named by the context. ``max_group`` bounds what one task gathers and changes
+    no row. An empty table gives no rows."""
     found, alone, contexts, hot = _met(docs, text_col, length, gram, max_group)
     rows = alone.select("h", "c", F.md5(F.concat_ws(" ", "h", "c")).alias("group"), "to_left", "to_right", F.lit(True).alias("cut"))
+    whole = [F.hex("h").cast("binary").alias("part"), "h", "c", "n", "a", "b", F.lit(None).cast("array<int>").alias("box")]
     if hot is None:
-        rows = rows.union(_tree_repeats(contexts, length, gram))
+        rows = rows.union(_tree_repeats(contexts.select(*whole), length, gram))
     else:
-        rows = rows.union(_tree_repeats(contexts.join(hot, "h", "left_anti"), length, gram))
-        covers = _counted_covers(contexts.join(hot, "h", "left_semi"), length, gram).join(contexts, ["h", "c"])
-        start = F.octet_length("a") - F.col("to_left")
-        part = F.concat(F.substring(F.col("a"), start + 1, F.col("to_left")), F.substring(F.col("b"), F.lit(1), F.col("to_right")))
-        rows = rows.union(covers.select("h", "c", F.md5(part).alias("group"), "to_left", "to_right", F.lit(True).alias("cut")))
+        rows = rows.union(_tree_repeats(contexts.join(hot, "h", "left_anti").select(*whole), length, gram))
+        rows = rows.union(_parted_repeats(staged(contexts.join(hot, "h", "left_semi"), "suffix-hot"), length, gram, max_group))
     rows = staged(rows, "suffix-repeats")
     placed = found.join(rows, ["h", "c"]).select(
         "group", "key", (F.col("pos") - F.col("to_left")).alias("start"), (F.col("pos") + F.col("to_right")).alias("end"))
