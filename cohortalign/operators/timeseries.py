@@ -176,9 +176,9 @@ def clean_runs(df: DataFrame, motion: DataFrame, step: float = 1.333, discard: i
         m = filters.highpass(m, cutoff_hz, step) if cutoff_hz else m
         keep = np.ones(len(m), bool)
         if s is not None and np.isfinite(s).all():
-            p = s[:, :6] * np.array([1, 1, 1, HEAD_MM, HEAD_MM, HEAD_MM])
             if fd_limit is not None:
-                keep = np.concatenate([[0.0], np.abs(np.diff(p, axis=0)).sum(1)]) <= fd_limit
+                moved = np.abs(np.diff(s[:, :6], axis=0)) * np.array([1, 1, 1, HEAD_MM, HEAD_MM, HEAD_MM])
+                keep = np.concatenate([[0.0], sum(moved.T)]) <= fd_limit  # added up as in TS5, so that both cut the same steps at the limit
                 if 1 - keep.mean() > max_share:
                     return none
             m = filters.regress_out(m[keep], s[keep][:, 6:])

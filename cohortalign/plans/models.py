@@ -12,6 +12,7 @@ from ..operators import rowjoins as J
 from ..operators import splits as S
 from ..sources import views as V
 from ..sources.views import corr_sql, query, rnd
+from .filter_sql import cleaned
 from .ridge_sql import predicted, ridge
 
 R, K, MIN_K, ALPHA = 16, 8, 4, 10.0
@@ -394,6 +395,11 @@ from responses join embeddings on stim_id = embeddings.vec_id where voxel = 0"""
     "EXP2_ablation_summary": query("repeats", f"""select condition % 2 as subject, condition as n_shots, count(*) as n, {rnd('avg(metric)')} as mean_r,
   {rnd('stddev_pop(metric)', 8)} as sd_r from repeats group by 1, 2"""),
     "EXP4_sweep_objective": query("repeats", f"select condition as k, condition * 1.5::double as alpha, {rnd('avg(metric)', 9)} as objective from repeats group by 1"),
+    "EXP19_prepare_rest": query("ts_ motion", f""", {cleaned(0.8)}, ns as (select run, count(distinct t) as n from cl group by 1),
+gt as (select (run % 3)::int as subject, run, n, count(*) over (partition by run % 3) as runs, sum(n) over (partition by run % 3) as steps
+  from (select distinct run from ts_) left join ns using (run)),
+nr as (select subject, run, (row_number() over (partition by subject order by run))::int as new_run from gt where runs >= 2 and steps >= 60 and n > 0)
+select subject, new_run, voxel, count(*) as n, {rnd('avg(x)')} as mean from cl join nr using (run) group by 1, 2, 3""").replace("with ", "with recursive ", 1),
     "EXP19_prepare_task": query("cells mask", f"""select c.subject, case when c.vec_id * 7 > 1000 then 'train' else 'test' end as split, c.vec_id // 20 as stim_id, c.voxel, {rnd('avg(val)')} as val
 from cells c join mask m on c.subject = m.subject and c.voxel = m.voxel where in_mask group by 1, 2, 3, 4"""),
 }

@@ -7,6 +7,7 @@ from ..operators import connectivity as C
 from ..operators import timeseries as T
 from ..sources import views as V
 from ..sources.views import corr_sql, query, rnd
+from .filter_sql import cleaned, highpass
 from .ridge_sql import eliminated
 
 R = 5  # parcels of the connectivity queries
@@ -220,6 +221,8 @@ _TS8 = query("ts_ motion", f", {_C12} select s.run, s.voxel, s.t, {rnd('x - m -
 
 ORACLE_SQL = {
     "TS8_regress": _TS8,
+    "TS4_highpass": query("ts_", f", {highpass('hp', 'ts_')} select run, voxel, t, {rnd('x')} as x from hp").replace("with ", "with recursive ", 1),
+    "TS10_clean_runs": query("ts_ motion", f", {cleaned(0.6)} select run, voxel, t, {rnd('x')} as x from cl").replace("with ", "with recursive ", 1),
     "CON4_voxel_connectivity": _CON4,
     "TS1_trim": query("ts_", f"select run, voxel, t - 5 as t, {rnd('x')} as x from ts_ where t >= 5"),
     "TS2_length_gate": query("ts_", "select run, voxel, count(*) as n from ts_ group by 1, 2 having count(*) >= 66"),

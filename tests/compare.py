@@ -7,7 +7,7 @@ import os
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries without SQL that tests/test_models.py holds against NumPy.
 NUMPY = {"ALN2_svd_basis", "ALN4_procrustes", "ALN5_project", "ALN6_hybrid_rotations", "ALN7_strict_rotations", "ALN8_fingerprint_template", "ALN9_shared_space",
-         "ALN10_zero_shot", "ALN11_few_shot", "ENC4_predict_voxels", "SNK1_save_load", "EXP1_zero_shot", "EXP2_fewshot_ablation", "EXP4_loso_sweep",
+         "ALN10_zero_shot", "ALN11_few_shot", "ENC4_predict_voxels", "SNK1_save_load", "EXP1_zero_shot", "EXP1_few_shot", "EXP2_fewshot_ablation", "EXP4_loso_sweep",
          "EXP4_sweep_trials", "EXP19_train"}
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

@@ -46,8 +46,9 @@ def template_of(zs):
     return rot, mean, rounds
 
 
-def ridge(x, z, alpha):
-    mean, sd = x.mean(0), np.maximum(x.std(0), 1e-8)
+def ridge(x, z, alpha, scaling=None):
+    """Predictions by a ridge on scaled features and centred targets; a given scaling is used as it is."""
+    mean, sd = scaling or (x.mean(0), np.maximum(x.std(0), 1e-8))
     s = (x - mean) / sd
     w = np.linalg.solve(s.T @ s + alpha * np.eye(x.shape[1]), s.T @ (z - z.mean(0)))
     return lambda q: (q - mean) / sd @ w + z.mean(0)
@@ -84,7 +85,8 @@ class World:
         rot, mean, rounds = template_of(fp if strict else z)
         x, y = zip(*[(self.x[i], v @ p[s] @ r) for s, r in zip(train, rot) for i, v in self.v[s].items() if i in self.x])
         return {"items": items, "rot": dict(zip(train, rot)), "template": mean, "rounds": rounds, "p": p,
-                "fp": np.mean([f @ r for f, r in zip(fp, rot)], 0), "encode": ridge(np.array(x), np.array(y), alpha)}
+                "fp": np.mean([f @ r for f, r in zip(fp, rot)], 0), "encode": ridge(np.array(x), np.array(y), alpha),
+                "scaling": (np.mean(x, 0), np.maximum(np.std(x, 0), 1e-8))}
 
     def median_r(self, m, held, rot, items):
         items = [i for i in items if i in self.x]
@@ -187,6 +189,23 @@ def test_held_out_scores(spark, world, fitted):
     same(grid, want)
 
 
+def test_calibrated_scores(spark, world, fitted):
+    """Rotation from 30 calibration rows, the encoder refitted on them with the old scaling and blended half and half."""
+    _, cand, ev = P._evaluation(spark, DATA)
+    held_out = {x["stim_id"] for x in ev.collect()}
+    pool = {x["row_idx"]: x["stim_id"] for x in cand.collect() if x["stim_id"] not in held_out}
+    items = {pool[i] for i in sorted(pool, key=lambda i: (int(hashlib.md5(f"7-0-{HELD}-{i}".encode()).hexdigest()[:8], 16), i))[:30]}
+    rot = few_shot(world, fitted, items)
+    at = sorted(i for i in items if i in world.x)
+    x, z = np.array([world.x[i] for i in at]), np.array([world.v[HELD][i] for i in at]) @ fitted["p"][HELD] @ rot
+    mean, sd = fitted["scaling"]
+    new = ridge(x, z, ALPHA, (mean, sd))
+    blended = {**fitted, "encode": lambda q: 0.5 * fitted["encode"](q) + 0.5 * new(q)}
+    own = world.median_r(blended, HELD, rot, sorted(held_out))
+    (_, median, mean_r), = [tuple(r) for r in registry.queries()["EXP1_few_shot"](spark, DATA).collect()]
+    assert median == pytest.approx(np.median(own), abs=2e-6) and mean_r == pytest.approx(own.mean(), abs=2e-6)
+
+
 def test_sweep_over_held_out_subjects(spark, world):
     want = {}
     for held in range(5):
