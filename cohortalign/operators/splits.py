@@ -43,10 +43,10 @@ def split_checks(split: DataFrame, n_rows: int, by: list[str] = ["subject"]) ->
     return split.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("row_idx").alias("n_distinct"), F.count_if(out).alias("n_out"))
 
 
-def sample_shots(rows: DataFrame, evaluation: DataFrame, n_shots: int, seed: int, by: list[str] = ["subject"]) -> DataFrame:
-    """SPL3: shots from the rows outside the evaluation, as many as there are at most."""
+def sample_shots(rows: DataFrame, evaluation: DataFrame, n_shots: int | None, seed: int, by: list[str] = ["subject"]) -> DataFrame:
+    """SPL3: shots from the rows outside the evaluation, as many as there are at most; all of them without a number."""
     pool = rows.join(evaluation.select(*by, "row_idx"), [*by, "row_idx"], "left_anti")
-    return draw(pool, n_shots, seed, by)
+    return pool if n_shots is None else draw(pool, n_shots, seed, by)
 
 
 def unfixed_split(rows: DataFrame, n_shots: int, seed: int, min_eval: int = 50, by: list[str] = ["subject"]) -> DataFrame:
