@@ -120,8 +120,13 @@ def con_series(s, d):
     return V.ts(s, d).withColumn("subject", (F.col("run") % 4).cast("int"))
 
 
+def con_rows(s, d):
+    """The same series with one row a step; a run's number tells its subject."""
+    return V.channel_rows(s, d, 8).selectExpr("cast(user_id % 4 as int) as subject", "user_id as run", "t", "v")
+
+
 def con_labels(s, d):
-    v = con_series(s, d).select("subject", "voxel").distinct()
+    v = con_rows(s, d).select("subject").distinct().withColumn("voxel", F.explode(F.sequence(F.lit(0), F.lit(7))))
     return v.withColumn("label", F.expr("case when voxel = 7 then 0 else cast(voxel div 2 as int) + 1 end"))
 
 
@@ -154,8 +159,7 @@ def con3_blocks(s, d):
 
 
 def con4(s, d):
-    rows = con_series(s, d).groupBy("subject", "run", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("voxel", "x"))), lambda x: x["x"]).alias("v"))
-    out = C.voxel_connectivity(rows, "average")
+    out = C.voxel_connectivity(con_rows(s, d), "average", by=["run"])
     return out.select("subject", "voxel", F.posexplode("c").alias("other", "c")).withColumn("c", rounded("c"))
 
 

@@ -57,6 +57,13 @@ def channels(spark, d, n: int):
     return e.selectExpr("user_id", "voxel", "t", "value * (((voxel * 37 + event_id * 11) % 101) + 1) / 101.0D as x")
 
 
+def channel_rows(spark, d, n: int):
+    """The same with one row a step: (user_id, t, v array<double>). Only the events are shuffled and sorted; values are made after that, and rows come
+    by user, so that what is grouped by user moves no values."""
+    e = table(spark, d, "events").selectExpr("user_id", "event_id", "value", "row_number() over (partition by user_id order by ts, event_id) - 1 as t")
+    return e.select("user_id", "t", F.array(*[F.expr(f"value * ((({i} * 37 + event_id * 11) % 101) + 1) / 101.0D") for i in range(n)]).alias("v"))
+
+
 def motion(spark, d):
     p = [f"(event_id * {k} % 1000) * {s}D as p{i}" for i, (k, s) in enumerate(MOTION, 1)]
     return table(spark, d, "events").selectExpr(

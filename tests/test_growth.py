@@ -31,3 +31,31 @@ def test_shots_of_over_a_thousand_rows(spark, tmp_path):
     got = spark_rows(Q["SPL3_sample_shots"](spark, d))
     assert got == duck_rows(SQL["SPL3_sample_shots"], d)
     assert len(got[1]) == n * 9 // 10 - 5 * 25 + 5 * 10
+
+
+@pytest.mark.parametrize("name", ["CON2_column_correlation", "CON3_parcel_connectivity", "CON6_voxel_profiles"])
+def test_series_are_not_exchanged(spark, name):
+    """Runs are dealt as events; no row of channels or of pairs of channels is exchanged, sorted or joined."""
+    plan = Q[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Generate explode" not in plan.split("FlatMapGroupsInArrow")[-1]
+    under = plan.split("FlatMapGroupsInArrow")[-1]
+    assert under.count("Exchange hashpartitioning(user_id") == 1 and under.count("Exchange") == 1 and under.count("Sort [") == 1
+
+
+def test_connectivity_writes_no_series(spark, monkeypatch):
+    """Runs of channels that fit a block are correlated at once, so nothing of the series' size is staged."""
+    from cohortalign.operators import connectivity as C
+    from cohortalign.plans import models as P
+
+    monkeypatch.setattr(C, "staged", lambda df, name: pytest.fail(f"{name} is staged"))
+    assert P.s_voxel(spark, DATA).count() == 5 * 64
+
+
+def test_fits_deal_events_and_not_values(spark):
+    """The connectivity that the alignment and encoder queries share."""
+    from cohortalign.operators import connectivity as C
+    from cohortalign.plans import models as P
+
+    c = C.rest_connectivity(P.series(spark, DATA), "parcellation", P.labels(spark, DATA), P.R, by=["run"])
+    under = c._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[-1]
+    assert under.count("Exchange hashpartitioning(user_id") == 1 and under.count("Exchange") == 1 and under.count("Sort [") == 1

@@ -225,3 +225,44 @@ def test_replicates_are_the_same_held_and_joined(spark, monkeypatch, statistic):
     assert len(held) == 2 and all(a[:2] == b[:2] and np.allclose(a[2:], b[2:]) for a, b in zip(held, joined))
     monkeypatch.undo()
     assert Z.bootstrap_interval(df.limit(0), [], 200).count() in (0, 1)
+
+
+def _series_rows(spark, missing=False):
+    """Runs of two subjects as rows and as long series; with ``missing``, some values are null."""
+    rng = np.random.default_rng(11)
+    x = {(s, r): rng.standard_normal((9 + r, 7)) * 2 + 50 for s in (0, 1) for r in (2 * s, 2 * s + 1)}
+    x[0, 1][:, 2] = 3.0  # a constant channel
+    cells = {k: [[None if missing and (3 * t + v + k[1]) % 11 == 0 else float(m[t, v]) for v in range(7)] for t in range(len(m))] for k, m in x.items()}
+    rows = spark.createDataFrame([(s, r, t, v) for (s, r), m in cells.items() for t, v in enumerate(m)], "subject int, run long, t int, v array<double>")
+    labels = spark.createDataFrame([(s, v, [1, 1, 2, 0, 4, 4, 2][v]) for s in (0, 1) for v in range(7)], "subject int, voxel int, label int")
+    return rows, rows.select("subject", "run", "t", F.posexplode("v").alias("voxel", "x")), labels
+
+
+def _by(df, keys, value="c"):
+    return {tuple(r[k] for k in keys): None if r[value] is None else round(r[value], 9) + 0.0 for r in df.collect()}
+
+
+@pytest.mark.parametrize("missing", [False, True])
+@pytest.mark.parametrize("batch", [4, 10_000])
+def test_row_forms_equal_long_forms(spark, missing, batch):
+    """Also where a run comes in several batches."""
+    rows, long, labels = _series_rows(spark, missing)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        two = lambda c: long.withColumnRenamed("voxel", c)
+        got = C.column_correlation_rows(rows, "v", "v", ["run"]).select("run", "i", F.posexplode("c").alias("j", "c"))
+        assert _by(got, ["run", "i", "j"]) == pytest.approx(_by(C.column_correlation(two("i"), two("j"), ["run"], "i", "j"), ["run", "i", "j"]))
+        for ensemble in ("average", "concat"):
+            want = _by(C.parcel_connectivity(long, labels, 5, ensemble), ["subject", "label", "voxel"])
+            for by in (["subject", "run"], ["run"]):
+                assert _by(C.parcel_connectivity_rows(rows, labels, 5, ensemble, by), ["subject", "label", "voxel"]) == pytest.approx(want)
+        keys = ["subject", "run", "own", "voxel", "label"]
+        assert _by(C.voxel_profiles_rows(rows, labels, ["run"]), keys) == pytest.approx(_by(C.voxel_profiles(long, labels), keys))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_run_that_does_not_tell_its_subject(spark):
+    rows, _, labels = _series_rows(spark)
+    with pytest.raises(Exception, match="more than one subject"):
+        C.parcel_connectivity_rows(rows.withColumn("run", F.lit(1)), labels, 5, by=["run"]).collect()
