@@ -142,8 +142,8 @@ def con1(s, d):
 
 
 def con2(s, d):
-    a = con_series(s, d)
-    return C.column_correlation(a.withColumnRenamed("voxel", "left"), a.withColumnRenamed("voxel", "right"), ["run"], "left", "right").withColumn("c", rounded("c"))
+    c = C.column_correlation_rows(con_rows(s, d), "v", "v", ["run"])
+    return c.select("run", F.col("i").alias("left"), F.posexplode("c").alias("right", "c")).withColumn("c", rounded("c"))
 
 
 def con3(s, d):
