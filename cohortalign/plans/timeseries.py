@@ -147,11 +147,11 @@ def con2(s, d):
 
 
 def con3(s, d):
-    return C.parcel_connectivity(con_series(s, d), con_labels(s, d), R).withColumn("c", rounded("c"))
+    return C.parcel_connectivity_rows(con_rows(s, d), con_labels(s, d), R, by=["run"]).withColumn("c", rounded("c"))
 
 
 def con3_concat(s, d):
-    return C.parcel_connectivity(con_series(s, d), con_labels(s, d), R, "concat").withColumn("c", rounded("c"))
+    return C.parcel_connectivity_rows(con_rows(s, d), con_labels(s, d), R, "concat").withColumn("c", rounded("c"))
 
 
 def con3_blocks(s, d):
@@ -164,7 +164,7 @@ def con4(s, d):
 
 
 def con5(s, d):
-    return C.rest_connectivity(con_series(s, d), "parcellation", con_labels(s, d), R).withColumn("c", rounded("c"))
+    return C.rest_connectivity(con_rows(s, d), "parcellation", con_labels(s, d), R, by=["run"]).withColumn("c", rounded("c"))
 
 
 def con6(s, d):
