@@ -168,11 +168,11 @@ def con5(s, d):
 
 
 def con6(s, d):
-    return C.voxel_profiles(con_series(s, d), con_labels(s, d)).withColumn("c", rounded("c"))
+    return C.voxel_profiles_rows(con_rows(s, d), con_labels(s, d), ["run"]).withColumn("c", rounded("c"))
 
 
 def con7(s, d):
-    return C.parcel_profiles(C.voxel_profiles(con_series(s, d), con_labels(s, d))).withColumn("c", rounded("c"))
+    return C.parcel_profiles(C.voxel_profiles_rows(con_rows(s, d), con_labels(s, d), ["run"])).withColumn("c", rounded("c"))
 
 
 QUERIES = {"TS1_trim": ts1, "TS2_length_gate": ts2, "TS3_detrend": ts3, "TS4_highpass": ts4, "TS5_framewise_displacement": ts5, "TS6_censor": ts6,
